@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import quality_rules, secrets
+from folium.llm import language, packing, quality_rules, secrets, token_records, toxicity
 from folium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,35 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(language.sample(docs)))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.detect(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_token_records": op6_token_records,
 }
 
 ORACLES: dict[str, str] = {
