@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import language, packing, quality_rules, secrets, token_records, toxicity
+from folium.llm import language, packing, pieces, pii, quality_rules, secrets, token_records, toxicity
 from folium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -45,6 +53,8 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_records": op6_token_records,
+    "op7_unigram_pieces": op7_unigram_pieces,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
