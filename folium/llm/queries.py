@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import language, packing, pieces, pii, quality_rules, secrets, token_records, toxicity
+from folium.llm import language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity
 from folium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -54,10 +58,12 @@ QUERIES: dict[str, Query] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_records": op6_token_records,
     "op7_unigram_pieces": op7_unigram_pieces,
+    "op8_ngram_join": op8_ngram_join,
     "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op5_secret_scan": secrets.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
 }
