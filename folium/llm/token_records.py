@@ -54,7 +54,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a in range(0, batch.num_rows, 500):
-                rows = [_payload(i, encode.encode(t) + end, width) for i, t in zip(ids[a : a + 500], texts[a : a + 500].to_pylist(), strict=True)]
+                rows = [_payload(i, x + end, width) for i, x in zip(ids[a : a + 500], encode.encode_many(texts[a : a + 500].to_pylist()), strict=True)]
                 if data is None:
                     data, index = store.open_output_stream(f"{trial}.rec.tmp"), store.open_output_stream(f"{trial}.idx.tmp")
                 sizes = np.array([len(r) for r in rows], dtype="<u8")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -10,12 +11,17 @@ import numpy as np
 MEMO, LONGEST = 400_000, 64
 
 
+#: A word of precomposed Latin letters before marks other than the apostrophe: the tokenizer lower-cases it and takes
+#: the letters as one pre-token and the marks as another.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
 class Encoder(dict):
     """Text to ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer splits at white space before it merges, so a text's ids are those of its space-separated chunks
-    in turn. Each chunk is encoded once by the tokenizers library and remembered; texts that hold a special token's
-    string go to the library whole.
+    in turn. Each chunk is encoded once by the tokenizers library and remembered, plain words many in one call;
+    texts that hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -25,25 +31,49 @@ class Encoder(dict):
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self[""] = b""
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.whole(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[chunk] = out
-        return out
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def _learn_words(self, new: list[str]) -> None:
+        """Words of letters or of marks, encoded together: each is one pre-token, whose number every id carries."""
+        for a in range(0, len(new), 4000):
+            part = new[a : a + 4000]
+            got = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, at = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
+            edges = np.searchsorted(at, np.arange(len(part) + 1))
+            raw = ids.tobytes()
+            for w, i, j in zip(part, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                self.words[w] = raw[4 * i : 4 * j]
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Encode chunks that are not known yet; those too long to keep are returned."""
+        new = [c for c in chunks if c not in self]
+        if len(self) + len(new) > MEMO:
+            self.clear()
+            new = list(chunks)
+        long, simple = {}, []
+        for c in new:
+            if len(c) > LONGEST:
+                long[c] = self.whole(c)
+            elif m := _SIMPLE(c):
+                simple.append((c, m.group(1).lower(), m.group(2)))
+            else:
+                self[c] = self.whole(c)
+        if len(self.words) > MEMO:
+            self.words.clear()
+        words = {w for _, w, _ in simple} | {p for _, _, p in simple if p}
+        self._learn_words([w for w in words if w not in self.words])
+        for c, w, p in simple:
+            self[c] = self.words[w] + self.words[p] if p else self.words[w]
+        return long
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        split = [None if t and any(s in t for s in self.special) else t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        long = self.learn(set().union(*(x for x in split if x)))
+        get = self.__getitem__ if not long else lambda c: long[c] if c in long else self[c]
+        return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -33,8 +33,10 @@ def test_encoder_equals_library(library):
     e = tokens.Encoder(tokens.default_path())
     rng = random.Random(3)
     made = ["".join(rng.choice("ab c.,'s1é \n\t́ !") for _ in range(200)) for _ in range(200)]
-    for t in [*TEXTS, *made]:
-        assert e.encode(t) == np.array(ids(library, t, 0)[:-1], dtype="<u4").tobytes()
+    made += ["".join(rng.choice(["Thé", "word", "ß", "É", "'", "!", ".,", "_", "$%", " ", "12", "ing", "'s"]) for _ in range(60)) for _ in range(300)]
+    for texts in ([*TEXTS, *made], made[:50]):
+        for t, got in zip(texts, e.encode_many(texts), strict=True):
+            assert got == np.array(ids(library, t, 0)[:-1], dtype="<u4").tobytes(), t
 
 
 def test_crc32c():
