@@ -119,13 +119,17 @@ def predict_text(scorer: Scorer, langs: list[str], text: str | None) -> tuple[st
     return langs[best], float(shares[best] / shares.sum())
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
+def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     Null texts and texts without a letter give ``und`` with score 0; equal scores give the first language by name;
-    repeated rows give equal rows; an empty table gives none. Columns other than the id and the text are not read.
+    repeated rows give equal rows; an empty table gives none. Columns other than the id and the text are not read,
+    but those named in ``keep`` are carried along.
     """
-    rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
+    more = [c for c in keep or [] if c != "doc_id"]
+    rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"), *more)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
     holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS per language
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +138,10 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             pairs = [predict_text(scorer, langs, t.as_py()) for t in batch.column(2)]
             pred, score = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            told = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *told, *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *more])
 
-    return rows.mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(task, schema)
 
 
 _scorers: dict = {}

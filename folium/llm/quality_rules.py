@@ -65,15 +65,16 @@ def _repeat_words(windows: Column) -> Column:
     return let(let(F.sort_array(placed), marked), covered)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS, keep: list[str] | None = None) -> DataFrame:
     """Measures and verdict per row of ``docs``.
 
     Null text counts as empty: no words, hence base_failed and not kept. Every row gives one row, repeated rows
     included; other columns of ``docs`` are ignored, so clashing names do no harm. An empty table gives no rows.
-    ``failed`` names the first rule of ``thresholds`` that the text fails, null if none.
+    ``keep`` names columns of ``docs`` to carry along. ``failed`` names the first rule of ``thresholds`` that the text fails, null if none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"))
+    held = F.struct(*(keep or [id_col])).alias("_held")
+    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), held)
     d = d.withColumn("_w", F.array_remove(F.split("_t", f"[{SPACE}]+", -1), ""))
     d = d.withColumn("_h", _window_hashes(F.col("_w")))
     d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
@@ -81,6 +82,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = lambda c: F.size(c).cast("long")
     d = d.select(
         "doc_id",
+        "_held",
         size("_w").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -92,7 +94,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         size(F.filter("_w", lambda x: x.isin(forms))).alias("n_stop_words"),
     )
-    measures = {c: F.col(c) for c in d.columns} | {"word_chars_100": F.col("word_chars")}
+    measures = {c: F.col(c) for c in d.columns if c != "_held"} | {"word_chars_100": F.col("word_chars")}
     verdicts = []
     for name, top, op, percent, bottom in thresholds:
         scale = 10_000 if bottom == "word_chars_100" else 100
@@ -100,7 +102,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         verdicts.append(F.when(left < right if op == "<" else left > right, F.lit(name)))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     d = d.withColumn("base_failed", base).withColumn("failed", F.coalesce(F.when(base, F.lit("base")), *verdicts))
-    return d.withColumn("kept", F.col("failed").isNull())
+    d = d.withColumn("kept", F.col("failed").isNull())
+    return d.select("*", *[F.col("_held")[c].alias(c) for c in keep or [] if c != "doc_id"]).drop("_held")
 
 
 def _sql_rules(thresholds=THRESHOLDS) -> str:

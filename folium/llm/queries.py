@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity
+from folium.llm import language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity, vector_graph
 from folium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_records": op6_token_records,
     "op7_unigram_pieces": op7_unigram_pieces,
     "op8_ngram_join": op8_ngram_join,
+    "op9_vector_graph": op9_vector_graph,
     "op10_pii": op10_pii,
 }
 
