@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import held_out
+from folium.llm.common import cut, held_out
 from folium.llm.language import LETTERS
 
 #: Labelled documents that the model is fitted on, at most about so many of each label, drawn by a hash of their ids.
@@ -60,26 +60,27 @@ def select_features(labelled: DataFrame) -> dict[str, int]:
     return {r["f"]: i for i, r in enumerate(rows)}
 
 
-def bags(labelled: DataFrame, index: dict[str, int]) -> list[tuple[int, list[list[int]]]]:
-    """Per document its label and, per sentence with any feature, the features' numbers. Bounded by SAMPLE."""
+def bags(labelled: DataFrame, index: dict[str, int]) -> DataFrame:
+    """Per document its label, the sizes of its sentences with any feature, and those features' numbers, as bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                found = ([index[f] for w in _WORD.findall(s) for f in word_features(w) if f in index] for s in _SENTENCE.findall((text or "").lower()))
-                out.append([x for x in found if x])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["toxic", "bag"])
+            sizes, flat = [], []
+            for text in batch.column(1):
+                found = ([index[f] for w in _WORD.findall(s) for f in word_features(w) if f in index] for s in _SENTENCE.findall((text.as_py() or "").lower()))
+                kept = [x for x in found if x]
+                sizes.append(np.array([len(x) for x in kept], dtype="<i4").tobytes())
+                flat.append(np.array([f for x in kept for f in x], dtype="<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], names=["toxic", "sizes", "flat"])
 
-    return [(r["toxic"], r["bag"]) for r in labelled.mapInArrow(task, "toxic int, bag array<array<int>>").collect()]
+    return labelled.mapInArrow(task, "toxic int, sizes binary, flat binary")
 
 
-def train(data: list[tuple[int, list[list[int]]]], features: int, rounds: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(label: np.ndarray, bag_sizes: list[np.ndarray], flat: np.ndarray, features: int, rounds: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence score by gradient ascent on the documents' likelihood under a leaky noisy-or."""
-    label = np.array([y for y, _ in data], dtype=np.float64)
-    doc = np.array([d for d, (_, bag) in enumerate(data) for _ in bag], dtype=np.int64)
-    sizes = np.array([len(s) for _, bag in data for s in bag], dtype=np.int64)
-    flat = np.array([f for _, bag in data for s in bag for f in s], dtype=np.int64)
+    n = len(label)
+    doc = np.repeat(np.arange(n), [len(s) for s in bag_sizes])
+    sizes = np.concatenate(bag_sizes) if bag_sizes else np.zeros(0, np.int64)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     w, b = np.zeros(features), -2.0
     if not len(sizes):
@@ -88,10 +89,10 @@ def train(data: list[tuple[int, list[list[int]]]], features: int, rounds: int =
     for t in range(1, rounds + 1):
         z = np.clip(b + np.bincount(sentence, w[flat], len(sizes)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clear = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(data)) + math.log1p(-LEAK)
+        clear = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + math.log1p(-LEAK)
         whole = np.maximum(-np.expm1(clear), 1e-9)
         pull = np.where(label[doc] == 1, p * np.exp(clear)[doc] / whole[doc], -p)
-        g = np.append(np.bincount(flat, pull[sentence], features), pull.sum()) / len(data)
+        g = np.append(np.bincount(flat, pull[sentence], features), pull.sum()) / n
         g[:-1] -= l2 * w / features
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -99,11 +100,28 @@ def train(data: list[tuple[int, list[list[int]]]], features: int, rounds: int =
     return w, float(b)
 
 
+def fitted(bagged: DataFrame, features: int) -> tuple[np.ndarray, float]:
+    """:func:`train` in one task over the bounded sample; what comes back is one row of weights."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        label, sizes, flat = [], [], []
+        for batch in got:
+            label += batch.column(0).to_pylist()
+            sizes += [np.frombuffer(x.as_py(), dtype="<i4") for x in batch.column(1)]
+            flat += [np.frombuffer(x.as_py(), dtype="<i4") for x in batch.column(2)]
+        w, b = train(np.array(label), sizes, np.concatenate(flat) if flat else np.zeros(0, np.int32), features)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([b])], names=["weights", "bias"])
+
+    row = bagged.coalesce(1).mapInArrow(task, "weights array<double>, bias double").first()
+    return np.array(row["weights"]), row["bias"]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model: weights per feature, and the bias."""
     labelled = sample(docs, labels).persist()
     index = select_features(labelled)
-    weights, bias = train(bags(labelled, index), len(index))
+    weights, bias = fitted(cut(bags(labelled, index)), len(index))
     labelled.unpersist()
     return {"weights": {f: float(weights[i]) for f, i in index.items()}, "bias": bias}
 
