@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from folium.plans import catalog_queries, library_queries
+
+QUERIES = catalog_queries.Q | library_queries.Q
+ORACLES: dict[str, str] = catalog_queries.S | library_queries.S
