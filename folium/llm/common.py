@@ -79,8 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps, each one grouped shuffle, and checkpoints after each
     round, so lineage stays short and no node's neighbours are ever gathered in one place.
     """
-    spark = edges.sparkSession
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    mark = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         low = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("m", "hi").alias("m"))
@@ -89,10 +89,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.select("hi", F.col("m").alias("lo")).unionByName(joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        after = cut(small.where("hi <> lo").distinct())
-        stable = after.exceptAll(pairs).isEmpty() and pairs.exceptAll(after).isEmpty()
-        pairs = after
-        if stable:
+        pairs = cut(small.where("hi <> lo").distinct())
+        before, mark = mark, tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum("lo")).first())  # equal pairs, equal marks
+        if mark == before:
             break
     roots = pairs.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select("node", "root")

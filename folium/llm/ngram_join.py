@@ -26,7 +26,7 @@ from folium.llm.common import components, cut, groups
 NGRAM, THRESHOLD = 5, (4, 5)
 #: Minhash coordinates, the least share of equal ones of a candidate (about four deviations below the threshold),
 #: runs, levels of a path, the most sets of a node that does not split again, and rows of a block of an oversized node.
-COORDINATES, CANDIDATE, RUNS, LEVELS, LEAF, BLOCK = 96, 0.64, 16, 6, 64, 2048
+COORDINATES, CANDIDATE, RUNS, LEVELS, LEAF, BLOCK = 96, 0.64, 16, 6, 2048, 2048
 #: Shingles of a block of a group that is compared exactly.
 BLOCK_SHINGLES = 2_000_000
 #: Candidates up to this number go to every task; more are joined by a shuffle.
@@ -144,7 +144,7 @@ def _leaves(reps: DataFrame, runs: int) -> DataFrame:
         large = live.where(F.col("count") > LEAF)
         if large.isEmpty():
             break
-        live = _children(large.join(reps.select("rep", "sketch"), "rep"))
+        live = cut(_children(large.join(reps.select("rep", "sketch"), "rep")))  # counted and joined: made once
     out = ends[0]
     for more in ends[1:]:
         out = out.unionByName(more)

@@ -46,7 +46,7 @@ def brute(rows):
     return sorted(want, key=str)
 
 
-@pytest.mark.parametrize("leaf,block,shingles", [(64, 2048, 2_000_000), (4, 24, 3000)])
+@pytest.mark.parametrize("leaf,block,shingles", [(2048, 2048, 2_000_000), (4, 24, 3000)])
 def test_join_equals_brute_force(spark, monkeypatch, leaf, block, shingles):
     for name, value in (("LEAF", leaf), ("BLOCK", block), ("BLOCK_SHINGLES", shingles)):
         monkeypatch.setattr(nj, name, value)
