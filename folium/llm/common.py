@@ -90,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "hi")
         small = joined.select("hi", F.col("m").alias("lo")).unionByName(joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         pairs = cut(small.where("hi <> lo").distinct())
-        before, mark = mark, tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum("lo")).first())  # equal pairs, equal marks
+        before, mark = mark, tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.col("lo").cast("decimal(20,0)"))).first())  # equal pairs, equal marks
         if mark == before:
             break
     roots = pairs.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
