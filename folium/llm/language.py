@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,9 +132,10 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
     holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS per language
+    name = uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_scorer(holder)
+        scorer = worker_scorer(name, holder)
         langs = holder.value["langs"]
         for batch in batches:
             pairs = [predict_text(scorer, langs, t.as_py()) for t in batch.column(2)]
@@ -147,9 +149,9 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
 _scorers: dict = {}
 
 
-def worker_scorer(holder) -> Scorer:
-    key = id(holder.value)
-    if key not in _scorers:
+def worker_scorer(name: str, holder) -> Scorer:
+    """The worker's scorer of a call, by the call's own name: an address may be taken again by a later model."""
+    if name not in _scorers:
         _scorers.clear()
-        _scorers[key] = Scorer(holder.value)
-    return _scorers[key]
+        _scorers[name] = Scorer(holder.value)
+    return _scorers[name]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,15 +172,15 @@ def detect(docs: DataFrame, model: dict) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
     holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
+    name = uuid.uuid4().hex  # a worker may run several models in turn
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(holder.value)
-        if key not in _scorers:
+        if name not in _scorers:
             _scorers.clear()
-            _scorers[key] = Scorer(holder.value)
+            _scorers[name] = Scorer(holder.value)
         for batch in batches:
-            got = [score_text(_scorers[key], t.as_py()) for t in batch.column(2)]
+            got = [score_text(_scorers[name], t.as_py()) for t in batch.column(2)]
             score = pa.array([s for s, _ in got], pa.float64())
             predicted = pa.array([int(s >= THRESHOLD) for s, _ in got], pa.int32())
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in f] for _, f in got], kind)
