@@ -73,15 +73,45 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges (a, b)``: ``(node, root)`` with root the smallest node reachable.
+#: Edges that one task turns into stars; the number of tasks grows with the edges.
+EDGES = 250_000
 
-    Alternates the large-star and small-star steps, each one grouped shuffle, and checkpoints after each
-    round, so lineage stays short and no node's neighbours are ever gathered in one place.
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """The edges of each partition as ``hi, lo`` with lo the smallest node that the partition's own edges reach."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                x, last = up[x], x
+                up[last] = up.get(x, x)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(root, nodes)), pa.int64())], names=["hi", "lo"])
+
+    return pairs.mapInArrow(task, "hi long, lo long")
+
+
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
+    """Connected components of ``edges (a, b)`` of long ids: ``(node, root)`` with root the smallest node reachable.
+
+    Tasks of about ``per_task`` edges first make stars of their own edges; where that is one task, these are the
+    components. Else the large-star and small-star steps alternate with it, each one a grouped shuffle, with a
+    checkpoint after each round, so lineage stays short and no node's neighbours are ever gathered in one place.
+    Reads ``edges`` twice; give it a checkpoint.
     """
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    tasks = max(1, -(-edges.count() // per_task))
+    pairs = cut(_stars(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("hi"), F.least("a", "b").cast("long").alias("lo")).coalesce(tasks)))
     mark = None
-    while True:
+    while tasks > 1:
         both = pairs.unionByName(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         low = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("m", "hi").alias("m"))
         large = both.join(low, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
@@ -89,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.select("hi", F.col("m").alias("lo")).unionByName(joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        pairs = cut(small.where("hi <> lo").distinct())
+        pairs = cut(_stars(small.where("hi <> lo").distinct().coalesce(tasks)))
         before, mark = mark, tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.col("lo").cast("decimal(20,0)"))).first())  # equal pairs, equal marks
         if mark == before:
             break
