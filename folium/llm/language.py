@@ -20,7 +20,7 @@ SAMPLE = 4_000
 #: Words and n-grams kept per language, the longest n-gram, and the least weight (in words) added to every count.
 WORDS, GRAMS, LONGEST, SMOOTH = 20_000, 60_000, 5, 0.5
 #: Words whose scores a worker remembers before it starts again.
-MEMO = 300_000
+MEMO = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: The same split for Spark's functions.
 LETTERS = r"\p{L}+"
@@ -69,10 +69,28 @@ def fit(labelled: DataFrame, words: int = WORDS, grams: int = GRAMS, longest: in
     model = {"langs": langs, "tables": {}}
     for size, table in tables.items():
         total = {lang: sum(t.get(lang, 0) for t in table.values()) for lang in langs}
-        model["tables"][size] = {w: np.array([math.log((t.get(lang, 0) + SMOOTH) / (total[lang] + SMOOTH * len(table))) for lang in langs]) for w, t in table.items()}
+        shares = np.array([[math.log((t.get(lang, 0) + SMOOTH) / (total[lang] + SMOOTH * len(table))) for lang in langs] for t in table.values()])
+        model["tables"][size] = Table(list(table), shares)
     return model
 
 
+class Table:
+    """Words to rows of one matrix: an array of its own for each word would take most of a worker's memory."""
+
+    def __init__(self, words: list[str], shares: np.ndarray) -> None:
+        self.place = {w: i for i, w in enumerate(words)}
+        self.shares = shares
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.place
+
+    def __getitem__(self, word: str) -> np.ndarray:
+        return self.shares[self.place[word]]
+
+    def get(self, word: str) -> np.ndarray | None:
+        return self[word] if word in self.place else None
+
+
 class Scorer(dict):
     """Words to rows of a matrix of log scores per language, relative to the best one; remembered per worker."""
 

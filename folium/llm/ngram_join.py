@@ -31,7 +31,7 @@ COORDINATES, CANDIDATE, RUNS, LEVELS, LEAF, BLOCK = 96, 0.64, 16, 6, 2048, 2048
 BLOCK_SHINGLES = 2_000_000
 #: Candidates up to this number go to every task; more are joined by a shuffle.
 SMALL = 50_000
-MEMO = 500_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\x20\t-\r]+")
 _U = np.uint64
 _RNG = np.random.default_rng(20)
