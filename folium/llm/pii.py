@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from folium.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that may disclose it, and the least number of different contexts of a pair.
-NEAR, CONTEXTS = 5, 3
+#: Words on either side of an entity that may disclose it, and what is added to the counts of a pair's ends: rare pairs
+#: score lower in small corpora, where they may be chance, and none is left out.
+NEAR, SMOOTH = 5, 0.5
 GENERALISE, REMOVE = 0.8, 0.95
 #: Flagged spans up to this number go to every task; more are joined by a shuffle.
 SMALL = 50_000
@@ -143,22 +144,27 @@ def scan(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return rows.mapInArrow(task, _SCAN)
 
 
-def flagged(docs: DataFrame, scanned: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, least: int = CONTEXTS) -> DataFrame:
+def disclosure(joint: Column, df_term: Column, df_entity: Column, total: float) -> Column:
+    """Smoothed PMI of a term and an entity over the entity's information content; 0 for an entity of every text."""
+    pmi = F.log(F.lit(float(total)) * joint / ((df_term + SMOOTH) * (df_entity + SMOOTH)))
+    return F.when(df_entity >= total, 0.0).otherwise(pmi / F.log(F.lit(float(total)) / df_entity))
+
+
+def flagged(docs: DataFrame, scanned: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``row_key, extra``: the disclosing terms of each row as an array of (start, end, action).
 
-    Pairs are counted over all rows; equal windows, as copies have them, count as one context, so that copying a
-    text does not make its words disclosing. Term frequencies come from all rows' words, pre-aggregated per task.
+    Every pair is scored, however rare. All counts are of different texts, so that copying a text does not make its
+    words disclosing. Term frequencies come from all texts' words, pre-aggregated per task.
     """
-    seen = scanned.select("row_key", F.explode("contexts").alias("c")).select("row_key", "c.*")
-    entities = seen.where("first").select("row_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    pairs = seen.groupBy("entity", "term", "context").agg(F.count_if("first").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= least).join(entities, "entity"))
-    total = docs.count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    seen = scanned.select("row_key", F.explode("contexts").alias("c")).select("row_key", F.element_at(F.split("row_key", "\\|"), -1).alias("text_key"), "c.*")
+    entities = seen.groupBy("entity").agg(F.countDistinct("text_key").alias("df_entity"))
+    pairs = cut(seen.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("joint")).join(entities, "entity"))
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    total = texts.count()
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     wanted = pairs.select("term").distinct()
     terms = words.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term", "left_semi")
-    p = lambda c: F.col(c) / float(max(total, 1))
-    scored = pairs.join(terms, "term").withColumn("disclosure", F.when(F.col("df_entity") >= total, 0.0).otherwise(F.log(p("joint") / (p("df_term") * p("df_entity"))) / -F.log(p("df_entity"))))
+    scored = pairs.join(terms, "term").withColumn("disclosure", disclosure(F.col("joint"), F.col("df_term"), F.col("df_entity"), max(total, 1)))
     hit = scored.where(F.col("disclosure") >= generalise).select("entity", "term", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
     spans = seen.join(hit, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("action").alias("action"))
     return spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("extra"))  # a row's own terms

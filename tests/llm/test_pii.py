@@ -65,3 +65,11 @@ def test_digest_and_disclosure(spark):
     assert (1, None) in clean and (2, "") in clean and (None, "call [PHONE] now") in clean
     assert all("@" not in (t or "") and "zebrafish" not in (t or "") for _, t in clean)
     assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == n
+
+
+def test_pairs_seen_once_are_scored(spark):
+    rows = [(i, f"plain words of the common kind {chr(97 + i % 26)}{chr(97 + i // 26)}q go on") for i in range(300)]
+    rows += [(900, "the platypus wrote to carl@z.org and the common kind")] + [(901 + i, "the wombat wrote to dora@z.org and the common kind") for i in range(3)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "platypus" not in got[900] and "wombat" not in got[901]
+    assert all(w in got[900].split() for w in ("the", "common", "kind")) and got[0] == rows[0][1]
