@@ -1,9 +1,9 @@
 """Operator 10: personal data by patterns, and by what terms reveal: information-theoretic sanitisation.
 
-A term near a protected entity (an e-mail address, IP address, card or phone number) discloses it as far as the
-corpus says that who reads the term knows the entity: disclosure = PMI(term, entity) / IC(entity), which is 1 where
+A term in a text with a protected entity (an e-mail address, IP address, card or phone number) discloses it as far as
+the corpus says that who reads the term knows the entity: disclosure = PMI(term, entity) / IC(entity), which is 1 where
 the term occurs with this entity alone and 0 where the two are independent. Terms at or over ``REMOVE`` are removed,
-those at or over ``GENERALISE`` are replaced by a general word.
+those at or over ``GENERALISE`` are replaced by a general word, wherever they occur in any text.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from folium.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that may disclose it, and what is added to the counts of a pair's ends: rare pairs
+#: Words on either side of an entity that :func:`contexts` shows, and what is added to the counts of a pair's ends: rare pairs
 #: score lower in small corpora, where they may be chance, and none is left out.
 NEAR, SMOOTH = 5, 0.5
 GENERALISE, REMOVE = 0.8, 0.95
-#: Flagged spans up to this number go to every task; more are joined by a shuffle.
-SMALL = 50_000
+#: Disclosing terms, entities, common terms and copied texts up to this number go to every task; more are joined by a
+#: shuffle. Different terms that a task counts before it hands them on.
+SMALL, COUNTED = 50_000, 200_000
 
 _LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = regex.compile(r"\p{L}{3,}")
-TERM = r"\p{L}{3,}"
+_WORD = regex.compile(r"\p{L}+")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -83,7 +84,8 @@ def _number(value: str) -> int:
 
 
 def contexts(text: str, base: list[tuple[int, int, int]], near: int = NEAR) -> list[dict]:
-    """The terms within ``near`` words of each entity, outside of all base spans."""
+    """The terms of three letters or more within ``near`` words of each entity, outside of all base spans, to look at
+    what stands beside entities; :func:`disclosing` scores the words of whole texts."""
     if not base:
         return []
     cover = sorted((a, b) for _, a, b in base)
@@ -107,41 +109,66 @@ def contexts(text: str, base: list[tuple[int, int, int]], near: int = NEAR) -> l
     return out
 
 
-_CONTEXT = "array<struct<entity:long,term:string,start:int,end:int,context:long,first:boolean>>"
-_SCAN = f"doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, contexts {_CONTEXT}"
-_ARROW = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64()), ("first", pa.bool_())]))
-
-
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
     """Equal only for rows with equal id and text."""
-    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), text_key(text))
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
 
+def words_of(text: str) -> list[str]:
+    """The different words of a text, lower-cased, of any length and wherever they stand."""
+    return list({w.lower() for w in set(_WORD.findall(text))})
 
-def scan(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """Base spans and the contexts of their entities, one row per row of ``docs``."""
+
+def scan(docs: DataFrame) -> DataFrame:
+    """``text_key, entities, terms`` of the texts with entities, once per different text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for value in batch.column(2):
+            cols: list[list] = [[], [], []]
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                for k in range(4):
-                    cols[k].append(sum(s[0] == k for s in base))
-                joined = _joined(base)
-                cols[4].append(hashlib.sha256(joined.encode()).hexdigest())
-                cols[5].append(joined)
-                cols[6].append(contexts(text, base, near))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [_ARROW]
-            names = [c.split()[0] for c in _SCAN.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+                if base:
+                    cols[0].append(key)
+                    cols[1].append(list({_number(_entity(k, text[a:b])) for k, a, b in base}))
+                    cols[2].append(words_of(text))
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["text_key", "entities", "terms"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text"))
-    return rows.mapInArrow(task, _SCAN)
+    found = docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(task, "text_key string, entities array<long>, terms array<string>")
+    return found.dropDuplicates(["text_key"])
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """``df``, which is a checkpoint, for a join: sent to every task if small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def word_counts(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``term, df_term``: the number of different texts with each word. A text of n copies counts 1 / n in each."""
+    repeated = cut(copies.where("n > 1"))
+    texts = docs.select(text_key(F.col("text")).alias("text_key"), "text").join(_side(repeated), "text_key", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, float] = {}
+        for batch in batches:
+            for text, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for word in words_of(text.as_py() or ""):
+                    counts[word] = counts.get(word, 0.0) + 1 / n
+                if len(counts) >= COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], names=["term", "n"])
+                    counts = {}
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], names=["term", "n"])
+
+    return texts.mapInArrow(task, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("df_term"))
 
 
 def disclosure(joint: Column, df_term: Column, df_entity: Column, total: float) -> Column:
@@ -150,24 +177,67 @@ def disclosure(joint: Column, df_term: Column, df_entity: Column, total: float)
     return F.when(df_entity >= total, 0.0).otherwise(pmi / F.log(F.lit(float(total)) / df_entity))
 
 
-def flagged(docs: DataFrame, scanned: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``row_key, extra``: the disclosing terms of each row as an array of (start, end, action).
+def disclosing(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``term, action``: the words of whole texts that disclose an entity of theirs, with the stronger action.
 
-    Every pair is scored, however rare. All counts are of different texts, so that copying a text does not make its
-    words disclosing. Term frequencies come from all texts' words, pre-aggregated per task.
+    Every pair of an entity and a word of one text is scored, however rare. All counts are of different texts, so that
+    copying a text does not make its words disclosing. As a pair occurs no oftener than its entity, a word can only
+    reach ``generalise`` with df_term + SMOOTH <= total^(1 - generalise) * df_entity^generalise: words that are more
+    common are left out before pairs are made, which loses none.
     """
-    seen = scanned.select("row_key", F.explode("contexts").alias("c")).select("row_key", F.element_at(F.split("row_key", "\\|"), -1).alias("text_key"), "c.*")
-    entities = seen.groupBy("entity").agg(F.countDistinct("text_key").alias("df_entity"))
-    pairs = cut(seen.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("joint")).join(entities, "entity"))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    total = texts.count()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    wanted = pairs.select("term").distinct()
-    terms = words.groupBy("term").agg(F.count("*").alias("df_term")).join(wanted, "term", "left_semi")
-    scored = pairs.join(terms, "term").withColumn("disclosure", disclosure(F.col("joint"), F.col("df_term"), F.col("df_entity"), max(total, 1)))
-    hit = scored.where(F.col("disclosure") >= generalise).select("entity", "term", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
-    spans = seen.join(hit, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("action").alias("action"))
-    return spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("extra"))  # a row's own terms
+    scanned = cut(scan(docs))
+    copies = cut(docs.groupBy(text_key(F.col("text")).alias("text_key")).agg(F.count("*").alias("n")))
+    total = max(copies.count(), 1)
+    entities = cut(scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity")))
+    most = entities.agg(F.max("df_entity")).first()[0] or 0
+    bound = lambda df_entity: F.lit(total ** (1 - generalise)) * df_entity**generalise * (1 + 1e-9)
+    counts = cut(word_counts(docs, copies))
+    rare = F.col("df_term") + SMOOTH <= bound(F.lit(float(most)))
+    words = scanned.select("text_key", F.explode("terms").alias("term")).join(_side(cut(counts.where(~rare).select("term"))), "term", "left_anti")
+    words = words.join(counts.where(rare), "term")
+    ends = scanned.select("text_key", F.explode("entities").alias("entity")).join(_side(entities), "entity")
+    pairs = words.join(ends, "text_key").where(F.col("df_term") + SMOOTH <= bound(F.col("df_entity")))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity"))
+    scored = pairs.select("term", disclosure(F.col("joint"), F.col("df_term"), F.col("df_entity"), total).alias("disclosure"))
+    best = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return cut(best.select("term", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action")))
+
+
+def _with_terms(docs: DataFrame, hits: DataFrame):
+    """``docs`` with ``__terms``, the disclosing (term, action) of each row, or all of them as a broadcast where few."""
+    if hits.count() <= SMALL:
+        few = {r["term"]: r["action"] for r in hits.collect()}  # bounded by SMALL
+        return docs.withColumn("__terms", F.lit(None).cast("map<string,string>")), docs.sparkSession.sparkContext.broadcast(few)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py() or "")
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.string()), pa.array(words, pa.string())], names=["__key", "term"])
+
+    key = row_key(F.col("doc_id"), F.col("text"))
+    pairs = docs.select(key.alias("__key"), "text").mapInArrow(task, "__key string, term string").join(hits, "term").distinct()
+    found = pairs.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("__terms"))  # a row's own terms
+    return docs.withColumn("__key", key).join(found, "__key", "left").drop("__key"), None
+
+
+def occurrences(text: str, base: list[tuple[int, int, int]], terms: dict[str, str]) -> list[tuple[int, int, str]]:
+    """(start, end, action) of every word of ``text`` that is one of ``terms``, outside of all base spans."""
+    found = [(m.start(), m.end(), a) for m in _WORD.finditer(text) if (a := terms.get(m.group().lower()))] if terms else []
+    if not found or not base:
+        return found
+    cover: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if cover and a <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], b)
+        else:
+            cover.append([a, b])
+    starts = [a for a, _ in cover]
+    free = lambda s, e: (i := bisect_left(starts, e) - 1) < 0 or cover[i][1] <= s
+    return [x for x in found if free(x[0], x[1])]
+
+
+_DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -176,17 +246,33 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     Null text counts as empty and has no spans; every row gives one row, repeated rows equal ones; an empty table
     gives none. Columns other than the id and the text are not read.
     """
-    docs = docs.select("doc_id", "text")
-    scanned = cut(scan(docs))
-    found = scanned.drop("contexts").join(flagged(docs, scanned), "row_key", "left")
-    term = F.transform("extra", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string")))
-    parts = F.filter(F.array(F.col("base"), F.coalesce(F.array_join(term, ","), F.lit(""))), lambda x: x != "")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(parts, ",").alias("spans"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, holder = _with_terms(docs, disclosing(docs))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(6)]
+            for value, own in zip(batch.column(1), batch.column(2), strict=True):
+                text = value.as_py() or ""
+                base = base_spans(text)
+                for k in range(4):
+                    cols[k].append(sum(s[0] == k for s in base))
+                joined = _joined(base)
+                cols[4].append(hashlib.sha256(joined.encode()).hexdigest())
+                extra = occurrences(text, base, holder.value if holder else dict(own.as_py() or ()))
+                cols[5].append(",".join(filter(None, [joined, *(f"term:{a}:{b}" for a, b, _ in extra)])))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            names = [c.split()[0] for c in _DIGEST.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+
+    return rows.select("doc_id", "text", "__terms").mapInArrow(task, _DIGEST)
 
 
-def redact(text: str, extra: list[tuple[int, int, str]]) -> str:
+def redact(text: str, terms: dict[str, str]) -> str:
     """Entities become their kind in brackets, disclosing terms a general word or nothing."""
-    spans = [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in base_spans(text)]
+    base = base_spans(text)
+    spans = [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in base]
+    extra = occurrences(text, base, terms)
     spans += [(a, b, "" if action == "remove" else "[TERM]") for a, b, action in extra]
     out, at = [], 0
     for a, b, word in sorted(spans):
@@ -195,23 +281,20 @@ def redact(text: str, extra: list[tuple[int, int, str]]) -> str:
             at = b
         elif b > at:  # overlaps the span before: what is left of it goes too
             at = b
-    return "".join([*out, text[at:]])
+    clean = "".join([*out, text[at:]])
+    return redact(clean, {}) if extra and base_spans(clean) else clean  # what a removed term stood between
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with the text redacted, all columns and rows kept; null and empty texts stay as they are."""
-    scanned = cut(scan(docs.select("doc_id", "text")))
-    extra = cut(flagged(docs.select("doc_id", "text"), scanned))
-    extra = F.broadcast(extra) if extra.count() <= SMALL else extra
     names = docs.columns
-    rows = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).join(extra.select(F.col("row_key").alias("__key"), F.col("extra").alias("__extra")), "__key", "left").drop("__key")
+    rows, holder = _with_terms(docs, disclosing(docs.select("doc_id", "text")))
     at = names.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            extras = batch.column(len(names)).to_pylist()
-            texts = [t.as_py() and redact(t.as_py(), [(x["start"], x["end"], x["action"]) for x in e or ()]) for t, e in zip(batch.column(at), extras, strict=True)]
+            texts = [t.as_py() and redact(t.as_py(), holder.value if holder else dict(own.as_py() or ())) for t, own in zip(batch.column(at), batch.column(len(names)), strict=True)]
             cols = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.select(*[F.col(f"`{c}`") for c in names], "__extra").mapInArrow(task, docs.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in names], "__terms").mapInArrow(task, docs.schema)

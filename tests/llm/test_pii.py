@@ -73,3 +73,16 @@ def test_pairs_seen_once_are_scored(spark):
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "platypus" not in got[900] and "wombat" not in got[901]
     assert all(w in got[900].split() for w in ("the", "common", "kind")) and got[0] == rows[0][1]
+
+
+def test_terms_go_wherever_they_stand(spark, monkeypatch):
+    rows = [(i, f"plain words of the common kind {chr(97 + i % 26)}{chr(97 + i // 26)}q go on") for i in range(300)]
+    far = "plain words of the common kind " * 4
+    rows += [(900 + i, f"{w} quokka qx {far} sent it to eve@w.org {far} quokka") for i, w in enumerate(["one", "two", "three"])] + [(910, "the Quokka of the common kind")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (pii.SMALL, 0):  # by a broadcast, and by joins
+        monkeypatch.setattr(pii, "SMALL", small)
+        got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+        assert all("quokka" not in t.lower() for t in got.values()) and "qx" not in got[900].split() and "common" in got[900]
+        spans = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
+        assert spans[910] == "term:4:10" and spans[900].endswith(f"term:{len(rows[300][1]) - 6}:{len(rows[300][1])}")
