@@ -88,8 +88,14 @@ def sections(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return d.select("section", F.coalesce("sort_order", F.lit(2_147_483_647)).alias("section_order"), key, F.row_number().over(w).alias("place"))
 
 
+def numbered(position: Column, name: Column) -> Column:
+    """A name behind its position in four digits, or in all of them where there are more."""
+    digits = position.cast("string")
+    return F.concat(F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")), F.lit(" "), name)
+
+
 def missing_files(chapters: DataFrame, files: DataFrame) -> DataFrame:
     """Chapters without a file under their own name or their numbered one."""
-    names = chapters.withColumn("_n", F.explode(F.array(F.col("name"), F.concat(F.lpad(F.col("position").cast("string"), 4, "0"), F.lit(" "), F.col("name")))))
+    names = chapters.withColumn("_n", F.explode(F.array(F.col("name"), numbered(F.col("position"), F.col("name")))))
     there = names.join(files.select("favorite_id", F.col("file").alias("_n")), ["favorite_id", "_n"], "left_semi").select("favorite_id", "position")
     return chapters.join(there, ["favorite_id", "position"], "left_anti")

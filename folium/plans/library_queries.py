@@ -84,11 +84,16 @@ def grouped_sections(spark, sf):
     return library.sections(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("group_id")), g, "c_custkey")
 
 
-def missing_artefacts(spark, sf):
+def missing_artefacts_whole(spark, sf):
     o = table(spark, sf, "orders")
     chapters = o.select(F.col("o_custkey").alias("favorite_id"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("name"))
-    files = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("favorite_id"), F.concat(F.lpad(F.col("o_orderkey").cast("string"), 4, "0"), F.lit(" "), F.col("o_orderpriority")).alias("file"))
-    return library.missing_files(chapters, files).where("position < 9999").select("favorite_id", "position")
+    files = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("favorite_id"), library.numbered(F.col("o_orderkey"), F.col("o_orderpriority")).alias("file"))
+    return library.missing_files(chapters, files).select("favorite_id", "position")
+
+
+def missing_artefacts(spark, sf):
+    """As its SQL has it, only positions below 9999; all of them are in ``missing_artefacts_whole``."""
+    return missing_artefacts_whole(spark, sf).where("position < 9999")
 
 
 def queue_groups(spark, sf):
@@ -154,9 +159,14 @@ def failure_streak(spark, sf):
     return ordered.failure_streak(d, "user_id", ["ts", "event_id"], F.col("event_type").isin("error", "view"))
 
 
-def natural_order(spark, sf):
+def natural_order_whole(spark, sf):
     d = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("x"), (F.col("p_partkey") % 120).cast("string"), F.lit("y"), F.col("p_partkey").cast("string")).alias("name"))
-    return d.orderBy(text.natural_key(F.col("name"))).limit(200)
+    return d.orderBy(text.natural_key(F.col("name")))
+
+
+def natural_order(spark, sf):
+    """As its SQL has it, only the first 200 rows; all of them are in ``natural_order_whole``."""
+    return natural_order_whole(spark, sf).limit(200)
 
 
 def text_cleanup(spark, sf):
@@ -286,6 +296,7 @@ for _f, _sql in (
     (library_sort, "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 4 <> 0 THEN epoch_ms(o_orderdate) END updated FROM orders ORDER BY 3 DESC NULLS LAST, 1 LIMIT 100"),
     (grouped_sections, "SELECT coalesce(CASE WHEN n_nationkey < 10 THEN n_name END, 'Ungrouped') AS section, (CASE WHEN n_nationkey < 10 THEN 100 - n_nationkey ELSE 2147483647 END)::INT section_order, c_custkey, (row_number() OVER (PARTITION BY coalesce(CASE WHEN n_nationkey < 10 THEN n_name END, 'Ungrouped') ORDER BY c_custkey))::INT place FROM customer JOIN nation ON n_nationkey = c_nationkey"),
     (missing_artefacts, "SELECT o_custkey favorite_id, o_orderkey AS position FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey < 9999"),
+    (missing_artefacts_whole, "SELECT o_custkey favorite_id, o_orderkey AS position FROM orders WHERE o_orderkey % 3 <> 0"),
     (queue_groups, "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') finished, count(*) FILTER (WHERE o_orderstatus = 'O') waiting, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) active, 0::BIGINT stopped FROM orders"),
     (queue_page, "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1998-12-31' ORDER BY o_orderpriority, o_orderkey LIMIT 25 OFFSET 20"),
     (task_rollup, "SELECT l_orderkey task_id, count(*) n_chapters, count(*) FILTER (WHERE l_linestatus = 'F') n_done, sum(l_quantity::BIGINT)::BIGINT pages, coalesce(sum(l_quantity::BIGINT) FILTER (WHERE l_linestatus = 'F'), 0)::BIGINT pages_done, count(*) FILTER (WHERE l_linestatus = 'F') || '/' || count(*) AS label FROM lineitem GROUP BY 1"),
@@ -299,6 +310,7 @@ for _f, _sql in (
     (run_ranges, "WITH d AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id % 3 <> 0 OR turn % 4 <> 2), r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) g FROM d) SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) n FROM r GROUP BY conv_id, g"),
     (failure_streak, "WITH e AS (SELECT user_id, event_type IN ('error', 'view') f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events), l AS (SELECT user_id, coalesce(max(i) FILTER (WHERE NOT f), 0) k FROM e GROUP BY 1) SELECT user_id, count(*) FILTER (WHERE f AND i > k) streak FROM e JOIN l USING (user_id) GROUP BY 1"),
     (natural_order, "SELECT p_partkey, 'x' || p_partkey % 120 || 'y' || p_partkey AS name FROM part ORDER BY p_partkey % 120, p_partkey LIMIT 200"),
+    (natural_order_whole, "SELECT p_partkey, 'x' || p_partkey % 120 || 'y' || p_partkey AS name FROM part ORDER BY p_partkey % 120, p_partkey"),
     (text_cleanup, "SELECT p_partkey, p_name || '  ' || p_type || ' ,,' trimmed, p_name || ' ' || p_type || ' ,,' fixed, chr(9) || ' ' || p_name || '  ' || p_type bare, 'http://h/' || p_brand url, CASE WHEN length(p_name) > 8 THEN p_name[1:7] || '…' ELSE p_name END short, 'b,c' part FROM part"),
     (julian_days, "SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 2440588 jdn, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') stamp FROM orders"),
     (digests, "SELECT p_partkey, md5(p_name) md5, sha256(p_name) sha256, sha1(p_name) sha1, base64(p_name::BLOB) b64, url_encode(p_name || ' é&') uri, hex(p_name) hexed, '&lt;&amp;&gt;' || p_name html FROM part"),

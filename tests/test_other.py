@@ -96,3 +96,24 @@ def test_small_operators(spark):
     assert t.first().u == "2020-06-01 10:00:00"
     m = spark.createDataFrame([(1, "cbz"), (1, "folder"), (2, "pdf"), (2, "pdf"), (2, "cbz")], "k int, format string")
     assert {r.k: r.format for r in library.majority_format(m, "k").collect()} == {1: "folder", 2: "pdf"}
+
+
+def test_long_positions_keep_their_digits(spark):
+    from folium.operators import library
+
+    chapters = spark.createDataFrame([(1, 1234, "a"), (1, 12345, "a"), (1, 123456, "a"), (1, 7, "a")], "favorite_id long, position long, name string")
+    files = spark.createDataFrame([(1, "12345 a"), (1, "0007 a")], "favorite_id long, file string")
+    assert sorted(r.position for r in library.missing_files(chapters, files).collect()) == [1234, 123456]
+
+
+def test_whole_tables_are_read(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    orders = [(k, 1, "1-URGENT") for k in (1234, 12345, 99_998, 99_999)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    parts = [(k, f"n{k}", "STD", 10) for k in range(1, 401)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(r.position for r in run("missing_artefacts_whole")) == [1234, 99_998]
+    assert len(run("natural_order_whole")) == 400 == sum(r.n for r in run("resolve_decide_whole"))
+    assert [r.position for r in run("missing_artefacts")] == [1234]
