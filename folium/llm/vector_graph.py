@@ -1,10 +1,11 @@
 """Operator 9: embedding near-duplicates by a robust-pruned flat graph.
 
 Unit vectors are dealt to overlapping cells of a k-means clustering: a vector goes to its nearest center and to every
-center whose border is nearer than the widest link, so the two ends of any link share a cell. Each cell is a task that
+center whose border is nearer than half the widest link, so the two ends of any link share a cell. Each cell is a task that
 builds a pruned neighbour graph over its members; the adjacency lists of a vector from all its cells are united; a
 range search then starts at the cell's medoid, descends greedily to the query and widens over neighbours in range.
-Each task audits its own recall on every AUDIT-th member and searches the whole cell where the graph falls short.
+Each task audits its own recall on every AUDIT-th member, itself left out, and searches the whole cell where the graph
+falls short. As every link has a cell that holds both ends, the audits see all links of the audited members.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ SAMPLE, CELL = 4_000, 400
 BLOCK = 1_500
 #: Neighbours per vector, nearest and far candidates to prune from, pruning slack, and the beam of the greedy search.
 DEGREE, POOL, FAR, ALPHA, BEAM = 16, 40, 40, 1.2, 24
-#: Deviations of a link's part across a border that the overlap of cells covers; see :func:`_cells`.
-SPREAD = 3.0
 AUDIT, RECALL = 20, 0.95
 
 
@@ -94,10 +93,9 @@ def fit_centers(usable: DataFrame, rounds: int = 8) -> dict[tuple[int, int], np.
 def _cells(members: DataFrame, centers: dict, threshold: float) -> DataFrame:
     """``members`` with ``cells``, the numbers of the cells that hold each: its own first.
 
-    A link is at most d = sqrt(2 - 2t) long. If u's nearest center is c, then v within d of u lies within d of c's
-    side of the plane between c and v's own center. A link's direction has little to do with that plane's: of its
-    length the part across is about d / sqrt(dimensions), so v is put into c's cell if the plane is nearer than SPREAD
-    times that (and never needs to be if farther than d), and nearly all links meet there.
+    A link is at most d = sqrt(2 - 2t) long. Where its ends u and v have different centers of their own, the plane
+    between the two centers crosses it, so the end nearer to the plane is within d / 2 of it. A vector is put into every
+    cell whose plane is that near, so this end joins the other end's own cell and no link is lost, in any direction.
     """
     names = {}
     for k in sorted(centers):
@@ -119,7 +117,7 @@ def _cells(members: DataFrame, centers: dict, threshold: float) -> DataFrame:
                 own = far.argmin(axis=1)
                 apart = np.sqrt(np.maximum(0, 2 - 2 * (c[own] @ c.T)))
                 gap = far - far[np.arange(len(x)), own][:, None]
-                reach = math.sqrt(2 - 2 * threshold) * min(1.0, SPREAD / math.sqrt(x.shape[1]))
+                reach = math.sqrt(2 - 2 * threshold) / 2
                 inside = gap <= 2 * reach * apart + 1e-9
                 inside[np.arange(len(x)), own] = True
                 for i, o, row in zip(rows, own, inside, strict=True):
@@ -257,7 +255,8 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
             found = [range_search(x, graph, start, q, threshold) for q in range(n)]
             audit = np.arange(0, n, AUDIT)
             truth = x[audit] @ x.T >= threshold
-            hits = sum(len(found[q]) for q in audit)
+            truth[np.arange(len(audit)), audit] = False  # a member always finds itself
+            hits = sum(np.count_nonzero(found[q] != q) for q in audit)
             total = int(truth.sum())
             if hits < RECALL * total:  # the exact way
                 found = [np.nonzero(x @ x[q] >= threshold)[0] for q in range(n)]

@@ -60,3 +60,18 @@ def test_search_finds_nearly_all():
     found = sum(len(vg.range_search(x, graph, 0, q, 0.98)) for q in range(0, 1200, 7))
     assert found >= 0.95 * int((x[::7] @ x.T >= 0.98).sum())
     assert sum(map(len, graph)) <= 2 * vg.DEGREE * len(x)
+
+
+def test_links_across_borders_share_a_cell(spark):
+    rng = np.random.default_rng(4)
+    flat = rng.uniform(0, 2 * np.pi, 500)  # vectors that vary in two of 64 directions
+    x = np.zeros((500, 64))
+    x[:, 0], x[:, 1] = np.cos(flat), np.sin(flat)
+    members = spark.createDataFrame([(i, 0, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "number long, label long, unit binary, copies long")
+    at = np.arange(12) * 2 * np.pi / 12
+    centers = np.zeros((12, 64))
+    centers[:, 0], centers[:, 1] = np.cos(at), np.sin(at)
+    cells = {r.number: set(r.cells) for r in vg._cells(members, {(0, 512): centers}, 0.98).collect()}
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    assert len(a) > 1000 and all(cells[i] & cells[j] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert max(map(len, cells.values())) < 4
