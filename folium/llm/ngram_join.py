@@ -2,7 +2,8 @@
 
 Sets are embedded by minhash coordinates. Each run splits all sets along paths: a node of the path tree picks one
 coordinate by its own hash, and sets that share the value there go to the same child. A node with few sets is brute
-forced; one with many splits again. Runs repeat until the target recall. Brute force on sketches joins candidates
+forced; one with many splits again, as deep as the runs still reach the target recall, and is then brute forced in
+blocks. Brute force on sketches joins candidates
 into provisional groups, and all pairs of a group are then compared by their exact sets.
 
 No step emits the pairs of a group: sketches and sets are compared in blocks inside tasks, which give out spanning
@@ -24,9 +25,11 @@ from folium.llm.common import components, cut, groups
 
 #: Words of an n-gram, and the least similarity as a fraction.
 NGRAM, THRESHOLD = 5, (4, 5)
-#: Minhash coordinates, the least share of equal ones of a candidate (about four deviations below the threshold),
-#: runs, levels of a path, the most sets of a node that does not split again, and rows of a block of an oversized node.
-COORDINATES, CANDIDATE, RUNS, LEVELS, LEAF, BLOCK = 96, 0.64, 16, 6, 2048, 2048
+#: Most share of the pairs at the threshold that all runs together may miss; see :func:`levels`.
+MISSED = 2e-5
+#: Minhash coordinates, the least share of equal ones of a candidate (which drops 10^-6 of the pairs at the threshold),
+#: runs, the most sets of a node that does not split again, and rows of a block of an oversized node.
+COORDINATES, CANDIDATE, RUNS, LEAF, BLOCK = 96, 0.59, 16, 2048, 2048
 #: Shingles of a block of a group that is compared exactly.
 BLOCK_SHINGLES = 2_000_000
 #: Candidates up to this number go to every task; more are joined by a shuffle.
@@ -131,13 +134,24 @@ def _children(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "node", "sketch").mapInArrow(task, "rep long, node long")
 
 
-def _leaves(reps: DataFrame, runs: int) -> DataFrame:
-    """``rep, node, count``: the nodes at which paths end, with at least two sets each."""
+def levels(runs: int, threshold: tuple[int, int]) -> int:
+    """The most levels of a path at which ``runs`` runs miss no more than MISSED of the pairs at the threshold; at least one.
+
+    A pair of similarity s stays together for k levels with probability s^k, so all runs miss it with (1 - s^k)^runs.
+    """
+    s, k = threshold[0] / threshold[1], 1
+    while s < 1 and (1 - s ** (k + 1)) ** runs <= MISSED:
+        k += 1
+    return k
+
+
+def _leaves(reps: DataFrame, runs: int, most: int) -> DataFrame:
+    """``rep, node, count``: the nodes at which paths end, after ``most`` levels at the deepest, with at least two sets each."""
     live, ends = _roots(reps, runs), []
-    for level in range(LEVELS):
+    for level in range(most):
         counts = live.groupBy("node").agg(F.count("*").alias("count")).where("count > 1")
         live = cut(live.join(counts, "node").select("rep", "node", "count"))
-        if level + 1 == LEVELS:
+        if level + 1 == most:
             ends.append(live)
             break
         ends.append(live.where(F.col("count") <= LEAF))
@@ -297,7 +311,7 @@ def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, runs: in
 
 def _joined(docs: DataFrame, sketched: DataFrame, reps: DataFrame, threshold: tuple[int, int], runs: int) -> DataFrame:
     inner = cut(reps.select(F.col("number").alias("rep"), F.col("rep").alias("doc_id"), "set_key", "copies", "n_shingles", "sketch"))
-    links = cut(_candidates(_leaves(inner, runs), inner).distinct())
+    links = cut(_candidates(_leaves(inner, runs, levels(runs, threshold)), inner).distinct())
     groups_ = components(links)
     active = groups_.withColumnRenamed("node", "rep").join(inner.select("rep", "doc_id", "set_key", "copies", "n_shingles"), "rep")
     sizes = active.groupBy("root").agg(F.count("*").alias("group_size"), F.sum("n_shingles").alias("group_shingles"))

@@ -63,3 +63,13 @@ def test_overlaps():
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
     got = nj.overlaps(sets, 32)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
+
+
+def test_paths_and_sketches_keep_the_target_recall():
+    from math import comb
+
+    s = nj.THRESHOLD[0] / nj.THRESHOLD[1]
+    deep = nj.levels(nj.RUNS, nj.THRESHOLD)
+    assert deep > 1 and (1 - s**deep) ** nj.RUNS <= 2e-5 < (1 - s ** (deep + 1)) ** nj.RUNS
+    least = -(-nj.CANDIDATE * nj.COORDINATES // 1)
+    assert sum(comb(nj.COORDINATES, i) * s**i * (1 - s) ** (nj.COORDINATES - i) for i in range(int(least))) <= 2e-6
