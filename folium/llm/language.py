@@ -19,8 +19,8 @@ UNKNOWN = "und"
 SAMPLE = 4_000
 #: Words and n-grams kept per language, the longest n-gram, and the least weight (in words) added to every count.
 WORDS, GRAMS, LONGEST, SMOOTH = 20_000, 60_000, 5, 0.5
-#: Words whose scores a worker remembers before it starts again.
-MEMO = 150_000
+#: Words whose scores a worker remembers before it starts again, and the letters of the longest one it remembers.
+MEMO, REMEMBERED = 150_000, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: The same split for Spark's functions.
 LETTERS = r"\p{L}+"
@@ -103,24 +103,34 @@ class Scorer(dict):
     def score(self, word: str) -> np.ndarray | None:
         out = self.tables[0].get(word)
         if out is None:
-            bounded = f"^{word[:64]}$"
+            bounded = f"^{word}$"
             for size in self.sizes:  # the longest size of which any n-gram is known decides
                 table = self.tables[size]
-                found = [table[g] for g in (bounded[i : i + size] for i in range(len(bounded) - size + 1)) if g in table and (size > 1 or g not in "^$")]
-                if found:
-                    return sum(found) / len(found)
+                total, n = 0.0, 0
+                for i in range(len(bounded) - size + 1):
+                    g = bounded[i : i + size]
+                    if g in table and (size > 1 or g not in "^$"):
+                        total, n = total + table[g], n + 1
+                if n:
+                    return total / n
         return out
 
+    def relative(self, word: str) -> np.ndarray | float:
+        out = self.score(word)
+        return 0.0 if out is None else out - out.max()
+
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self)
-        out = self.score(word)
-        self.rows[row] = 0.0 if out is None else out - out.max()
+        self.rows[row] = self.relative(word)
         return row
 
     def total(self, words: list[str]) -> np.ndarray:
         out = np.zeros(self.rows.shape[1])
         for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
+            part = [w for w in words[a : a + 4096] if len(w) <= REMEMBERED]
+            for word in words[a : a + 4096] if len(part) < min(4096, len(words) - a) else ():
+                if len(word) > REMEMBERED:
+                    out += self.relative(word)
             if len(self) + len(part) > MEMO:
                 self.clear()
             out += self.rows[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)

@@ -22,16 +22,20 @@ FEATURES, LEAST_Z = 4_000, 3.5
 #: A document without any telling sentence is toxic with this probability.
 LEAK = 1e-3
 THRESHOLD = 0.3
-MEMO = 300_000
+#: Words whose shares a worker remembers before it starts again, and the letters of the longest one it remembers.
+MEMO, REMEMBERED = 300_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 GRAMS = (4, 5, 7)
 
 
-def word_features(word: str) -> list[str]:
-    """A word itself (marked) and its bounded character n-grams."""
-    bounded = f"^{word[:64]}$"
-    return ["=" + word, *(bounded[i : i + n] for n in GRAMS for i in range(len(bounded) - n + 1))]
+def word_features(word: str) -> Iterator[str]:
+    """A word itself (marked) and its bounded character n-grams, one at a time as a word may be a whole text."""
+    bounded = f"^{word}$"
+    yield "=" + word
+    for n in GRAMS:
+        for i in range(len(bounded) - n + 1):
+            yield bounded[i : i + n]
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -136,9 +140,11 @@ class Scorer(dict):
 
     def __missing__(self, word: str) -> float | None:
         known = [self.weights[f] for f in word_features(word) if f in self.weights]
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = sum(known) if known else None
+        out = sum(known) if known else None
+        if len(word) <= REMEMBERED:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
         return out
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:

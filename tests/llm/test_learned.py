@@ -65,3 +65,15 @@ def test_toxicity(spark):
     assert toxicity.detect(docs.limit(0), model).collect() == []
     none = toxicity.fit(docs.limit(0), labels.limit(0))
     assert {r.predicted for r in toxicity.detect(edges(spark), none).collect()} == {0}
+
+
+def test_long_words_are_scored_whole():
+    import numpy as np
+
+    v = lambda a, b: np.log(np.array([a, b]))
+    s = language.Scorer({"langs": ["x", "y"], "tables": {0: {}, 1: {"z": v(0.5, 0.5)}, 2: {"ab": v(0.6, 0.4), "qz": v(0.1, 0.9)}}})
+    word = "ab" * 32 + "qz" * 100
+    assert language.predict_text(s, ["x", "y"], word)[0] == "y" and word not in s
+    assert language.predict_text(s, ["x", "y"], f"{word} ab ab")[0] == "y" and "ab" in s
+    t = toxicity.Scorer({"weights": {"vile": 9.0}, "bias": -4.0})
+    assert toxicity.score_text(t, "o" * 100 + "vile" + "o" * 100)[0] > 0.9 and len(t) == 0
