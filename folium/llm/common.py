@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +16,19 @@ from pyspark.sql import functions as F
 
 #: ASCII white space between words, as a Java / RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
+#: A run of letters, for Spark's functions.
+LETTERS = r"\p{L}+"
+
+
+def _number_signs() -> str:
+    """The signs that Python's ``\\w`` takes for letters though Unicode has them as numbers, as ranges of a class."""
+    odd = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(odd), lambda x: x[1] - x[0])]
+    return "".join(re.escape(chr(r[0])) + (f"-{re.escape(chr(r[-1]))}" if len(r) > 1 else "") for r in runs)
+
+
+#: The same run for Python.
+LETTER_RUN = re.compile(rf"[^\W\d_{_number_signs()}]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +41,15 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one will do in
+    local mode (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="folium-"))
             base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -113,10 +133,10 @@ def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
     mark = None
     while tasks > 1:
         both = pairs.unionByName(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        low = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("m", "hi").alias("m"))
+        low = cut(both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("m", "hi").alias("m")))  # apart, so that the join of a hot node can be split
         large = both.join(low, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        large = large.where("hi <> lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = cut(large.where("hi <> lo").distinct())
+        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         joined = large.join(least, "hi")
         small = joined.select("hi", F.col("m").alias("lo")).unionByName(joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         pairs = cut(_stars(small.where("hi <> lo").distinct().coalesce(tasks)))

@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import math
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import held_out
+from folium.llm.common import LETTER_RUN, LETTERS, held_out
 
 UNKNOWN = "und"
 #: Labelled documents per language that the model is fitted on: about so many are drawn by a hash of their ids.
 SAMPLE = 4_000
-#: Words and n-grams kept per language, the longest n-gram, and the least weight (in words) added to every count.
+#: Words and n-grams kept per language (None: all), the longest n-gram, and the least weight (in words) added to every count.
 WORDS, GRAMS, LONGEST, SMOOTH = 20_000, 60_000, 5, 0.5
 #: Words whose scores a worker remembers before it starts again, and the letters of the longest one it remembers.
 MEMO, REMEMBERED = 150_000, 64
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: The same split for Spark's functions.
-LETTERS = r"\p{L}+"
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
@@ -40,37 +35,35 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     return rows.where(place < rate).select("lang", "text")
 
 
-def fit(labelled: DataFrame, words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST) -> dict:
+def fit(labelled: DataFrame, words: int | None = WORDS, grams: int | None = GRAMS, longest: int = LONGEST) -> dict:
     """The model from ``lang, text``: languages, known words and n-grams by length, each with a log share per language.
 
-    Words are counted by Spark; n-grams are counted over distinct words weighted by their counts. What reaches the
-    driver is bounded by ``words`` and ``grams`` per language and length.
+    Words are counted by Spark; n-grams are counted over distinct words weighted by their counts, and one pass ranks
+    both per language and length. What reaches the driver, as one Arrow table, is bounded by ``words`` and ``grams``
+    per language and length; with None for both, nothing is left out and the bound is the vocabulary of the sample.
     """
     split = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(LETTERS), F.lit(0))
     counts = labelled.select("lang", F.explode(split).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    counts = counts.persist()
-
-    def top(df: DataFrame, most: int) -> dict[str, dict[str, int]]:
-        langs = [r["lang"] for r in df.select("lang").distinct().collect()]
-        out: dict[str, dict[str, int]] = {}
-        for lang in langs:
-            for r in df.where(F.col("lang") == lang).orderBy(F.desc("n"), "w").limit(most).collect():
-                out.setdefault(r["w"], {})[lang] = r["n"]
-        return out
-
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    known = top(counts.where("n >= 2"), words)
-    tables = {0: known}
-    for size in range(1, longest + 1):
-        cuts = F.expr(f"transform(sequence(1, greatest(length(w) + 3 - {size}, 1)), i -> substr(concat('^', w, '$'), i, {size}))")
-        shares = counts.select("lang", "n", F.explode(cuts).alias("w")).where(F.length("w") == size).groupBy("lang", "w").agg(F.sum("n").alias("n"))
-        tables[size] = top(shares, grams)
-    counts.unpersist()
+    known = F.when(F.col("n") >= 2, F.array(F.struct(F.lit(0).alias("size"), F.col("w").alias("g")))).otherwise(F.array())
+    cuts = [F.expr(f"transform(sequence(1, greatest(length(w) + 3 - {k}, 1)), i -> struct({k} as size, substr(concat('^', w, '$'), i, {k}) as g))") for k in range(1, longest + 1)]
+    parts = counts.select("lang", "n", F.explode(F.concat(known, *cuts)).alias("p")).where((F.col("p.size") == 0) | (F.length("p.g") == F.col("p.size")))
+    sums = parts.groupBy("lang", F.col("p.size").alias("size"), F.col("p.g").alias("g")).agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "g"))  # over the bounded sample
+    if words is not None or grams is not None:
+        most = F.when(F.col("size") == 0, F.lit(words)).otherwise(F.lit(grams))
+        sums = sums.withColumn("_place", place).where(F.coalesce(F.col("_place") <= most, F.lit(True)))
+    told = sums.select("lang", "size", "g", "n").toArrow()
+    langs = sorted(set(told.column("lang").to_pylist()))
+    size, n = told.column("size").to_numpy(), told.column("n").to_numpy()
+    lang = np.searchsorted(np.array(langs), np.array(told.column("lang").to_pylist())) if langs else np.zeros(0, int)
     model = {"langs": langs, "tables": {}}
-    for size, table in tables.items():
-        total = {lang: sum(t.get(lang, 0) for t in table.values()) for lang in langs}
-        shares = np.array([[math.log((t.get(lang, 0) + SMOOTH) / (total[lang] + SMOOTH * len(table))) for lang in langs] for t in table.values()])
-        model["tables"][size] = Table(list(table), shares)
+    for k in range(longest + 1):
+        own = np.nonzero(size == k)[0]
+        names = told.column("g").take(pa.array(own)).combine_chunks().dictionary_encode()
+        total = np.zeros((len(names.dictionary), len(langs)))
+        np.add.at(total, (names.indices.to_numpy(), lang[own]), n[own])
+        shares = np.log((total + SMOOTH) / (total.sum(axis=0) + SMOOTH * len(total)))
+        model["tables"][k] = Table(names.dictionary.to_pylist(), shares)
     return model
 
 
@@ -139,7 +132,7 @@ class Scorer(dict):
 
 def predict_text(scorer: Scorer, langs: list[str], text: str | None) -> tuple[str, float]:
     """The language and its share of the languages' mean likelihoods; ``und`` and 0 where there is no letter."""
-    words = _LETTERS.findall(text.lower()) if text else []
+    words = LETTER_RUN.findall(text.lower()) if text else []
     if not words or not langs:
         return UNKNOWN, 0.0
     total = scorer.total(words)
@@ -151,8 +144,9 @@ def predict_text(scorer: Scorer, langs: list[str], text: str | None) -> tuple[st
 def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
-    Null texts and texts without a letter give ``und`` with score 0; equal scores give the first language by name;
-    repeated rows give equal rows; an empty table gives none. Columns other than the id and the text are not read,
+    Null texts and texts without a letter (signs such as ``½ ² Ⅳ`` are none) give ``und`` with score 0; equal scores
+    give the first language by name; repeated rows give equal rows; an empty table gives none. A text of any length is
+    scored whole, and so is a word: one of over ``REMEMBERED`` letters is scored each time anew. Columns other than the id and the text are not read,
     but those named in ``keep`` are carried along.
     """
     more = [c for c in keep or [] if c != "doc_id"]

@@ -3,8 +3,8 @@
 Sets are embedded by minhash coordinates. Each run splits all sets along paths: a node of the path tree picks one
 coordinate by its own hash, and sets that share the value there go to the same child. A node with few sets is brute
 forced; one with many splits again, as deep as the runs still reach the target recall, and is then brute forced in
-blocks. Brute force on sketches joins candidates
-into provisional groups, and all pairs of a group are then compared by their exact sets.
+blocks. Brute force on sketches joins candidates into provisional groups, and all pairs of a group are then compared by
+their exact sets.
 
 No step emits the pairs of a group: sketches and sets are compared in blocks inside tasks, which give out spanning
 links and link counts, so that a group of many near copies costs rows in proportion to its members.
@@ -149,7 +149,7 @@ def _leaves(reps: DataFrame, runs: int, most: int) -> DataFrame:
     """``rep, node, count``: the nodes at which paths end, after ``most`` levels at the deepest, with at least two sets each."""
     live, ends = _roots(reps, runs), []
     for level in range(most):
-        counts = live.groupBy("node").agg(F.count("*").alias("count")).where("count > 1")
+        counts = cut(live.groupBy("node").agg(F.count("*").alias("count")).where("count > 1"))  # apart, so that a hot node's join can be split
         live = cut(live.join(counts, "node").select("rep", "node", "count"))
         if level + 1 == most:
             ends.append(live)
@@ -296,7 +296,8 @@ def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, runs: in
     threshold; equal sets count as copies. ``n_links`` is the number of other documents linked to a row, copies
     included; ``class_id`` is the least id that links reach. Null and empty texts and texts of white space have no
     n-gram and link with nothing: class_id is their own id. Rows with a null id link with nothing and have a null
-    class. Repeated rows are copies of each other. An empty table gives no rows; other columns are not read.
+    class. Repeated rows are copies of each other, and each counts as a link of the others. A
+    text of any length is one set of all its n-grams. An empty table gives no rows; other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(_sketches(docs))
@@ -323,7 +324,8 @@ def _joined(docs: DataFrame, sketched: DataFrame, reps: DataFrame, threshold: tu
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     told = named.join(least, "root").select("set_key", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = sketched.drop("sketch").join(told, "set_key", "left")
+    bare = sketched.drop("sketch")  # texts without words link with nothing; as null keys they would all go to one task
+    out = bare.where("set_key IS NOT NULL").join(told, "set_key", "left").unionByName(bare.where("set_key IS NULL"), allowMissingColumns=True)
     own = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.col("n_shingles").alias("set_size"))
 

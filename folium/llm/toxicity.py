@@ -12,19 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import cut, held_out
-from folium.llm.language import LETTERS
+from folium.llm.common import LETTER_RUN, LETTERS, cut, held_out
 
 #: Labelled documents that the model is fitted on, at most about so many of each label, drawn by a hash of their ids.
 SAMPLE = {1: 3_000, 0: 6_000}
-#: Features kept, and the least z-score of a feature's log odds.
+#: Features kept (None: all that pass), and the least z-score of a feature's log odds.
 FEATURES, LEAST_Z = 4_000, 3.5
 #: A document without any telling sentence is toxic with this probability.
 LEAK = 1e-3
 THRESHOLD = 0.3
 #: Words whose shares a worker remembers before it starts again, and the letters of the longest one it remembers.
 MEMO, REMEMBERED = 300_000, 64
-_WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 GRAMS = (4, 5, 7)
 
@@ -50,7 +48,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
 
 
-def select_features(labelled: DataFrame) -> dict[str, int]:
+def select_features(labelled: DataFrame, most: int | None = FEATURES) -> dict[str, int]:
     """The features whose document frequencies differ most between the labels, as z-scores of their log odds."""
     split = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(LETTERS), F.lit(0)))
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
@@ -61,7 +59,8 @@ def select_features(labelled: DataFrame) -> dict[str, int]:
     sums = shares.groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 4")
     odds = F.log((F.col("pos") + 0.5) / (size.get(1, 0) + 1.0)) - F.log((F.col("neg") + 0.5) / (size.get(0, 0) + 1.0))
     z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    rows = sums.select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()
+    telling = sums.select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f")
+    rows = (telling if most is None else telling.limit(most)).collect()
     return {r["f"]: i for i, r in enumerate(rows)}
 
 
@@ -72,7 +71,7 @@ def bags(labelled: DataFrame, index: dict[str, int]) -> DataFrame:
         for batch in batches:
             sizes, flat = [], []
             for text in batch.column(1):
-                found = ([index[f] for w in _WORD.findall(s) for f in word_features(w) if f in index] for s in _SENTENCE.findall((text.as_py() or "").lower()))
+                found = ([index[f] for w in LETTER_RUN.findall(s) for f in word_features(w) if f in index] for s in _SENTENCE.findall((text.as_py() or "").lower()))
                 kept = [x for x in found if x]
                 sizes.append(np.array([len(x) for x in kept], dtype="<i4").tobytes())
                 flat.append(np.array([f for x in kept for f in x], dtype="<i4").tobytes())
@@ -122,10 +121,10 @@ def fitted(bagged: DataFrame, features: int) -> tuple[np.ndarray, float]:
     return np.array(row["weights"]), row["bias"]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model: weights per feature, and the bias."""
+def fit(docs: DataFrame, labels: DataFrame, features: int | None = FEATURES) -> dict:
+    """The model: weights per feature, and the bias; with ``features`` None, no feature of a telling z-score is left out."""
     labelled = sample(docs, labels).persist()
-    index = select_features(labelled)
+    index = select_features(labelled, features)
     weights, bias = fitted(cut(bags(labelled, index)), len(index))
     labelled.unpersist()
     return {"weights": {f: float(weights[i]) for f, i in index.items()}, "bias": bias}
@@ -151,7 +150,7 @@ class Scorer(dict):
         """Start, end and probability of each sentence with any feature."""
         out = []
         for s in _SENTENCE.finditer(text):
-            parts = [x for x in map(self.__getitem__, _WORD.findall(s.group().lower())) if x is not None]
+            parts = [x for x in map(self.__getitem__, LETTER_RUN.findall(s.group().lower())) if x is not None]
             if parts:
                 z = max(-30.0, min(30.0, self.bias + sum(parts)))
                 out.append((s.start(), s.end(), 1 / (1 + math.exp(-z))))
@@ -173,8 +172,8 @@ _scorers: dict = {}
 def detect(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and ``offending`` sentences (start, end, score) for every row of ``docs``.
 
-    Null and empty texts get the leak as score and no sentence; repeated rows give equal rows; an empty table gives
-    none. Columns other than the id and the text are not read.
+    Null and empty texts get the leak as score and no sentence; repeated rows give equal rows, and different texts may
+    tie; an empty table gives none. A text of any length is scored whole, sentence by sentence. Columns other than the id and the text are not read.
     """
     rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
     holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
