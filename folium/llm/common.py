@@ -10,7 +10,9 @@ import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,64 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
+#: Bits of a :class:`Bloom` at most: its 8 MB are the bound of what is broadcast, whatever the number of items.
+MOST_BITS = 1 << 26
+
+
+class Bloom:
+    """A Bloom filter of fixed size: it may say yes to an item that is not there, but never no to one that is.
+
+    Callers use it to leave rows out of a shuffle that could not find a partner there. With more items than it is made
+    for, it says yes more often, and more rows are shuffled; results stay the same.
+    """
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.known: dict = {}
+
+    @staticmethod
+    def places(item: str | bytes, bits: int) -> list[int]:
+        h = xxhash.xxh3_128_intdigest(item.encode("utf-8", "surrogatepass") if isinstance(item, str) else item)
+        return [(h >> (26 * k)) & (bits - 1) for k in range(4)]
+
+    def __contains__(self, item: str | bytes) -> bool:
+        if not len(self.words):
+            return False
+        out = self.known.get(item)
+        if out is None:
+            out = all(int(self.words[p >> 6]) >> (p & 63) & 1 for p in self.places(item, 64 * len(self.words)))
+            if len(item) <= 64:
+                if len(self.known) >= 300_000:
+                    self.known.clear()
+                self.known[item] = out
+        return out
+
+    def __getstate__(self) -> np.ndarray:
+        return self.words
+
+    def __setstate__(self, words: np.ndarray) -> None:
+        self.__init__(words)
+
+
+def bloom(items: DataFrame) -> Bloom:
+    """The filter of the only column of ``items``, strings or bytes without nulls; reads it twice, so give it a checkpoint."""
+    n = items.count()
+    bits = 1 << max(16, min(MOST_BITS, 12 * n).bit_length() - 1)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([p for x in batch.column(0).to_pylist() for p in Bloom.places(x, bits)], dtype=np.int64)
+            word, place = np.unique(at >> 6, return_inverse=True)
+            held = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(held, place, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(held.view(np.int64))], names=["word", "held"])
+
+    got = items.mapInArrow(task, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()  # MOST_BITS / 64 rows at most
+    words = np.zeros(bits >> 6 if n else 0, np.uint64)
+    words[got.column("word").to_numpy()] = got.column("held").to_numpy().view(np.uint64)
+    return Bloom(words)
+
+
 #: Edges that one task turns into stars; the number of tasks grows with the edges.
 EDGES = 250_000
 

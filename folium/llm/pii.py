@@ -1,42 +1,42 @@
 """Operator 10: personal data by patterns, and by what terms reveal: information-theoretic sanitisation.
 
 A term in a text with a protected entity (an e-mail address, IP address, card or phone number) discloses it as far as
-the corpus says that who reads the term knows the entity: disclosure = PMI(term, entity) / IC(entity), which is 1 where
-the term occurs with this entity alone and 0 where the two are independent. Terms at or over ``REMOVE`` are removed,
-those at or over ``GENERALISE`` are replaced by a general word, wherever they occur in any text.
+the corpus says that who reads the term knows the entity. The entity's information content IC is -log2 of its share of
+the texts; a term takes PMI(term, entity) bits of it away, and IC - PMI bits are left. Terms that leave ``GENERALISE``
+bits or less, and take at least ``GAIN`` of IC, are generalised, those that leave ``REMOVE`` or less removed, wherever
+they occur in any text. Bits left do not depend on the size of the corpus, so the rule is the same at every size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from folium.llm.common import cut
+from folium.llm.common import LETTER_RUN, bloom, cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that :func:`contexts` shows, and what is added to the counts of a pair's ends: rare pairs
-#: score lower in small corpora, where they may be chance, and none is left out.
-NEAR, SMOOTH = 5, 0.5
-GENERALISE, REMOVE = 0.8, 0.95
-#: Disclosing terms, entities, common terms and copied texts up to this number go to every task; more are joined by a
-#: shuffle. Different terms that a task counts before it hands them on.
-SMALL, COUNTED = 50_000, 200_000
+#: What is added to the counts of a pair's ends: rare pairs, which may be chance, leave more bits, and none is left out.
+SMOOTH = 0.25
+#: Most bits that a term may leave, and the least share of an entity's information that it must take. 0.7 bits are left
+#: where the entity is in three of five texts with the term, and by a term that was seen just once, 0.64.
+GENERALISE, REMOVE, GAIN = 0.7, 0.3, 0.8
+#: Different terms that a task counts before it hands them on, and the letters of a general term at most.
+COUNTED, LONGEST = 200_000, 12
 
 _LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = regex.compile(r"\p{L}{3,}")
-_WORD = regex.compile(r"\p{L}+")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -83,48 +83,17 @@ def _number(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def contexts(text: str, base: list[tuple[int, int, int]], near: int = NEAR) -> list[dict]:
-    """The terms of three letters or more within ``near`` words of each entity, outside of all base spans, to look at
-    what stands beside entities; :func:`disclosing` scores the words of whole texts."""
-    if not base:
-        return []
-    cover = sorted((a, b) for _, a, b in base)
-    terms = []
-    k = 0
-    for m in _TERM.finditer(text):
-        while k < len(cover) and cover[k][1] <= m.start():
-            k += 1
-        if not any(a < m.end() and b > m.start() for a, b in cover[k : k + 4]):
-            terms.append((m.start(), m.end(), m.group().lower()))
-    starts = [t[0] for t in terms]
-    out, seen = [], set()
-    for kind, a, b in base:
-        i = bisect_left(starts, a)
-        window = terms[max(0, i - near) : i + near]
-        entity = _number(_entity(kind, text[a:b]))
-        context = _number(" ".join(t for _, _, t in window))
-        for s, e, t in window:
-            out.append({"entity": entity, "term": t, "start": s, "end": e, "context": context, "first": (entity, t) not in seen})
-            seen.add((entity, t))
-    return out
-
-
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Equal only for rows with equal id and text."""
-    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), text_key(text))
-
-
 def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def words_of(text: str) -> list[str]:
     """The different words of a text, lower-cased, of any length and wherever they stand."""
-    return list({w.lower() for w in set(_WORD.findall(text))})
+    return list({w.lower() for w in set(LETTER_RUN.findall(text))})
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -140,90 +109,145 @@ def scan(docs: DataFrame) -> DataFrame:
                     cols[0].append(key)
                     cols[1].append(list({_number(_entity(k, text[a:b])) for k, a, b in base}))
                     cols[2].append(words_of(text))
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["text_key", "entities", "terms"])
 
-    found = docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(task, "text_key string, entities array<long>, terms array<string>")
+    found = docs.select(text_key(F.col("text")).alias("text_key"), "text").mapInArrow(task, "text_key binary, entities array<long>, terms array<string>")
     return found.dropDuplicates(["text_key"])
 
 
-def _side(df: DataFrame) -> DataFrame:
-    """``df``, which is a checkpoint, for a join: sent to every task if small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
+def _terms(words: DataFrame, holder, repeated) -> DataFrame:
+    """``text_key, terms, counts`` from ``text_key, text``: the words in the ``holder`` filter.
 
-def word_counts(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """``term, df_term``: the number of different texts with each word. A text of n copies counts 1 / n in each."""
-    repeated = cut(copies.where("n > 1"))
-    texts = docs.select(text_key(F.col("text")).alias("text_key"), "text").join(_side(repeated), "text_key", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"))
+    Texts in the ``repeated`` filter give a row of their own, so that their copies can be dropped; with it None, all
+    do. Words of other texts are counted within the task and handed on in parts under a key of their own.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, float] = {}
-        for batch in batches:
-            for text, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for word in words_of(text.as_py() or ""):
-                    counts[word] = counts.get(word, 0.0) + 1 / n
-                if len(counts) >= COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], names=["term", "n"])
-                    counts = {}
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], names=["term", "n"])
+        wanted, twice = holder.value, repeated.value if repeated else None
+        counts: dict[str, int] = {}
+        seen: set[bytes] = set()  # texts of this task that gave a row
 
-    return texts.mapInArrow(task, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("df_term"))
+        def part(keys: list, terms: list, n: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.list_(pa.string())), pa.array(n, pa.list_(pa.int64()))], names=["text_key", "terms", "counts"])
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = sorted(counts)
+            for a in range(0, len(words), 2048):
+                own = words[a : a + 2048]
+                yield part([uuid.uuid4().bytes], [own], [[counts[w] for w in own]])
+            counts.clear()
 
-def disclosure(joint: Column, df_term: Column, df_entity: Column, total: float) -> Column:
-    """Smoothed PMI of a term and an entity over the entity's information content; 0 for an entity of every text."""
-    pmi = F.log(F.lit(float(total)) * joint / ((df_term + SMOOTH) * (df_entity + SMOOTH)))
-    return F.when(df_entity >= total, 0.0).otherwise(pmi / F.log(F.lit(float(total)) / df_entity))
+        for batch in batches:
+            keys, terms = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = twice is None or key in twice
+                if own and key in seen:
+                    continue
+                found = [w for w in words_of(text.as_py() or "") if w in wanted]
+                if own and found:
+                    seen.add(key)
+                    keys.append(key)
+                    terms.append(found)
+                elif not own:
+                    for w in found:
+                        counts[w] = counts.get(w, 0) + 1
+                    if len(counts) >= COUNTED:
+                        yield from flush()
+            yield part(keys, terms, [[1] * len(t) for t in terms])
+        yield from flush()
+
+    return words.mapInArrow(task, "text_key binary, terms array<string>, counts array<long>").dropDuplicates(["text_key"])
+
+
+def word_counts(docs: DataFrame, terms: DataFrame, copies: DataFrame) -> DataFrame:
+    """``term, df_term``: the number of different texts with each word of ``terms (term)``, and of some other words.
+
+    Filters of fixed size keep the words of clean texts, and all texts but repeated ones, out of the shuffles.
+    """
+    sc = docs.sparkSession.sparkContext
+    holder, repeated = sc.broadcast(bloom(terms)), sc.broadcast(bloom(cut(copies.where("n > 1").select("text_key"))))
+    counted = _terms(docs.select(text_key(F.col("text")).alias("text_key"), "text"), holder, repeated)
+    return counted.select(F.inline(F.arrays_zip("terms", "counts"))).groupBy(F.col("terms").alias("term")).agg(F.sum("counts").alias("df_term"))
+
+
+def left(joint: Column, df_term: Column, df_entity: Column) -> Column:
+    """The bits of information that an entity still holds for who reads the term: its information content less the
+    smoothed PMI of the two, which is -log2 of the share of the term's texts that have the entity."""
+    return F.log2((df_term + SMOOTH) * (df_entity + SMOOTH) / (joint * df_entity))
 
 
 def disclosing(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``term, action``: the words of whole texts that disclose an entity of theirs, with the stronger action.
+    """``term, action, general``: the words of whole texts that disclose an entity of theirs, with the stronger action.
 
     Every pair of an entity and a word of one text is scored, however rare. All counts are of different texts, so that
     copying a text does not make its words disclosing. As a pair occurs no oftener than its entity, a word can only
-    reach ``generalise`` with df_term + SMOOTH <= total^(1 - generalise) * df_entity^generalise: words that are more
-    common are left out before pairs are made, which loses none.
+    leave ``generalise`` bits with df_term + SMOOTH <= 2^generalise * df_entity: words that are more common are left out
+    before pairs are made, which loses none. Entities of one text alone score alike, so one of them stands for all.
+
+    ``general`` is what a term becomes: the longest beginning of it that it shares with a word too common to disclose
+    the same entities, or the empty string for a removed term and ``[TERM]`` where there is no such beginning.
     """
     scanned = cut(scan(docs))
     copies = cut(docs.groupBy(text_key(F.col("text")).alias("text_key")).agg(F.count("*").alias("n")))
     total = max(copies.count(), 1)
     entities = cut(scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity")))
     most = entities.agg(F.max("df_entity")).first()[0] or 0
-    bound = lambda df_entity: F.lit(total ** (1 - generalise)) * df_entity**generalise * (1 + 1e-9)
-    counts = cut(word_counts(docs, copies))
-    rare = F.col("df_term") + SMOOTH <= bound(F.lit(float(most)))
-    words = scanned.select("text_key", F.explode("terms").alias("term")).join(_side(cut(counts.where(~rare).select("term"))), "term", "left_anti")
-    words = words.join(counts.where(rare), "term")
-    ends = scanned.select("text_key", F.explode("entities").alias("entity")).join(_side(entities), "entity")
-    pairs = words.join(ends, "text_key").where(F.col("df_term") + SMOOTH <= bound(F.col("df_entity")))
+    factor = 2**generalise * (1 + 1e-9)
+    words = scanned.select("text_key", F.explode("terms").alias("term"))
+    counts = cut(word_counts(docs, words.select("term"), copies))  # apart, so that the join of a hot word can be split
+    words = words.join(counts.where(F.col("df_term") + SMOOTH <= factor * most), "term")
+    ends = cut(scanned.select("text_key", F.explode("entities").alias("entity")).join(entities, "entity"))
+    alone = ends.where("df_entity = 1").groupBy("text_key").agg(F.min("entity").alias("entity"), F.first("df_entity").alias("df_entity"))
+    ends = alone.unionByName(ends.where("df_entity > 1"))
+    pairs = words.join(ends, "text_key").where(F.col("df_term") + SMOOTH <= factor * F.col("df_entity"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity"))
-    scored = pairs.select("term", disclosure(F.col("joint"), F.col("df_term"), F.col("df_entity"), total).alias("disclosure"))
-    best = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return cut(best.select("term", F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action")))
-
+    bits = pairs.select("term", "df_entity", left(F.col("joint"), F.col("df_term"), F.col("df_entity")).alias("bits"))
+    bits = bits.where((F.col("bits") <= generalise) & (F.col("bits") <= (1 - GAIN) * F.log2(F.lit(float(total)) / F.col("df_entity"))))
+    best = cut(bits.groupBy("term").agg(F.min("bits").alias("bits"), F.max("df_entity").alias("df_entity")))
+    starts = lambda word: F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length(word) - 1)), lambda k: F.substring(word, F.lit(1), k)))
+    classes = cut(counts.where((F.length("term") > 2) & (F.col("df_term") > 2)).select("df_term", starts(F.col("term")).alias("start")).groupBy("start").agg(F.max("df_term").alias("df_class")))
+    own = best.where((F.col("bits") > remove) & (F.length("term") > 2)).select("term", "df_entity", starts(F.col("term")).alias("start"))
+    shared = own.join(classes, "start").where(F.col("df_class") + SMOOTH > factor * F.col("df_entity")).groupBy("term").agg(F.max_by("start", F.length("start")).alias("start"))
+    general = F.when(F.col("bits") <= remove, "").otherwise(F.coalesce(F.concat("start", F.lit("…")), F.lit("[TERM]")))
+    action = F.when(F.col("bits") <= remove, F.lit("remove")).otherwise(F.lit("generalise"))
+    return cut(best.join(shared, "term", "left").select("term", action.alias("action"), general.alias("general")))
+
+
+def _with_terms(docs: DataFrame, at: int, hits: DataFrame, apply: Callable[[pa.RecordBatch, list[dict[str, str]]], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """``apply(batch, terms)`` to all rows of ``docs``, whose text is column ``at``, with each row's disclosing terms.
+
+    The terms of each different text are found by a join with ``hits`` of the words that pass a filter of fixed size.
+    A second filter tells the texts without any, which are done where they lie; the others' are joined by their key.
+    """
+    sc, n = docs.sparkSession.sparkContext, len(docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).withColumn("text_key", text_key(F.col(f"c{at}")))
+    candidates = _terms(rows.select("text_key", f"c{at}"), sc.broadcast(bloom(hits.select("term"))), None)
+    pairs = candidates.select("text_key", F.explode("terms").alias("term")).join(hits, "term")
+    found = cut(pairs.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "general"))).alias("terms")))  # the words of one text
+    holder = sc.broadcast(bloom(found.select("text_key")))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [i for i, key in enumerate(batch.column(n).to_pylist()) if key not in holder.value]
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield apply(part.select(list(range(n))), [{}] * len(keep))
 
-def _with_terms(docs: DataFrame, hits: DataFrame):
-    """``docs`` with ``__terms``, the disclosing (term, action) of each row, or all of them as a broadcast where few."""
-    if hits.count() <= SMALL:
-        few = {r["term"]: r["action"] for r in hits.collect()}  # bounded by SMALL
-        return docs.withColumn("__terms", F.lit(None).cast("map<string,string>")), docs.sparkSession.sparkContext.broadcast(few)
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array([i for i, key in enumerate(batch.column(n).to_pylist()) if key in holder.value], pa.int64()))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py() or "")
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.string()), pa.array(words, pa.string())], names=["__key", "term"])
+            yield apply(batch.select(list(range(n))), [dict(x.as_py() or ()) for x in batch.column(n)])
 
-    key = row_key(F.col("doc_id"), F.col("text"))
-    pairs = docs.select(key.alias("__key"), "text").mapInArrow(task, "__key string, term string").join(hits, "term").distinct()
-    found = pairs.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("__terms"))  # a row's own terms
-    return docs.withColumn("__key", key).join(found, "__key", "left").drop("__key"), None
+    touched = rows.mapInArrow(others, rows.schema).join(found, "text_key", "left").select(*rows.columns[:n], "terms")
+    return rows.mapInArrow(plain, schema).unionByName(touched.mapInArrow(joined, schema))
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]], terms: dict[str, str]) -> list[tuple[int, int, str]]:
-    """(start, end, action) of every word of ``text`` that is one of ``terms``, outside of all base spans."""
-    found = [(m.start(), m.end(), a) for m in _WORD.finditer(text) if (a := terms.get(m.group().lower()))] if terms else []
+    """(start, end, what it becomes) of every word of ``text`` that is one of ``terms``, outside of all base spans."""
+    found = [(m.start(), m.end(), a) for m in LETTER_RUN.finditer(text) if (a := terms.get(m.group().lower())) is not None] if terms else []
     if not found or not base:
         return found
     cover: list[list[int]] = []
@@ -243,37 +267,34 @@ _DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 def pii_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: counts and digest of the base spans, and all spans with the disclosing terms.
 
-    Null text counts as empty and has no spans; every row gives one row, repeated rows equal ones; an empty table
-    gives none. Columns other than the id and the text are not read.
+    Null text counts as empty and has no spans; a text of any length is read whole; every row gives one row, repeated
+    rows equal ones; an empty table gives none. Columns other than the id and the text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, holder = _with_terms(docs, disclosing(docs))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for value, own in zip(batch.column(1), batch.column(2), strict=True):
-                text = value.as_py() or ""
-                base = base_spans(text)
-                for k in range(4):
-                    cols[k].append(sum(s[0] == k for s in base))
-                joined = _joined(base)
-                cols[4].append(hashlib.sha256(joined.encode()).hexdigest())
-                extra = occurrences(text, base, holder.value if holder else dict(own.as_py() or ()))
-                cols[5].append(",".join(filter(None, [joined, *(f"term:{a}:{b}" for a, b, _ in extra)])))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            names = [c.split()[0] for c in _DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+    def apply(batch: pa.RecordBatch, terms: list[dict[str, str]]) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in range(6)]
+        for value, own in zip(batch.column(1), terms, strict=True):
+            text = value.as_py() or ""
+            base = base_spans(text)
+            for k in range(4):
+                cols[k].append(sum(s[0] == k for s in base))
+            joined = _joined(base)
+            cols[4].append(hashlib.sha256(joined.encode()).hexdigest())
+            cols[5].append(",".join(filter(None, [joined, *(f"term:{a}:{b}" for a, b, _ in occurrences(text, base, own))])))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2
+        names = [c.split()[0] for c in _DIGEST.split(", ")]
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
-    return rows.select("doc_id", "text", "__terms").mapInArrow(task, _DIGEST)
+    return _with_terms(docs, 1, disclosing(docs), apply, _DIGEST)
 
 
 def redact(text: str, terms: dict[str, str]) -> str:
-    """Entities become their kind in brackets, disclosing terms a general word or nothing."""
+    """Entities become their kind in brackets, disclosing terms what ``terms`` has for them."""
     base = base_spans(text)
     spans = [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in base]
     extra = occurrences(text, base, terms)
-    spans += [(a, b, "" if action == "remove" else "[TERM]") for a, b, action in extra]
+    spans += extra
     out, at = [], 0
     for a, b, word in sorted(spans):
         if a >= at:
@@ -286,15 +307,16 @@ def redact(text: str, terms: dict[str, str]) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text redacted, all columns and rows kept; null and empty texts stay as they are."""
+    """``docs`` with the text redacted, all columns and rows kept; null and empty texts stay as they are.
+
+    A text of any length is read whole, repeated rows stay equal, and an empty table gives none. Columns may have any
+    other names and pass through.
+    """
     names = docs.columns
-    rows, holder = _with_terms(docs, disclosing(docs.select("doc_id", "text")))
     at = names.index("text")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() and redact(t.as_py(), holder.value if holder else dict(own.as_py() or ())) for t, own in zip(batch.column(at), batch.column(len(names)), strict=True)]
-            cols = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+    def apply(batch: pa.RecordBatch, terms: list[dict[str, str]]) -> pa.RecordBatch:
+        texts = [t.as_py() and redact(t.as_py(), own) for t, own in zip(batch.column(at), terms, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))], names=names)
 
-    return rows.select(*[F.col(f"`{c}`") for c in names], "__terms").mapInArrow(task, docs.schema)
+    return _with_terms(docs, at, disclosing(docs.select("doc_id", "text")), apply, docs.schema)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 from folium.llm import pii
 
@@ -35,54 +36,93 @@ ROWS = [(1, None), (2, ""), (3, "write bob@x.org today"), (3, "write bob@x.org t
 ROWS += [(10 + i, f"{w} the zebrafish keeper bob@x.org said {w} in town") for i, w in enumerate(["alpha", "beta", "gamma", "delta"])]
 ROWS += [(100 + i, f"nothing here but the town and a word{chr(97 + i % 26)} in it") for i in range(60)]
 ROWS += [(200 + i, "ann@y.org owns the copied gardenia house") for i in range(8)]
+ROWS += [(300 + i, f"the zebra, zebras and {'townsfolk ' * i}of the town") for i in range(4)] + [(310, "the ½Zebrafish² of 10.0.0.1 and carl@z.org\n" + "the town " * 20_000)]
+
+
+def disclosed(texts):
+    """The disclosing terms with what is done to them, by plain counting over the different texts."""
+    texts = sorted({t or "" for t in texts})
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]+", re.sub("[½²]", " ", t))} for t in texts]
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    name = lambda k, v: (k, v.lower() if k == 0 else v if k == 1 else digits(v))
+    ents = [{name(k, t[a:b]) for k, a, b in plain(t)} for t in texts]
+    df_t, df_e, joint = Counter(w for x in words for w in x), Counter(e for x in ents for e in x), Counter()
+    for w, e in zip(words, ents, strict=True):
+        joint.update((a, b) for a in w for b in e)
+    best: dict = {}
+    for (w, e), j in joint.items():
+        bits = math.log2((df_t[w] + pii.SMOOTH) * (df_e[e] + pii.SMOOTH) / (j * df_e[e]))
+        if bits <= pii.GENERALISE and bits <= (1 - pii.GAIN) * math.log2(len(texts) / df_e[e]):
+            best[w] = min(bits, best.get(w, bits))
+    out = {}
+    for w, bits in best.items():
+        out[w] = "removed" if bits <= pii.REMOVE else "generalised"
+    return out
 
 
 def test_digest_and_disclosure(spark):
-    docs = spark.createDataFrame([(i, t, "spans", 1) for i, t in ROWS], "doc_id long, text string, spans string, contexts int")
+    docs = spark.createDataFrame([(i, t, "spans", 1, b"k", "t") for i, t in ROWS], "doc_id long, text string, spans string, contexts int, text_key binary, terms string")
     got = sorted([tuple(r) for r in pii.pii_digest(docs).collect()], key=str)
-    n = len(ROWS)
-    words = lambda t: set(re.findall(r"[^\W\d_]{3,}", (t or "").lower()))
-    near: dict = {}
-    for _, t in ROWS:
-        for c in pii.contexts(t or "", pii.base_spans(t or "")):
-            near.setdefault((c["entity"], c["term"]), []).append((c["context"], c["first"]))
-    df_e = {e: sum(any(c["entity"] == e for c in pii.contexts(t or "", pii.base_spans(t or ""))) for _, t in ROWS) for e, _ in near}
-    flagged = set()
-    for (e, w), seen in near.items():
-        joint, df_t = sum(f for _, f in seen), sum(w in words(t) for _, t in ROWS)
-        if len({c for c, _ in seen}) >= 3 and math.log(joint / n / (df_t / n * df_e[e] / n)) / -math.log(df_e[e] / n) >= pii.GENERALISE:
-            flagged.add((e, w))
-    assert {w for _, w in flagged} >= {"zebrafish", "keeper", "said"} and "gardenia" not in {w for _, w in flagged} and "the" not in {w for _, w in flagged}
+    want_terms = disclosed([t for _, t in ROWS])
+    found = pii.disclosing(docs).collect()
+    told = {r.term: r.general for r in found}
+    assert {r.term: "removed" if r.action == "remove" else "generalised" for r in found} == want_terms and len(found) == len(told)
+    assert {"zebrafish", "keeper", "said", "alpha", "gardenia"} <= told.keys() and not {"the", "town", "in"} & told.keys()
+    assert all((g == "") == (want_terms[w] == "removed") and g in ("", "[TERM]", w[: len(g) - 1] + "…") for w, g in told.items())
     want = []
     for i, t in ROWS:
         base = plain(t or "")
-        extra = sorted({(c["start"], c["end"]) for c in pii.contexts(t or "", base) if (c["entity"], c["term"]) in flagged})
+        free = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_½²]+", t or "") if m.group().lower() in told and not any(a < m.end() and b > m.start() for _, a, b in base)]
         name = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base]
-        want.append((i, *[sum(s[0] == k for s in base) for k in range(4)], hashlib.sha256(",".join(name).encode()).hexdigest(), ",".join(name + [f"term:{a}:{b}" for a, b in extra])))
+        want.append((i, *[sum(s[0] == k for s in base) for k in range(4)], hashlib.sha256(",".join(name).encode()).hexdigest(), ",".join(name + [f"term:{a}:{b}" for a, b in free])))
     assert got == sorted(want, key=str)
     assert pii.pii_digest(docs.limit(0)).collect() == []
     clean = {(r.doc_id, r.text) for r in pii.sanitise(docs).collect()}
-    assert (1, None) in clean and (2, "") in clean and (None, "call [PHONE] now") in clean
-    assert all("@" not in (t or "") and "zebrafish" not in (t or "") for _, t in clean)
-    assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == n
+    assert (1, None) in clean and (2, "") in clean and all("@" not in (t or "") and "zebrafish" not in (t or "").lower() for _, t in clean)
+    assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == len(ROWS)
 
 
 def test_pairs_seen_once_are_scored(spark):
     rows = [(i, f"plain words of the common kind {chr(97 + i % 26)}{chr(97 + i // 26)}q go on") for i in range(300)]
+    rows += [(899, "plainness of plain words to fred@z.org")]
     rows += [(900, "the platypus wrote to carl@z.org and the common kind")] + [(901 + i, "the wombat wrote to dora@z.org and the common kind") for i in range(3)]
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "platypus" not in got[900] and "wombat" not in got[901]
     assert all(w in got[900].split() for w in ("the", "common", "kind")) and got[0] == rows[0][1]
+    assert got[899] == "plai… of plain words to [EMAIL]"  # the longest beginning of a common word
 
 
-def test_terms_go_wherever_they_stand(spark, monkeypatch):
+def test_terms_go_wherever_they_stand(spark):
     rows = [(i, f"plain words of the common kind {chr(97 + i % 26)}{chr(97 + i // 26)}q go on") for i in range(300)]
     far = "plain words of the common kind " * 4
-    rows += [(900 + i, f"{w} quokka qx {far} sent it to eve@w.org {far} quokka") for i, w in enumerate(["one", "two", "three"])] + [(910, "the Quokka of the common kind")]
+    rows += [(900 + i, f"{w} quokka qx {far} sent it to eve@w.org {far} quokka, plains") for i, w in enumerate(["one", "two", "three"])] + [(910, "the Quokka of the common kind")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (pii.SMALL, 0):  # by a broadcast, and by joins
-        monkeypatch.setattr(pii, "SMALL", small)
-        got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-        assert all("quokka" not in t.lower() for t in got.values()) and "qx" not in got[900].split() and "common" in got[900]
-        spans = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
-        assert spans[910] == "term:4:10" and spans[900].endswith(f"term:{len(rows[300][1]) - 6}:{len(rows[300][1])}")
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("quokka" not in t.lower() for t in got.values()) and "qx" not in got[900].split() and "common" in got[900]
+    spans = {r.doc_id: r.spans for r in pii.pii_digest(docs).collect()}
+    assert spans[910] == "term:4:10" and f"term:{rows[300][1].rindex('quokka')}:" in spans[900]
+
+
+def test_registered_query_finds_terms(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want, hits = disclosed(texts.values()), 0
+    for r in entry.queries()["op10_pii"](spark, sf).collect():
+        found = [s.split(":") for s in r.spans.split(",") if s.startswith("term:")]
+        assert all(texts[r.doc_id][int(a) : int(b)].lower() in want for _, a, b in found)
+        hits += len(found)
+    assert hits > 100
+
+
+def test_filters_never_say_no_to_what_is_there(spark):
+    from folium.llm import common
+
+    items = [f"word{i}" for i in range(3000)]
+    made = common.bloom(spark.createDataFrame([(x,) for x in items], "s string"))
+    assert all(x in made for x in items) and sum(f"other{i}" in made for i in range(3000)) < 60
+    assert "x" not in common.bloom(spark.createDataFrame([], "s string"))
+    import pickle
+
+    assert "word1" in pickle.loads(pickle.dumps(made))
