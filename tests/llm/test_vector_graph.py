@@ -36,7 +36,7 @@ def brute(data):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("cell,block", [(400, 1500), (25, 30)])
+@pytest.mark.parametrize("cell,block", [(2000, 5000), (25, 30)])
 def test_equals_brute_force(spark, monkeypatch, cell, block):
     monkeypatch.setattr(vg, "CELL", cell)
     monkeypatch.setattr(vg, "BLOCK", block)
@@ -57,21 +57,37 @@ def test_search_finds_nearly_all():
     x = rng.normal(size=(60, 32)).repeat(20, axis=0) + 0.1 * rng.normal(size=(1200, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = vg.build(x)
-    found = sum(len(vg.range_search(x, graph, 0, q, 0.98)) for q in range(0, 1200, 7))
-    assert found >= 0.95 * int((x[::7] @ x.T >= 0.98).sum())
-    assert sum(map(len, graph)) <= 2 * vg.DEGREE * len(x)
+    asked = np.arange(0, 1200, 7)
+    hit, truth = vg.range_search(x, graph, 0, asked, 0.98), x[asked] @ x.T >= 0.98
+    assert (hit & truth).sum() >= 0.95 * truth.sum() and not (hit & ~truth).any()
+    assert sum(map(len, graph)) <= 3 * vg.DEGREE * len(x)
 
 
-def test_links_across_borders_share_a_cell(spark):
+def test_links_across_borders_share_a_cell():
     rng = np.random.default_rng(4)
     flat = rng.uniform(0, 2 * np.pi, 500)  # vectors that vary in two of 64 directions
-    x = np.zeros((500, 64))
-    x[:, 0], x[:, 1] = np.cos(flat), np.sin(flat)
-    members = spark.createDataFrame([(i, 0, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "number long, label long, unit binary, copies long")
+    x, c = np.zeros((500, 64)), np.zeros((12, 64))
     at = np.arange(12) * 2 * np.pi / 12
-    centers = np.zeros((12, 64))
-    centers[:, 0], centers[:, 1] = np.cos(at), np.sin(at)
-    cells = {r.number: set(r.cells) for r in vg._cells(members, {(0, 512): centers}, 0.98).collect()}
+    x[:, 0], x[:, 1], c[:, 0], c[:, 1] = np.cos(flat), np.sin(flat), np.cos(at), np.sin(at)
+    own, inside = vg.places(x, c, 0.98)
     a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
-    assert len(a) > 1000 and all(cells[i] & cells[j] for i, j in zip(a.tolist(), b.tolist(), strict=True))
-    assert max(map(len, cells.values())) < 4
+    assert len(a) > 1000 and all(inside[i, own[j]] or inside[j, own[i]] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert inside.sum(axis=1).max() < 4
+
+
+def test_recall_over_many_clustered_vectors(spark, monkeypatch):
+    """12,000 vectors of one label in two rounds of cells, against all pairs in blocks."""
+    monkeypatch.setattr(vg, "CELL", 600)
+    monkeypatch.setattr(vg, "BLOCK", 1500)
+    rng = np.random.default_rng(7)
+    tops = rng.normal(size=(12, 48))
+    x = (tops[rng.integers(0, 12, 3000)] + 0.5 * rng.normal(size=(3000, 48))).repeat(4, axis=0)
+    x = (x + 0.02 * rng.choice([1, 2, 4, 8], size=(len(x), 1)) * rng.normal(size=x.shape)).astype(np.float32)
+    audit: list = []
+    docs = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in vg.near_duplicates(docs, audit=audit).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = np.concatenate([(u[a : a + 2000] @ u.T >= 0.98).sum(axis=1) - 1 for a in range(0, len(u), 2000)])
+    found = np.array([got[i].n_links for i in range(len(u))])
+    assert true.sum() > 5000 and (found <= true).all() and found.sum() >= 0.95 * true.sum() and audit[1] > 0
