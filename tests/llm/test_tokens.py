@@ -57,6 +57,21 @@ def test_round_trip(spark, library):
     assert token_records.round_trip(docs(spark).limit(0)).collect() == []
 
 
+def test_frames_are_sought_in_any_order(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    manifest = token_records.write(docs(spark), folder).persist()
+    want = sorted(map(tuple, token_records.read(manifest, folder).collect()), key=lambda r: r[1])
+    small = token_records.read(manifest, folder, frames=3, seed=1)
+    assert small.rdd.getNumPartitions() == sum(-(-r.n_records // 3) for r in manifest.collect()) > 3
+    assert sorted(map(tuple, small.collect()), key=lambda r: r[1]) == want
+    record = next(tmp_path.glob("*.rec"))
+    raw = bytearray(record.read_bytes())
+    raw[-6] ^= 1
+    record.write_bytes(raw)
+    with pytest.raises(Exception, match="checksum differs"):
+        token_records.read(manifest, folder).collect()
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing(spark, library, rule):
     got = packing.packed(docs(spark), rule=rule).collect()
