@@ -69,7 +69,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Measures and verdict per row of ``docs``.
 
     Null text counts as empty: no words, hence base_failed and not kept. Every row gives one row, repeated rows
-    included; other columns of ``docs`` are ignored, so clashing names do no harm. An empty table gives no rows.
+    included; other columns of ``docs`` are ignored, so clashing names do no harm. An empty table gives no rows. A text
+    of any length is measured whole. A measure that ties with its threshold passes.
     ``keep`` names columns of ``docs`` to carry along. ``failed`` names the first rule of ``thresholds`` that the text fails, null if none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -109,7 +109,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """``doc_id, found``: all spans of a text as ``array<struct(start, kind, end, value)>`` in order of start, then kind.
 
     Null text counts as empty and has no spans. Every row of ``docs`` gives one row, repeated rows too; other
-    columns are ignored. An empty table gives no rows. Entropy spans that lie within a base span are left out.
+    columns are ignored. An empty table gives no rows. A text of any length is read whole. Entropy spans that lie
+    within a base span are left out; an entropy that ties with its class's least, to six digits, counts.
     """
     text = F.col("_t")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
