@@ -81,6 +81,19 @@ def minhash(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``set_key``, the key of each text's set of n-grams, null without words. For a few rows: it hashes whole texts."""
+    at, schema = docs.columns.index(text), docs.withColumn("set_key", F.lit(None).cast("binary")).schema
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(at)]
+            told = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, told], names=[*batch.schema.names, "set_key"])
+
+    return docs.mapInArrow(task, schema)
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, set_key, n_shingles, sketch``; key and sketch are null for a text without words."""
 
@@ -289,8 +302,8 @@ def _verified(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return rows.repartition("task_key").sortWithinPartitions("task_key").mapInArrow(task, "a long, b long, n long")
 
 
-def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, runs: int = RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, set_size`` for every row of ``docs``.
+def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, runs: int = RUNS, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """``doc_id, class_id, n_links, set_size`` for every row of ``docs``; with ``keys``, the key of its set too.
 
     Two documents are linked when the Jaccard similarity of their sets of lower-cased word n-grams is at least the
     threshold; equal sets count as copies. ``n_links`` is the number of other documents linked to a row, copies
@@ -307,7 +320,8 @@ def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, runs: in
     many = shared.select("rep")
     number = F.when(F.col("many").isNotNull(), -F.abs(F.xxhash64("set_key"))).otherwise(F.col("rep"))
     reps = reps.join(many.withColumn("many", F.lit(1)), "rep", "left").withColumn("number", number)
-    return _joined(docs, sketched, reps, threshold, runs)
+    out = _joined(docs, sketched, reps, threshold, runs)
+    return out if keys else out.drop("set_key")
 
 
 def _joined(docs: DataFrame, sketched: DataFrame, reps: DataFrame, threshold: tuple[int, int], runs: int) -> DataFrame:
@@ -327,7 +341,7 @@ def _joined(docs: DataFrame, sketched: DataFrame, reps: DataFrame, threshold: tu
     bare = sketched.drop("sketch")  # texts without words link with nothing; as null keys they would all go to one task
     out = bare.where("set_key IS NOT NULL").join(told, "set_key", "left").unionByName(bare.where("set_key IS NULL"), allowMissingColumns=True)
     own = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.col("n_shingles").alias("set_size"))
+    return out.select("doc_id", F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.col("n_shingles").alias("set_size"), "set_key")
 
 
 ORACLE = r"""
