@@ -43,3 +43,16 @@ def test_stages(spark):
     for r in five:
         used[r.sequence_id] += r.length
     assert max(used.values()) <= packing.CAPACITY and {r.doc_id for r in five} == {r.doc_id for r in four}
+
+
+def test_near_duplicates_of_shared_ids_and_edges(spark):
+    one, two = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    near = one.replace("alpha59", "omega")
+    rows = [(1, one), (1, one), (1, two), (2, near), (3, two), (4, None), (4, None), (4, ""), (None, one), (None, one), (5, "  \n"), (6, "word " * 50_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", None, b"x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, set_key binary")
+    got = cp.near_duplicate_stage(spark, docs, "")
+    assert got.columns == cp.COLUMNS
+    want = [(1, one), (1, two), (4, None), (4, ""), (None, one), (5, "  \n"), (6, rows[-1][1])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    for stage in (cp.language_stage, cp.quality_stage, cp.near_duplicate_stage, cp.pii_stage, cp.packing_stage):
+        assert stage(spark, docs.limit(0), "").collect() == []
