@@ -341,7 +341,7 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
                 pair, of = np.unique(kind[i] * len(alike) + kind[j], return_inverse=True)
                 told = [min(c for c, h in alike[k // len(alike)].items() if c in alike[k % len(alike)] and (h or alike[k % len(alike)][c])) == cell for k in pair.tolist()]
                 link[i, j] = np.array(told, bool)[of]
-            links = link @ copies
+            links = np.concatenate([link[a : a + STEP] @ copies for a in range(0, n, STEP)])  # in parts: a product widens the flags to numbers
             some = np.nonzero(links)[0]
             sub = link[np.ix_(some, some)]
             ends = some[np.array(forest(len(some), lambda a, b: sub[np.ix_(a, b)], 512), dtype=np.int64).reshape(-1, 2)]  # noqa: B023
