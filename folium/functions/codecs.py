@@ -27,7 +27,7 @@ def base64url(c: Column) -> Column:
 
 
 def html_decode(c: Column) -> Column:
-    """The five named entities and decimal references of ASCII."""
+    """The named entities of the markup characters, the space that does not break, and the quote by number."""
     for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(value))
     return c

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import unicodedata
 from collections import Counter
@@ -12,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters with marks of the Latin blocks and what is left of them, by rule from the Unicode decomposition.
-_MARKED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+#: Letters with marks of the Latin, Greek and Cyrillic blocks and what is left of them, by rule from the Unicode decomposition.
+_MARKED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)] if len(unicodedata.normalize("NFD", chr(c))) > 1}
 
 
 def ascii_lower(c: Column) -> Column:
@@ -34,7 +35,7 @@ def fts_phrases(query: str) -> list[str]:
     """Each word of a query with a letter or digit as a phrase whose last token is a prefix; operators are plain text."""
     out = []
     for word in query.split():
-        folded = "".join(_MARKED.get(ch, ch) for ch in word).lower()
+        folded = "".join(_MARKED.get(ch, ch) for ch in word if unicodedata.category(ch)[0] != "M").lower()
         tokens = "".join(ch if ch.isalnum() else " " for ch in folded).split()
         if tokens:
             out.append(" " + " ".join(tokens))
@@ -114,11 +115,12 @@ def strongest_split(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A text key whose plain order is natural: digit runs by value (padded), blanks skipped, more leading zeros first on ties."""
+    """A text key whose plain order is natural: digit runs by value, of any length (their length stands before them),
+    blanks skipped, more leading zeros first on ties."""
     squeezed = F.regexp_replace(c, " ", "")
     runs = F.regexp_extract_all(squeezed, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    plain = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 20, "0"))).otherwise(r))
-    zeros = F.array_join(F.transform(runs, lambda r: F.lpad((F.lit(99) - F.when(r.rlike("^[0-9]"), F.length(r) - F.length(F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(0)).cast("string"), 2, "0")), "")
+    plain = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(F.regexp_replace(r, "^0+(?=.)", "")).cast("string"), 10, "0"), F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(r))
+    zeros = F.array_join(F.transform(runs, lambda r: F.lpad((F.lit(9_999_999_999) - F.when(r.rlike("^[0-9]"), F.length(r) - F.length(F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(0)).cast("string"), 10, "0")), "")
     return F.concat(F.array_join(plain, ""), F.lit("\x00"), zeros)
 
 
@@ -155,13 +157,22 @@ def any_same_person(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([any(same_person_text(p, q) for p in (x if x is not None else ()) for q in (y if y is not None else ())) for x, y in zip(a, b, strict=True)])
 
 
+#: A decoration in brackets.
+_BRACKETS = r"[(\[{（【][^)\]}）】]*[)\]}）】]"
+
+
 def title_keys(c: Column) -> Column:
     """Normalised title, and that without bracketed parts, at most two different keys."""
-    bare = F.regexp_replace(c, r"\([^()]*\)|\[[^\[\]]*\]|【[^【】]*】", " ")
+    bare = F.regexp_replace(c, _BRACKETS, " ")
     return F.filter(F.array_distinct(F.array(norm(c), norm(bare))), lambda k: k != "")
 
 
-def person_keys(c: Column) -> Column:
-    """Names of a list, each as its sorted folded words joined."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"[,;/、]| and ")
-    return F.filter(F.transform(parts, lambda p: F.array_join(F.array_sort(F.split(fts_text(p), " ")), "")), lambda k: k != "")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def person_keys(c: pd.Series) -> pd.Series:
+    """Names of a list, each as its sorted folded words joined, without decorations in brackets."""
+
+    def keys(names: str | None) -> list[str]:
+        parts = re.split(r"[,;/、]| and ", names or "")
+        return sorted({k for p in parts if (k := "".join(sorted(_norm(re.sub(_BRACKETS, " ", p)).split())))})
+
+    return c.map(keys)

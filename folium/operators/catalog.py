@@ -40,8 +40,14 @@ def where(rows: DataFrame, query: str = "", modules: list[str] | None = None, in
     return reduce(lambda d, p: d.where(p), [p for p in parts if p is not None], rows)
 
 
+def accepted(matches: DataFrame) -> DataFrame:
+    """Matches as they count: without a series where how they were made is not accepted."""
+    return matches.withColumn("series_id", F.when(F.col("confidence").isin(*ACCEPTED), F.col("series_id")))
+
+
 def matched(listing: DataFrame, matches: DataFrame) -> DataFrame:
-    return listing.join(matches, "link", "left")
+    """Catalog rows with their own module's match."""
+    return listing.join(accepted(matches), ["module_id", "link"], "left")
 
 
 def page(rows: DataFrame, offset: int, limit: int, *columns: str) -> DataFrame:
@@ -73,8 +79,23 @@ def summaries(listing: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def prune(matches: DataFrame, listing: DataFrame, kept: DataFrame) -> DataFrame:
-    """Matches whose link is neither listed nor kept."""
-    return matches.join(listing.select("link"), "link", "left_anti").join(kept.select("link"), "link", "left_anti")
+    """Matches whose link is neither listed nor kept in their module."""
+    key = ["module_id", "link"]
+    return matches.join(listing.select(*key), key, "left_anti").join(kept.select(*key), key, "left_anti")
+
+
+def invalidate(covers: DataFrame, matches: DataFrame) -> DataFrame:
+    """Covers that stay when ``matches`` are stored: one taken from a match goes when the series is another, null-safe;
+    one taken from the site goes when there is a series. Covers without a new match stay."""
+    m = matches.select("module_id", "link", F.col("series_id").alias("_new"), F.lit(True).alias("_stored"))
+    d = covers.join(m, ["module_id", "link"], "left")
+    stale = F.col("_stored") & (((F.col("source") == "match") & ~F.col("series_id").eqNullSafe(F.col("_new"))) | ((F.col("source") == "site") & F.col("_new").isNotNull()))
+    return d.where(~F.coalesce(stale, F.lit(False))).drop("_new", "_stored")
+
+
+def module_ids(*parts: DataFrame) -> DataFrame:
+    """The modules that any of the relations names, each once."""
+    return reduce(lambda a, b: a.unionByName(b), [p.select("module_id") for p in parts]).where("module_id IS NOT NULL").distinct()
 
 
 def pending(inputs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -94,16 +115,23 @@ def prefix_rank(titles: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
 
 
 def token_index(listing: DataFrame, path: str) -> None:
-    """The inverted index on disk: (token, module, link), in folders by the token's first two characters."""
+    """The inverted index on disk: (token, module, link), in folders by the token's first two characters.
+
+    Rows are gathered by folder and a spread over links before they are written, so that a folder gets a few files,
+    and a common beginning is not one task's.
+    """
     t = listing.select("module_id", "link", F.explode(F.array_distinct(F.concat(F.split(F.trim(fts_text(F.col("title"))), " "), F.split(F.trim(fts_text(F.col("alttitles"))), " ")))).alias("token"))
-    t.where("token <> ''").withColumn("prefix", F.substring("token", 1, 2)).write.mode("overwrite").partitionBy("prefix").parquet(path)
+    t = t.where("token <> ''").withColumn("prefix", F.substring("token", 1, 2))
+    t.repartition("prefix", F.pmod(F.xxhash64("link"), F.lit(8))).write.mode("overwrite").partitionBy("prefix").parquet(path)
 
 
-def search_index(spark, path: str, query: str) -> DataFrame:
-    """Links with every word's prefix, by one pruned folder per word of two or more characters."""
-    out = None
-    for phrase in fts_phrases(query):
-        word = phrase.split()[-1]
-        hit = spark.read.parquet(path).where(F.col("prefix").startswith(word[:2]) & F.col("token").startswith(word)).select("module_id", "link").distinct()
+def search_index(spark, path: str, query: str, listing: DataFrame) -> DataFrame:
+    """Module and link of the rows of ``listing`` that match: the index finds those with all tokens of every word, the
+    last one as a prefix, and the predicate then tests the words as phrases on these rows alone."""
+    index, out = spark.read.parquet(path), None
+    for token, prefix in dict.fromkeys((t, i + 1 == len(ts)) for ts in map(str.split, fts_phrases(query)) for i, t in enumerate(ts)):
+        same = F.col("token").startswith(token) if prefix else F.col("token") == token
+        hit = index.where(F.col("prefix").startswith(token[:2]) & same).select("module_id", "link").distinct()
         out = hit if out is None else out.join(hit, ["module_id", "link"], "left_semi")
-    return out if out is not None else spark.read.parquet(path).select("module_id", "link").distinct()
+    rows = where(listing if out is None else listing.join(out, ["module_id", "link"], "left_semi"), query)
+    return rows.select("module_id", "link")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.operators.ordered import keep_one
+from folium.operators.ordered import keep_least
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -24,14 +24,17 @@ def run_verdicts(before: DataFrame, now: DataFrame) -> DataFrame:
 def evict(files: DataFrame, cap: int) -> DataFrame:
     """Files that go, least recently used first, until the rest fits under ``cap``.
 
-    Sizes are summed per day of use first; only the day in which the cap falls is summed row by row.
+    Sizes are summed per day of use first. Days wholly under or over the cap are told by their sums; only the day in
+    which the cap falls is summed row by row.
     """
     d = files.withColumn("_day", F.date_trunc("day", "used_at"))
     days = d.groupBy("_day").agg(F.sum("size").alias("_sum"))
     newer = F.sum("_sum").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1))  # a row per day
-    d = d.join(days.select("_day", F.coalesce(newer, F.lit(0)).alias("_before")), "_day")
+    d = d.join(days.select("_day", F.coalesce(newer, F.lit(0)).alias("_before"), "_sum"), "_day").where(F.col("_before") + F.col("_sum") > cap)
+    whole = d.where(F.col("_before") >= cap)
     upto = F.col("_before") + F.sum("size").over(Window.partitionBy("_day").orderBy(F.desc("used_at"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("_upto", upto).where(F.col("_upto") > cap).select("path", "size", "used_at")
+    part = d.where(F.col("_before") < cap).withColumn("_upto", upto).where(F.col("_upto") > cap)
+    return whole.where("size > 0").select("path", "size", "used_at").unionByName(part.select("path", "size", "used_at"))
 
 
 def prioritised_union(parts: list[DataFrame], excluded: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def prioritised_union(parts: list[DataFrame], excluded: DataFrame) -> DataFrame:
     for i, p in enumerate(parts):
         q = p.select("key", "url", F.lit(i).alias("priority"))
         d = q if d is None else d.unionByName(q)
-    d = keep_one(d, [F.col("key"), F.col("url")], [F.col("priority")])
+    d = keep_least(d, ["key", "url"], ["priority"])
     host = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^/:]+)", 1), r"^www\.", "")
     return d.join(excluded.select("key", "url"), ["key", "url"], "left_anti").withColumn("label", host)
 
@@ -59,7 +62,7 @@ def differences(left: DataFrame, right: DataFrame, key: str, feature: str) -> Da
 
 def frontier(pages: DataFrame, known: DataFrame, sorted_site: bool = False) -> DataFrame:
     """Links to add from crawled pages: not known, each once; on a sorted site nothing after the first known link."""
-    first = keep_one(pages, [F.col("module_id"), F.col("link")], [F.col("position")])
+    first = keep_least(pages, ["module_id", "link"], ["position"])
     d = first.join(known.select("module_id", "link").distinct().withColumn("_k", F.lit(True)), ["module_id", "link"], "left")
     if sorted_site:
         stop = d.where("_k").groupBy("module_id").agg(F.min("position").alias("_stop"))

@@ -88,6 +88,34 @@ def sections(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return d.select("section", F.coalesce("sort_order", F.lit(2_147_483_647)).alias("section_order"), key, F.row_number().over(w).alias("place"))
 
 
+def distinct_chapters(chapters: DataFrame, key: str, link: str) -> DataFrame:
+    """Chapters of each key, links that differ in case or outer blanks once."""
+    return chapters.groupBy(key).agg(F.countDistinct(F.lower(F.trim(link))).alias("n_chapters"))
+
+
+def credits(rows: DataFrame, key: str) -> DataFrame:
+    """One row per person of a work, with the roles in the order in which they are given."""
+    d = rows.groupBy(key, F.lower("person").alias("_p")).agg(F.min_by("person", "place").alias("person"), F.min("place").alias("place"), F.sort_array(F.collect_set(F.struct("place", "role"))).alias("_r"))  # one person's roles
+    return d.select(key, "person", F.array_join(F.array_distinct(F.transform("_r", lambda x: x["role"])), ", ").alias("roles"), "place")
+
+
+def modules_of_hosts(rows: DataFrame, host: str, modules: DataFrame) -> DataFrame:
+    """``rows`` with ``module_id``: the last module whose root address holds the host, else the host without its first
+    four letters where it has a w in it; null for none.
+
+    A root's substrings of the lengths that occur among hosts are made, so that the join is by equality.
+    """
+    low = F.lower(host)
+    want = rows.select(F.col(host).alias("_h"), low.alias("_low")).distinct().where("_low <> ''")
+    forms = F.array_compact(F.array(F.struct(F.lit(0).alias("p"), F.col("_low").alias("s")), F.when(F.contains("_low", F.lit("w")) & (F.length("_low") > 4), F.struct(F.lit(1).alias("p"), F.substr("_low", F.lit(5)).alias("s")))))
+    want = want.select("_h", F.explode(forms).alias("_f")).select("_h", "_f.p", "_f.s")
+    sizes = want.select(F.length("s").alias("_n")).distinct()  # as many as hosts have lengths
+    held = modules.join(F.broadcast(sizes), F.col("_n") <= F.length("root_url")).select("module_id", F.explode(F.sequence(F.lit(1), F.length("root_url") - F.col("_n") + 1)).alias("_i"), "root_url", "_n")
+    held = held.select("module_id", F.substring("root_url", F.col("_i"), F.col("_n")).alias("s")).groupBy("s").agg(F.max("module_id").alias("module_id"))
+    found = want.join(held, "s").groupBy("_h").agg(F.min_by("module_id", "p").alias("module_id"))
+    return rows.join(found, rows[host] == F.col("_h"), "left").drop("_h")
+
+
 def numbered(position: Column, name: Column) -> Column:
     """A name behind its position in four digits, or in all of them where there are more."""
     digits = position.cast("string")

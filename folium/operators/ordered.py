@@ -12,6 +12,21 @@ def keep_one(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def keep_least(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ascending order of some columns. It is combined before the shuffle, so that a hot
+    key costs each task one row."""
+    names = rows.columns
+    least = rows.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_r"))
+    return least.select(*[F.col("_r")[c].alias(c) for c in names])
+
+
+def appended(old: DataFrame, new: DataFrame, group: str, order: str, place: str) -> DataFrame:
+    """New rows with the places after the highest one of their group, or from 0, in the given order."""
+    top = old.groupBy(group).agg((F.max(place) + 1).alias("_next"))
+    d = new.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).join(top, group, "left")
+    return d.withColumn(place, F.coalesce("_next", F.lit(0)) + F.col("_n")).drop("_next", "_n")
+
+
 def runs(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Runs of values at most one apart, per group: first, last and length."""
     w = Window.partitionBy(group).orderBy(value)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folium.operators.ordered import keep_least
+
 #: Log levels by severity, the worst first.
 LEVELS = ("ERROR", "WARN", "INFO", "DEBUG", "TRACE")
 
@@ -45,6 +47,42 @@ def tail(lines: DataFrame, limit: int, cursor: int | None = None) -> DataFrame:
     return lines.orderBy(F.desc("seq")).limit(limit).orderBy("seq")
 
 
+def tasks_page(tasks: DataFrame, chapters: DataFrame, text: str, since: Column, until: Column) -> DataFrame:
+    """Tasks with the text in their title, module or any chapter's name, and last worked on, else added, in a range."""
+    low = text.lower()
+    named = chapters.where(F.contains(F.lower("name"), F.lit(low))).select("task_id").distinct().withColumn("_named", F.lit(True))
+    hit = F.contains(F.lower("title"), F.lit(low)) | F.contains(F.lower("module_id"), F.lit(low)) | F.coalesce("_named", F.lit(False))
+    return tasks.where(F.coalesce("last_at", "added_at").between(since, until)).join(named, "task_id", "left").where(hit).drop("_named")
+
+
+def log_search(lines: DataFrame, text: str, level: str) -> DataFrame:
+    """Lines at least as severe with the text in message, target or module, case ignored."""
+    hit = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.lower())) for c in ("message", "target", "module")]
+    return lines.where(at_least(level) & (hit[0] | hit[1] | hit[2]))
+
+
+def merged_lines(kept: DataFrame, more: DataFrame, most: int) -> DataFrame:
+    """Lines of both, each number once and as it was kept, the newest ``most`` of them."""
+    both = kept.withColumn("_from", F.lit(0)).unionByName(more.withColumn("_from", F.lit(1)))
+    return keep_least(both, ["seq"], ["_from"]).drop("_from").orderBy(F.desc("seq")).limit(most)
+
+
+def retries(chapters: DataFrame, tasks: DataFrame, most: int) -> DataFrame:
+    """Tasks to run again: the first failed chapter of each that has been tried again fewer than ``most`` times."""
+    first = chapters.where("failed").groupBy("task_id").agg(F.min("position").alias("chapter"))
+    return tasks.where(F.col("retried") < most).join(first, "task_id").select("task_id", "chapter", (F.col("retried") + 1).alias("retried"))
+
+
+def total_rate(tasks: DataFrame) -> DataFrame:
+    """The rate of all active tasks together."""
+    return tasks.agg(F.coalesce(F.sum(F.when(F.col("active"), F.col("rate"))), F.lit(0.0)).alias("rate"))
+
+
+def open_until(now: Column, minutes: Column) -> Column:
+    """Until when a queue opened for some minutes stays open; null minutes, for ever."""
+    return F.when(minutes.isNotNull(), F.timestamp_millis(F.unix_millis(now) + minutes * 60_000))
+
+
 def window_open(seconds: Column, start: int, end: int) -> Column:
     """Whether a second of the day lies in a daily window, which may pass midnight; equal ends are always open."""
     if start == end:

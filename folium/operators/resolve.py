@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.functions.text import any_same_person, person_keys, title_keys
+from folium.functions.text import any_same_person, person_keys, strongest_split, title_keys
 
 #: More candidates than this are ambiguous before any of them is looked at.
 MOST = 50
@@ -79,12 +79,35 @@ def repoint(keys: DataFrame, final: DataFrame) -> DataFrame:
     return keys.join(f, "series", "left").select("key", F.coalesce("dst", "series").alias("series")).distinct()
 
 
-def decide(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int = MOST) -> DataFrame:
-    """``link, confidence, series_id`` by title keys, then people.
+def _only(hits: DataFrame, series: DataFrame, confidence: str) -> DataFrame:
+    """``link, confidence, series_id`` of the inputs whose keys lead to one series, which there is."""
+    one = hits.groupBy("link").agg(F.min("series").alias("series"), F.max("series").alias("_last")).where(F.col("series") == F.col("_last"))
+    return one.join(series.select("series"), "series", "left_semi").select("link", F.lit(confidence).alias("confidence"), F.col("series").alias("series_id"))
 
-    ``inputs (link, keys, people)``, ``titles (key, series)``, ``series (series, main_key, people, type)`` with people
-    as arrays of name keys. Candidates are counted before any of their columns is joined; novels go after the count.
+
+def decide(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int = MOST, links: DataFrame | None = None, xids: DataFrame | None = None) -> DataFrame:
+    """``link, confidence, series_id`` by site link, then ids on other sites, then title keys and people.
+
+    ``inputs (link, keys, people)``, with ``link_key`` where ``links (key, series)`` is given and an array ``xids`` where
+    ``xids (key, series)`` is; ``titles (key, series)``, ``series (series, main_key, people, type)`` with people as arrays
+    of name keys. An input that a tier decides does not enter the next one.
     """
+    rest, told = inputs, None
+    for found in (
+        links is not None and _only(inputs.select("link", F.col("link_key").alias("key")).join(links, "key"), series, "link"),
+        xids is not None and _only(inputs.select("link", F.explode("xids").alias("key")).join(xids, "key"), series, "cross-id"),
+    ):
+        if found:
+            own = found if told is None else found.join(told, "link", "left_anti")
+            told = own if told is None else told.unionByName(own)
+    if told is not None:
+        rest = inputs.join(told, "link", "left_anti")
+    by_title = _by_title(rest, titles, series, most)
+    return by_title if told is None else told.unionByName(by_title)
+
+
+def _by_title(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int) -> DataFrame:
+    """Candidates are counted before any of their columns is joined; novels go after the count."""
     hits = inputs.select("link", F.explode("keys").alias("key")).join(titles, "key").select("link", "series").distinct()
     size = hits.groupBy("link").agg(F.count("*").alias("n_candidates"))
     few = hits.join(size.where(F.col("n_candidates") <= most), "link")
@@ -118,5 +141,9 @@ def decide(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int =
 
 
 def match_inputs(listing: DataFrame) -> DataFrame:
-    """Title keys and people of catalog rows."""
-    return listing.select("link", title_keys(F.col("title")).alias("keys"), F.array_union(person_keys(F.col("authors")), person_keys(F.col("artists"))).alias("people"))
+    """Keys of the title and of the alternative titles, by the strongest separator among them, and people of catalog rows."""
+    names = F.concat(F.array("title"), strongest_split(F.coalesce("alttitles", F.lit(""))))
+    each = listing.select("link", F.explode(names).alias("_t")).where("_t IS NOT NULL").select("link", F.explode(title_keys(F.col("_t"))).alias("_k"))
+    keys = each.groupBy("link").agg(F.array_sort(F.collect_set("_k")).alias("keys"))  # one entry's titles
+    people = listing.select("link", F.array_union(person_keys(F.col("authors")), person_keys(F.col("artists"))).alias("people"))
+    return people.join(keys, "link", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))

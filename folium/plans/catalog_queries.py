@@ -19,7 +19,7 @@ def _fts(prefix: str) -> str:
 
 
 _ORDER = "ORDER BY lower(title), module_id, link"
-_JOINED = f"{LISTING_SQL} l LEFT JOIN {MATCHES_SQL} m USING (link)"
+_JOINED = f"{LISTING_SQL} l LEFT JOIN {MATCHES_SQL} m USING (module_id, link)"
 
 
 def search_everything(spark, sf):
@@ -76,8 +76,8 @@ def list_summaries(spark, sf):
 
 
 def prune_unlisted(spark, sf):
-    kept = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("link"))
-    return catalog.prune(matches(spark, sf), listing(spark, sf).where("status <> '0'"), kept).select("link", "series_id")
+    kept = table(spark, sf, "part").where("p_size = 7").select(F.col("p_brand").alias("module_id"), F.col("p_partkey").alias("link"))
+    return catalog.prune(catalog.accepted(matches(spark, sf)), listing(spark, sf).where("status <> '0'"), kept).select("link", "series_id")
 
 
 def pending_by_fingerprint(spark, sf):
@@ -132,25 +132,16 @@ def repointed_keys(spark, sf):
     return resolve.repoint(keys, resolve.merge_chain(_chain(spark, sf).where("src > 3")))
 
 
-def _decided(spark, sf, chosen):
+def resolve_decide(spark, sf):
     """Part names against a catalog of their own, people by type; candidates over the cap are ambiguous."""
     p = table(spark, sf, "part")
-    inputs = p.where(chosen).select(F.col("p_partkey").alias("link"), F.array(F.lower("p_name")).alias("keys"), F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("people"))
+    inputs = p.select(F.col("p_partkey").alias("link"), F.array(F.lower("p_name")).alias("keys"), F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("people"))
     series = p.where("p_size < 40").select(F.col("p_partkey").alias("series"), F.lower("p_name").alias("main_key"), F.array("p_type").alias("people"), F.when(F.col("p_size") < 5, F.lit("novel")).alias("type"))
     titles = series.select(F.col("main_key").alias("key"), "series")
     found = resolve.decide(inputs, titles, series, most=25)
     return found.groupBy("confidence").agg(F.count("*").alias("n"))
 
 
-def resolve_decide(spark, sf):
-    """As its SQL has it, every third part; all of them are in ``resolve_decide_whole``."""
-    return _decided(spark, sf, "p_partkey % 3 = 0")
-
-
-def resolve_decide_whole(spark, sf):
-    return _decided(spark, sf, "true")
-
-
 def cross_ids(spark, sf):
     """Ids on other sites, exploded from a map, joined by (site, id)."""
     d = table(spark, sf, "customer").select(F.col("c_custkey").alias("link"), F.create_map(F.lit("al"), F.col("c_nationkey").cast("string"), F.lit("mu"), (F.col("c_custkey") % 40).cast("string")).alias("ids"))
@@ -192,16 +183,6 @@ for _f, _sql in (
     (repointed_keys, "WITH RECURSIVE e AS (SELECT doc_id src, doc_id // 2 dst FROM documents WHERE doc_id > 3), c AS (SELECT src, dst, 1 depth FROM e UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN e ON e.src = c.dst WHERE depth < 32), f AS (SELECT src, arg_max(dst, depth) dst FROM c GROUP BY 1) SELECT DISTINCT source AS key, coalesce(dst, doc_id) series FROM documents LEFT JOIN f ON src = doc_id"),
     (
         resolve_decide,
-        """WITH i AS (SELECT p_partkey link, lower(p_name) k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END person FROM part WHERE p_partkey % 3 = 0),
-        s AS (SELECT p_partkey series, lower(p_name) k, p_type person, p_size < 5 novel FROM part WHERE p_size < 40),
-        c AS (SELECT link, i.person, s.person theirs, series, novel, count(*) OVER (PARTITION BY link) total FROM i JOIN s USING (k)),
-        a AS (SELECT link, any_value(total) total, count(*) FILTER (WHERE NOT novel) n,
-          count(*) FILTER (WHERE NOT novel AND person = theirs) agree FROM c GROUP BY 1)
-        SELECT CASE WHEN total > 25 THEN 'ambiguous' WHEN coalesce(n, 0) = 0 THEN 'none' WHEN person IS NULL AND n = 1 THEN 'title-unique' WHEN person IS NULL THEN 'ambiguous'
-          WHEN agree = 0 THEN 'author-conflict' WHEN agree = 1 THEN 'title+author' ELSE 'ambiguous' END confidence, count(*) n FROM i LEFT JOIN a USING (link) GROUP BY 1""",
-    ),
-    (
-        resolve_decide_whole,
         """WITH i AS (SELECT p_partkey link, lower(p_name) k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END person FROM part),
         s AS (SELECT p_partkey series, lower(p_name) k, p_type person, p_size < 5 novel FROM part WHERE p_size < 40),
         c AS (SELECT link, i.person, s.person theirs, series, novel, count(*) OVER (PARTITION BY link) total FROM i JOIN s USING (k)),

@@ -84,18 +84,13 @@ def grouped_sections(spark, sf):
     return library.sections(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("group_id")), g, "c_custkey")
 
 
-def missing_artefacts_whole(spark, sf):
+def missing_artefacts(spark, sf):
     o = table(spark, sf, "orders")
     chapters = o.select(F.col("o_custkey").alias("favorite_id"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("name"))
     files = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("favorite_id"), library.numbered(F.col("o_orderkey"), F.col("o_orderpriority")).alias("file"))
     return library.missing_files(chapters, files).select("favorite_id", "position")
 
 
-def missing_artefacts(spark, sf):
-    """As its SQL has it, only positions below 9999; all of them are in ``missing_artefacts_whole``."""
-    return missing_artefacts_whole(spark, sf).where("position < 9999")
-
-
 def queue_groups(spark, sf):
     g = F.when(F.col("o_orderstatus") == "F", "finished").when(F.col("o_orderstatus") == "O", "waiting").otherwise("active")
     return queue.group_counts(table(spark, sf, "orders"), g, ["finished", "waiting", "active", "stopped"])
@@ -159,16 +154,11 @@ def failure_streak(spark, sf):
     return ordered.failure_streak(d, "user_id", ["ts", "event_id"], F.col("event_type").isin("error", "view"))
 
 
-def natural_order_whole(spark, sf):
+def natural_order(spark, sf):
     d = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("x"), (F.col("p_partkey") % 120).cast("string"), F.lit("y"), F.col("p_partkey").cast("string")).alias("name"))
     return d.orderBy(text.natural_key(F.col("name")))
 
 
-def natural_order(spark, sf):
-    """As its SQL has it, only the first 200 rows; all of them are in ``natural_order_whole``."""
-    return natural_order_whole(spark, sf).limit(200)
-
-
 def text_cleanup(spark, sf):
     raw = F.concat(F.lit("\t "), F.col("p_name"), F.lit("  "), F.col("p_type"), F.lit(" ,, "))
     return table(spark, sf, "part").select("p_partkey", text.control_trim(raw).alias("trimmed"), text.fix_white_space(raw).alias("fixed"), text.trim_right_commas(raw).alias("bare"), text.clean_url(F.concat(F.lit("http://h//"), F.col("p_brand"))).alias("url"), text.cut_text(F.col("p_name"), 8).alias("short"), text.strongest_split(F.concat_ws(";", "p_brand", F.lit(" b,c "))).getItem(1).alias("part"))
@@ -200,7 +190,7 @@ def page_titles(spark, sf):
 
 def page_links(spark, sf):
     n = pages.nodes(table(spark, sf, "pages"))
-    return pages.links(n, pages.path(n, ("descendant", F.col("name") == "body"), ("descendant", (F.col("name") == "a") & pages.attr("href").isNotNull()))).select("page_id", "href", "text")
+    return pages.links(n, pages.path(n, ("descendant", (F.col("name") == "a") & pages.attr("href").isNotNull()))).select("page_id", "href", "text")
 
 
 def page_paragraphs(spark, sf):
@@ -280,7 +270,7 @@ def stream_throttle(spark, sf):
 
 _N = "(SELECT event_id seq, ['ERROR','WARN','INFO','DEBUG','TRACE'][event_id % 5 + 1] AS level, event_type target FROM events)"
 _IN = "(SELECT event_id id, epoch_us(ts) // 1000 ts, event_type kind, (json_extract(props, '$.k')::INT % 2 = 1) AS read FROM events)"
-_H = "SELECT o_orderkey FROM orders"
+_TEXT = "replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 Q, S = {}, {}
 for _f, _sql in (
     (new_chapter_counts, "WITH r AS (SELECT DISTINCT l_orderkey k FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT o_custkey f, count(*) n, count(*) FILTER (WHERE o_orderkey NOT IN (SELECT k FROM r)) u FROM orders GROUP BY 1) SELECT c_custkey favorite_id, coalesce(n, 0) n_chapters, coalesce(u, 0) n_new, greatest(c_custkey % 20 - coalesce(n, 0), 0) n_behind FROM customer LEFT JOIN c ON f = c_custkey"),
@@ -295,8 +285,7 @@ for _f, _sql in (
     (tri_state_tags, "SELECT p_partkey FROM part WHERE lower(p_type) = 'promo' AND p_brand <> 'Brand#11'"),
     (library_sort, "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 4 <> 0 THEN epoch_ms(o_orderdate) END updated FROM orders ORDER BY 3 DESC NULLS LAST, 1 LIMIT 100"),
     (grouped_sections, "SELECT coalesce(CASE WHEN n_nationkey < 10 THEN n_name END, 'Ungrouped') AS section, (CASE WHEN n_nationkey < 10 THEN 100 - n_nationkey ELSE 2147483647 END)::INT section_order, c_custkey, (row_number() OVER (PARTITION BY coalesce(CASE WHEN n_nationkey < 10 THEN n_name END, 'Ungrouped') ORDER BY c_custkey))::INT place FROM customer JOIN nation ON n_nationkey = c_nationkey"),
-    (missing_artefacts, "SELECT o_custkey favorite_id, o_orderkey AS position FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey < 9999"),
-    (missing_artefacts_whole, "SELECT o_custkey favorite_id, o_orderkey AS position FROM orders WHERE o_orderkey % 3 <> 0"),
+    (missing_artefacts, "SELECT o_custkey favorite_id, o_orderkey AS position FROM orders WHERE o_orderkey % 3 <> 0"),
     (queue_groups, "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') finished, count(*) FILTER (WHERE o_orderstatus = 'O') waiting, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) active, 0::BIGINT stopped FROM orders"),
     (queue_page, "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1998-12-31' ORDER BY o_orderpriority, o_orderkey LIMIT 25 OFFSET 20"),
     (task_rollup, "SELECT l_orderkey task_id, count(*) n_chapters, count(*) FILTER (WHERE l_linestatus = 'F') n_done, sum(l_quantity::BIGINT)::BIGINT pages, coalesce(sum(l_quantity::BIGINT) FILTER (WHERE l_linestatus = 'F'), 0)::BIGINT pages_done, count(*) FILTER (WHERE l_linestatus = 'F') || '/' || count(*) AS label FROM lineitem GROUP BY 1"),
@@ -309,8 +298,7 @@ for _f, _sql in (
     (log_after, f"SELECT * FROM {_N} WHERE level IN ('ERROR', 'WARN') AND contains(target, 'err') AND seq > 300 ORDER BY seq LIMIT 50"),
     (run_ranges, "WITH d AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id % 3 <> 0 OR turn % 4 <> 2), r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) g FROM d) SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) n FROM r GROUP BY conv_id, g"),
     (failure_streak, "WITH e AS (SELECT user_id, event_type IN ('error', 'view') f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events), l AS (SELECT user_id, coalesce(max(i) FILTER (WHERE NOT f), 0) k FROM e GROUP BY 1) SELECT user_id, count(*) FILTER (WHERE f AND i > k) streak FROM e JOIN l USING (user_id) GROUP BY 1"),
-    (natural_order, "SELECT p_partkey, 'x' || p_partkey % 120 || 'y' || p_partkey AS name FROM part ORDER BY p_partkey % 120, p_partkey LIMIT 200"),
-    (natural_order_whole, "SELECT p_partkey, 'x' || p_partkey % 120 || 'y' || p_partkey AS name FROM part ORDER BY p_partkey % 120, p_partkey"),
+    (natural_order, "SELECT p_partkey, 'x' || p_partkey % 120 || 'y' || p_partkey AS name FROM part ORDER BY p_partkey % 120, p_partkey"),
     (text_cleanup, "SELECT p_partkey, p_name || '  ' || p_type || ' ,,' trimmed, p_name || ' ' || p_type || ' ,,' fixed, chr(9) || ' ' || p_name || '  ' || p_type bare, 'http://h/' || p_brand url, CASE WHEN length(p_name) > 8 THEN p_name[1:7] || '…' ELSE p_name END short, 'b,c' part FROM part"),
     (julian_days, "SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 2440588 jdn, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') stamp FROM orders"),
     (digests, "SELECT p_partkey, md5(p_name) md5, sha256(p_name) sha256, sha1(p_name) sha1, base64(p_name::BLOB) b64, url_encode(p_name || ' é&') uri, hex(p_name) hexed, '&lt;&amp;&gt;' || p_name html FROM part"),
@@ -328,10 +316,10 @@ for _f, _sql in (
     (typed_scan, "SELECT p_partkey, CASE WHEN p_size > 25 THEN 0 ELSE p_size END::BIGINT size, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS name FROM part"),
     (category_groups, "SELECT CASE WHEN s_nationkey % 3 <> 0 THEN 'c' || s_nationkey % 4 ELSE 'Other' END category, count(*) n, min(lower(s_name)) first_name FROM supplier GROUP BY 1"),
     (stream_replay_dedup, "SELECT event_id, event_type FROM events WHERE event_id > 100"),
-    (page_links, None),
+    (page_links, rf'''SELECT page_id, {_TEXT.format(x='a[1]')} AS href, trim({_TEXT.format(x='a[2]')}) AS text FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<a [^>]*?href="[^"]*"[^>]*>.*?</a>'), lambda m: [regexp_extract(m, 'href="([^"]*)"', 1), regexp_replace(m, '<[^>]*>', '', 'g')])) a FROM pages)'''),
+    (page_tags, "SELECT name, count(*) n, count(DISTINCT page_id) n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) GROUP BY 1"),
+    (stream_throttle, "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS key, epoch_us(ts) // 1000 ms FROM events), x AS MATERIALIZED (SELECT a.key, a.ms, min(b.ms) nxt FROM e a JOIN e b ON a.key = b.key AND a.ms + 3600000 <= b.ms GROUP BY 1, 2), r AS (SELECT key, min(ms) ms FROM e GROUP BY 1 UNION ALL SELECT r.key, nxt FROM r JOIN x USING (key, ms)) SELECT key, count(*) n FROM r GROUP BY 1"),
     (page_paragraphs, None),
-    (page_tags, None),
-    (stream_throttle, None),
 ):
     Q[_f.__name__] = _f
     if _sql:

@@ -27,10 +27,13 @@ LISTING_SQL = "(SELECT p_brand module_id, p_partkey link, p_name title, p_type a
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series per part, its least supplier, for four parts of five; none where the supplier's balance is low."""
+    """A series per part, its least supplier, for four parts of five; not accepted where the supplier's balance is low."""
     lines = table(spark, sf_dir, "lineitem").where("l_partkey % 5 <> 0").groupBy(F.col("l_partkey").alias("link")).agg(F.min("l_suppkey").alias("s_suppkey"))
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
-    return lines.join(sup, "s_suppkey").select("link", F.when(F.col("s_acctbal") >= 2000, F.col("s_suppkey")).alias("series_id"), (F.col("s_nationkey") % 5).cast("string").alias("format"))
+    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("module_id"), F.col("p_partkey").alias("link"))
+    confidence = F.when(F.col("s_acctbal") >= 2000, "title+author").otherwise("ambiguous")
+    return lines.join(sup, "s_suppkey").join(own, "link").select("module_id", "link", F.col("s_suppkey").alias("series_id"), confidence.alias("confidence"), (F.col("s_nationkey") % 5).cast("string").alias("format"))
 
 
-MATCHES_SQL = "(SELECT link, CASE WHEN s_acctbal >= 2000 THEN s_suppkey END series_id, (s_nationkey % 5)::VARCHAR format FROM (SELECT l_partkey link, min(l_suppkey) s_suppkey FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1) JOIN supplier USING (s_suppkey))"
+#: As :func:`matches`, with the series of accepted matches alone.
+MATCHES_SQL = "(SELECT p_brand module_id, link, CASE WHEN s_acctbal >= 2000 THEN s_suppkey END series_id, (s_nationkey % 5)::VARCHAR format FROM (SELECT l_partkey link, min(l_suppkey) s_suppkey FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1) JOIN supplier USING (s_suppkey) JOIN part ON p_partkey = link)"

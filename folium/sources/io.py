@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +26,32 @@ def absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def swap(rows: DataFrame, root: str, build: str) -> str:
-    """Write a new build beside the old ones, then point to it; readers of the old build keep it."""
+    """Write a new build beside the old ones, then point to it; readers of the old build keep it.
+
+    Pointers are only ever added, the newest one counts, so there is no moment without one.
+    """
     path = f"{root}/{build}"
     rows.write.mode("overwrite").parquet(path)
     spark = rows.sparkSession
-    spark.createDataFrame([(build,)], "build string").coalesce(1).write.mode("overwrite").json(f"{root}/_pointer")
+    spark.createDataFrame([(build, time.time_ns())], "build string, at long").coalesce(1).write.mode("append").json(f"{root}/_pointer")
     return path
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{spark.read.json(f'{root}/_pointer').first()['build']}")
+    newest = spark.read.schema("build string, at long").json(f"{root}/_pointer").orderBy(F.desc("at")).first()
+    return spark.read.parquet(f"{root}/{newest['build']}")
+
+
+def backup(rows: DataFrame, path: str) -> DataFrame:
+    """A whole copy at a place where there is none yet, read back."""
+    rows.write.mode("error").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def log_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of all log files of a folder, rotated ones too, the oldest first."""
+    schema = "seq long, time string, level string, target string, module string, message string"
+    return spark.read.schema(schema).json(f"{folder}/*.jsonl*").orderBy("seq")
 
 
 def not_empty(rows: DataFrame, what: str) -> DataFrame:

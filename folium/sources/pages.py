@@ -17,33 +17,62 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 
-NODE = "id int, parent int, last int, depth int, kind string, name string, value string, attrs map<string,string>, nth int, nth_last int, nth_of_type int, n_children int"
+#: Elements that stand in the head; any other opens the body where the page leaves it out.
+HEAD = frozenset("title meta link style script base noscript template".split())
+
+NODE = "id int, parent int, last int, depth int, kind string, name string, value string, attrs map<string,string>, begin int, end int, nth int, nth_last int, nth_of_type int, n_children int"
 
 
 class _Nodes(HTMLParser):
-    """Collects node rows; unclosed and misnested elements close as their parents do."""
+    """Collects node rows; unclosed and misnested elements close as their parents do, and html, head and body are there
+    where the page leaves them out. ``begin`` and ``end`` are a node's places in the page's text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.seen: set[str] = set()
+        self.chars = 0
+
+    def imply(self, tag: str | None) -> None:
+        """Open what must stand around an element, or around text for None."""
+        if tag != "html" and "html" not in self.seen:
+            self.start("html", [])
+        if tag in HEAD and not self.seen & {"head", "body"}:
+            self.start("head", [])
+        elif tag not in HEAD and tag not in ("html", "head", "body") and "body" not in self.seen:
+            if tag is None and self.open and self.rows[self.open[-1] - 1]["name"] in HEAD:
+                return
+            while self.open and self.rows[self.open[-1] - 1]["name"] != "html":
+                self.shut(len(self.open) - 1)
+            self.start("body", [])
+
+    def start(self, tag: str, attrs: list) -> int:
+        self.seen.add(tag)
+        number = self.add("element", tag, None, attrs)
+        if tag not in VOID:
+            self.open.append(number)
+        return number
 
     def add(self, kind: str, name: str | None, value: str | None, attrs: list[tuple[str, str | None]]) -> int:
         number = len(self.rows) + 1
-        self.rows.append({"id": number, "parent": self.open[-1] if self.open else 0, "last": number, "depth": len(self.open) + 1, "kind": kind, "name": name, "value": value, "attrs": {k: v or "" for k, v in reversed(attrs)}})
+        self.rows.append({"id": number, "parent": self.open[-1] if self.open else 0, "last": number, "depth": len(self.open) + 1, "kind": kind, "name": name, "value": value, "attrs": {k: v or "" for k, v in reversed(attrs)}, "begin": self.chars, "end": self.chars})
         return number
 
     def shut(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.rows[self.open.pop() - 1]["last"] = len(self.rows)
+            self.rows[self.open.pop() - 1] |= {"last": len(self.rows), "end": self.chars}
 
     def handle_starttag(self, tag, attrs):
         ends = CLOSES.get(tag, ())
         if self.open and self.rows[self.open[-1] - 1]["name"] in ends:
             self.shut(len(self.open) - 1)
-        number = self.add("element", tag, None, attrs)
-        if tag not in VOID:
-            self.open.append(number)
+        if tag == "body" and "body" not in self.seen:
+            while self.open and self.rows[self.open[-1] - 1]["name"] != "html":
+                self.shut(len(self.open) - 1)
+        self.imply(tag)
+        if tag not in self.seen or tag not in ("html", "head", "body"):
+            self.start(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -55,7 +84,12 @@ class _Nodes(HTMLParser):
                 break
 
     def handle_data(self, data):
-        self.add("text", None, data, [])
+        if data.strip() or self.open:
+            if data.strip():
+                self.imply(None)
+            self.add("text", None, data, [])
+            self.chars += len(data)
+            self.rows[-1]["end"] = self.chars
 
 
 def page_rows(html: str | None) -> list[dict]:
@@ -81,7 +115,7 @@ def page_rows(html: str | None) -> list[dict]:
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``key`` and the NODE columns, one row per node of each page."""
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("value", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("nth", pa.int32()), ("nth_last", pa.int32()), ("nth_of_type", pa.int32()), ("n_children", pa.int32())]))
+    kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("value", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("begin", pa.int32()), ("end", pa.int32()), ("nth", pa.int32()), ("nth_last", pa.int32()), ("nth_of_type", pa.int32()), ("n_children", pa.int32())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,12 +179,15 @@ def path(all_nodes: DataFrame, *steps: tuple[str, Column], key: str = "page_id")
 
 
 def strings(all_nodes: DataFrame, found: DataFrame, key: str = "page_id") -> DataFrame:
-    """``key, id, text``: each found node's text, its text nodes in order, trimmed."""
-    t = all_nodes.where("kind = 'text'").select(F.col(key).alias("_k"), F.col("id").alias("_t"), F.col("value").alias("_v"))
-    f = found.select(key, "id", "last")
-    j = f.join(t, (F.col(key) == F.col("_k")) & (F.col("_t") >= F.col("id")) & (F.col("_t") <= F.col("last")), "left")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("_t", F.col("_v").alias("v")))), lambda x: x["v"])  # one node's own text
-    return j.groupBy(key, "id").agg(F.regexp_replace(F.array_join(parts, ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("text"))
+    """``key, id, text``: each found node's text, its text nodes in order, trimmed.
+
+    A page's text is put together once, and each node cuts its own part out of it.
+    """
+    pieces = all_nodes.where("kind = 'text'").groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("id", F.col("value").alias("v")))).alias("_p"))  # one page's
+    page = pieces.select("_k", F.array_join(F.transform("_p", lambda x: x["v"]), "").alias("_text"))
+    own = F.substr(F.coalesce("_text", F.lit("")), F.col("begin") + 1, F.col("end") - F.col("begin"))
+    j = found.join(page, F.col(key) == F.col("_k"), "left")
+    return j.select(key, "id", F.regexp_replace(own, r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("text"))
 
 
 def links(all_nodes: DataFrame, found: DataFrame, key: str = "page_id") -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,14 +16,18 @@ GAP_MS = 250
 
 def shared(spark: SparkSession) -> str:
     """A fresh folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folium-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="folium-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
     """The events as a stream, with a timestamp that carries a watermark."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    d = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    d = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder of files
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -50,23 +54,48 @@ def resumed(stream: DataFrame, last: int, key: str = "event_id", delay: str = "1
     return stream.where(F.col(key) > last).withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def throttled(stream: DataFrame, key: str = "user_id", gap_ms: int = GAP_MS) -> DataFrame:
-    """Per key, events at least ``gap_ms`` after the last one let through, by event time."""
+def throttled(stream: DataFrame, key: str = "user_id", gap_ms: int = GAP_MS, last: Column | None = None, delay: str = "1 hour") -> DataFrame:
+    """Per key, events at least ``gap_ms`` after the last one let through, by event time; those marked ``last`` always go.
+
+    A key's state goes once the watermark is a gap past it: whatever comes later may go anyway. Events over ``delay``
+    late are dropped. One key's events of one micro-batch, which maxFilesPerTrigger bounds, are folded together.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at_last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         keep = []
-        for at in rows["at"]:
-            ok = last is None or at - last >= gap_ms
+        for at, final in zip(rows["at"], rows["final"], strict=True):
+            ok = bool(final) or at_last is None or at - at_last >= gap_ms
             keep.append(ok)
-            last = at if ok else last
-        if last is not None:
-            state.update((int(last),))
+            at_last = at if ok else at_last
+        state.update((int(at_last),))
+        state.setTimeoutTimestamp(max(int(at_last) + gap_ms, state.getCurrentWatermarkMs() + 1))
         yield rows[keep][["event_id", "key", "at"]]
 
-    d = stream.select("event_id", F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"))
-    return d.groupBy("key").applyInPandasWithState(step, "event_id long, key long, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+    final = F.lit(False) if last is None else F.coalesce(last, F.lit(False))
+    d = stream.withWatermark("ts", delay).select("ts", "event_id", F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"), final.alias("final"))
+    return d.groupBy("key").applyInPandasWithState(step, "event_id long, key long, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def failures(stream: DataFrame, failed: Column, key: str = "user_id", least: int = 3, hours: int = 24) -> DataFrame:
+    """Each check with its key's failures in a row so far, and until when a failing key rests (null if it is not failing)."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        rows, row = pd.concat(list(batches)).sort_values(["at", "event_id"]), []
+        for bad in rows["failed"]:
+            n = n + 1 if bad else 0
+            row.append(n)
+        state.update((n,))
+        rest = (rows["at"] + hours * 3_600_000).where([x >= least for x in row]).astype("Int64")
+        yield rows.assign(failures=row, rests_until=rest)[["event_id", "key", "failures", "rests_until"]]
+
+    d = stream.select("event_id", F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"), failed.alias("failed"))
+    return d.groupBy("key").applyInPandasWithState(step, "event_id long, key long, failures long, rests_until long", "failures long", "append", GroupStateTimeout.NoTimeout)
 
 
 def pauses(stream: DataFrame, default_ms: int = 600_000) -> DataFrame:

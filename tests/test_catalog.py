@@ -52,8 +52,8 @@ def test_facets(rows):
 
 def test_index_agrees_with_the_predicate(spark, rows, tmp_path):
     catalog.token_index(rows, str(tmp_path / "index"))
-    for q in ("one piece", "naru", "pi", "zzz", "ワン"):
-        got = {r.link for r in catalog.search_index(spark, str(tmp_path / "index"), q).collect()}
+    for q in ("one piece", "naru", "pi", "zzz", "ワン", "one-pi", "piece-one", ""):
+        got = {r.link for r in catalog.search_index(spark, str(tmp_path / "index"), q, rows).collect()}
         assert got == {r.link for r in catalog.where(rows, query=q).collect()}
 
 
