@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -15,8 +16,9 @@ from folium.llm import tokens
 from folium.llm.common import cut
 
 CAPACITY = 4096
-#: Pieces packed together by one task; their number of tasks grows with the input.
-SHARD = 10_000
+#: Pieces packed together by one task, or more of them where they would fill fewer than so many sequences: a task leaves
+#: its last ones part full. The number of tasks grows with the input.
+SHARD, SEQUENCES = 10_000, 400
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -91,13 +93,19 @@ def best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weight
 def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int = CAPACITY, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4), rule: str = "norm", shard: int = SHARD) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt evenly to tasks of about ``shard`` pieces, whatever their ids, so that no source or group of
-    copies gathers in one task; each task packs its own by best fit, longest first. The dealing number is stored
-    with the pieces, so a task that runs again packs the same ones.
+    Pieces are dealt evenly to tasks of about ``shard`` pieces and ``SEQUENCES`` full sequences at least, whatever their
+    ids, so that no source or group of copies gathers in one task; each task packs its own by best fit, longest first.
+    The dealing number is stored with the pieces, so a task that runs again packs the same ones.
+
+    With the default ``max_docs`` and ``max_cost`` only tokens can run out, as fewest sequences ask for: a piece has a
+    token, and squares of lengths never sum to more than the square of the sum. Lower values bind.
     """
-    held = cut(parts.withColumn("_n", F.monotonically_increasing_id()))
-    count = held.count()
     caps = (float(capacity), float(max_docs), float(max_cost or capacity * capacity))
+    held = cut(parts.withColumn("_n", F.monotonically_increasing_id()))
+    length = F.col("length").cast("double")
+    count, *needs = held.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0.0)) for x in (length, F.lit(1.0), length * length)]).first()
+    sequences = max(need / cap for need, cap in zip(needs, caps, strict=True))
+    tasks = max(1, min(-(-count // shard), math.ceil(sequences / SEQUENCES)))
     schema = PIECE + ", sequence_id long, offset long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +118,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int = CAPACITY, m
         t = t.drop_columns(["_n"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
         yield from t.to_batches()
 
-    return held.repartition(max(1, -(-count // shard)), F.xxhash64("_n")).mapInArrow(task, schema)
+    return held.repartition(tasks, F.xxhash64("_n")).mapInArrow(task, schema)
 
 
 def packed(docs: DataFrame, **options) -> DataFrame:
     """Documents packed into sequences: one row per piece.
 
     Null text counts as empty and gives the end id alone. Every row of ``docs`` is a document of its own, repeated
-    ids and rows included; other columns are ignored. An empty table gives no rows.
+    ids and rows included; other columns are ignored. A text of any length is cut into pieces and nothing of it lost.
+    Pieces that fit equally well go to the oldest sequence. An empty table gives no rows.
     """
     return pack(pieces(docs, capacity=options.get("capacity", CAPACITY)), **options)

@@ -92,6 +92,14 @@ def test_packing(spark, library, rule):
     assert packing.packed(docs(spark).limit(0)).collect() == []
 
 
+def test_short_pieces_fill_their_sequences(spark):
+    parts = spark.range(30_000, numPartitions=4).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "10L AS length", "7L AS ids_crc32")
+    rows = packing.pack(parts, shard=1_000).collect()
+    assert len(rows) == 30_000 and len({r.sequence_id for r in rows}) <= -(-30_000 // 409)
+    three = packing.pack(parts.limit(3_000), max_docs=3, shard=1_000).groupBy("sequence_id").count().collect()
+    assert {r["count"] for r in three} <= {1, 2, 3} and len(three) <= 1_003
+
+
 def test_best_fit_keeps_every_capacity():
     lengths = np.array(sorted(np.random.default_rng(0).integers(1, 3000, 3000), reverse=True))
     for caps in ((4096.0, 4096.0, 4096.0**2), (4096.0, 3.0, 1e7), (4096.0, 4096.0, 9.1e6)):
