@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import codecs, text
 from folium.operators import compare, library, ordered, queue
-from folium.schemas import table
+from folium.schemas import spread, table
 from folium.sources import io, pages
 from folium.streaming import events as streams
 
@@ -184,23 +184,23 @@ def seq_functions(spark, sf):
 
 
 def page_titles(spark, sf):
-    n = pages.nodes(table(spark, sf, "pages"))
+    n = pages.nodes(spread(table(spark, sf, "pages")))
     return pages.strings(n, pages.path(n, ("descendant", F.col("name") == "title"))).select("page_id", "text")
 
 
 def page_links(spark, sf):
-    n = pages.nodes(table(spark, sf, "pages"))
+    n = pages.nodes(spread(table(spark, sf, "pages")))
     return pages.links(n, pages.path(n, ("descendant", (F.col("name") == "a") & pages.attr("href").isNotNull()))).select("page_id", "href", "text")
 
 
 def page_paragraphs(spark, sf):
     """Texts of second and later paragraphs among their siblings."""
-    n = pages.nodes(table(spark, sf, "pages"))
+    n = pages.nodes(spread(table(spark, sf, "pages")))
     return pages.strings(n, pages.path(n, ("descendant", F.col("kind") == "element"), ("child", (F.col("name") == "p") & (F.col("nth_of_type") >= 2))))
 
 
 def page_tags(spark, sf):
-    n = pages.nodes(table(spark, sf, "pages"))
+    n = pages.nodes(spread(table(spark, sf, "pages")))
     return n.where("kind = 'element'").groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
 
 

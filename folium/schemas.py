@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as there are cores where the source gives fewer: a file of one row group is one task.
+    Larger sources have more tasks than cores and are read as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog rows: one per part."""
     return table(spark, sf_dir, "part").select(
