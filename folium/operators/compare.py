@@ -31,10 +31,10 @@ def evict(files: DataFrame, cap: int) -> DataFrame:
     days = d.groupBy("_day").agg(F.sum("size").alias("_sum"))
     newer = F.sum("_sum").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1))  # a row per day
     d = d.join(days.select("_day", F.coalesce(newer, F.lit(0)).alias("_before"), "_sum"), "_day").where(F.col("_before") + F.col("_sum") > cap)
-    whole = d.where(F.col("_before") >= cap)
+    whole = d.where(F.col("_before") > cap)
     upto = F.col("_before") + F.sum("size").over(Window.partitionBy("_day").orderBy(F.desc("used_at"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0))
-    part = d.where(F.col("_before") < cap).withColumn("_upto", upto).where(F.col("_upto") > cap)
-    return whole.where("size > 0").select("path", "size", "used_at").unionByName(part.select("path", "size", "used_at"))
+    part = d.where(F.col("_before") <= cap).withColumn("_upto", upto).where(F.col("_upto") > cap)
+    return whole.select("path", "size", "used_at").unionByName(part.select("path", "size", "used_at"))
 
 
 def prioritised_union(parts: list[DataFrame], excluded: DataFrame) -> DataFrame:

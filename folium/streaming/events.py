@@ -50,7 +50,8 @@ def merged(streams: dict[str, DataFrame]) -> DataFrame:
 
 
 def resumed(stream: DataFrame, last: int, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """Events after ``last``, each id once however often it is replayed."""
+    """Events after ``last``, each id once however often it is replayed within ``delay``; what comes later than that is
+    dropped, new or not, as for any watermark."""
     return stream.where(F.col(key) > last).withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
