@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import LETTER_RUN, LETTERS, held_out
+from folium.llm.common import LETTER_RUN, LETTERS, held_out, slices
 
 UNKNOWN = "und"
 #: Labelled documents per language that the model is fitted on: about so many are drawn by a hash of their ids.
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_scorer(name, holder)
         langs = holder.value["langs"]
-        for batch in batches:
+        for batch in slices(batches):
             pairs = [predict_text(scorer, langs, t.as_py()) for t in batch.column(2)]
             pred, score = zip(*pairs, strict=True) if pairs else ((), ())
             told = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]

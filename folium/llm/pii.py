@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folium.llm.common import LETTER_RUN, bloom, cut
+from folium.llm.common import LETTER_RUN, bloom, cut, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What is added to the counts of a pair's ends: rare pairs, which may be chance, leave more bits, and none is left out.
@@ -228,17 +228,17 @@ def _with_terms(docs: DataFrame, at: int, hits: DataFrame, apply: Callable[[pa.R
     holder = sc.broadcast(bloom(found.select("text_key")))
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = [i for i, key in enumerate(batch.column(n).to_pylist()) if key not in holder.value]
             part = batch.take(pa.array(keep, pa.int64()))
             yield apply(part.select(list(range(n))), [{}] * len(keep))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.take(pa.array([i for i, key in enumerate(batch.column(n).to_pylist()) if key in holder.value], pa.int64()))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield apply(batch.select(list(range(n))), [dict(x.as_py() or ()) for x in batch.column(n)])
 
     touched = rows.mapInArrow(others, rows.schema).join(found, "text_key", "left").select(*rows.columns[:n], "terms")
