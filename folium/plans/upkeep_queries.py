@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folium.functions import clean
+from folium.functions import clean, names
 from folium.operators import catalog, library, ordered, queue, resolve
 from folium.schemas import MATCHES_SQL, listing, matches, table
 from folium.streaming import events as streams
@@ -71,6 +71,15 @@ def entity_cleanup(spark, sf):
     return table(spark, sf, "part").select("p_partkey", clean.common_filter(raw).alias("clean"), clean.get_between(F.concat(F.lit("a("), "p_name", F.lit("(x)y)b")), "(", ")").alias("inner"), clean.separate_left(F.col("p_type"), "O").alias("lhs"), clean.separate_right(F.col("p_type"), "O").alias("rhs"), clean.trim_of(F.col("p_brand"), "Bd#1").alias("bare"))
 
 
+def renamed_files(spark, sf):
+    c = F.col("p_partkey")
+    author = F.when(c % 3 != 0, F.col("p_brand"))
+    chapter = F.concat(F.lit("Vol."), (c % 9).cast("string"), F.lit(" Ch."), (c % 50).cast("string"))
+    name = names.custom_rename("%MANGA% [%AUTHOR%] %CHAPTER%", pad=(2, 3), manga=F.concat("p_name", F.lit("/x")), author=author, chapter=chapter)
+    page = names.page_name("p_%FILENAME%", F.when(c % 2 == 0, F.col("p_type")), c)
+    return table(spark, sf, "part").select("p_partkey", name.alias("name"), page.alias("page"), names.fitted(F.col("p_name"), 6).alias("short"))
+
+
 def all_words_filter(spark, sf):
     return table(spark, sf, "part").where(clean.all_words(F.concat_ws(" ", "p_name", "p_type", "p_brand"), "Brand PROMO 1")).select("p_partkey")
 
@@ -157,6 +166,7 @@ for _f, _sql in (
     (link_form_sets, "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/t/' || p_partkey || ' https://' || lower(p_brand) || '/t/' || p_partkey ELSE 'https://' || lower(p_brand) || '/t/' || p_partkey || ' /t/' || p_partkey END forms FROM part"),
     (value_maps, "SELECT p_partkey, ['manga', 'manhwa', 'other', 'oel'][p_size % 4 + 1] AS format, ['ongoing', 'completed', NULL][p_size % 3 + 1] AS publication, ['completed', 'ongoing', 'hiatus', 'cancelled', 'unknown'][p_size % 5 + 1] AS status, ['1', '0', '2'][p_size % 3 + 1] AS code FROM part"),
     (entity_cleanup, "SELECT p_partkey, 'Été & ' || p_name || ' ... €2' AS clean, p_name || '(x)y' AS inner, CASE WHEN contains(p_type, 'O') THEN split_part(p_type, 'O', 1) ELSE p_type END lhs, CASE WHEN contains(p_type, 'O') THEN substr(p_type, instr(p_type, 'O') + 1) ELSE p_type END rhs, trim(p_brand, 'Bd#1') bare FROM part"),
+    (renamed_files, "SELECT p_partkey, p_name || '_x ' || CASE WHEN p_partkey % 3 <> 0 THEN '[' || p_brand || ']' ELSE '' END || ' Vol.0' || p_partkey % 9 || ' Ch.0' || lpad((p_partkey % 50)::VARCHAR, 2, '0') AS name, 'p_' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE lpad((p_partkey + 1)::VARCHAR, greatest(3, length((p_partkey + 1)::VARCHAR))::INT, '0') END AS page, right(p_name, 6) AS short FROM part"),
     (all_words_filter, "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'promo') AND contains(p_name || ' ' || p_type || ' ' || p_brand, '1') AND contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'brand')"),
     (chapter_labels, "SELECT l_orderkey, a[least(3, len(a))] || CASE WHEN len(a) > 1 THEN ' (' || least(3, len(a)) || '/' || len(a) || ')' ELSE '' END AS label FROM (SELECT l_orderkey, list_sort(list('C' || lpad(l_linenumber::VARCHAR, 3, '0') || '-' || l_partkey)) a FROM lineitem GROUP BY 1)"),
     (distinct_chapter_counts, "SELECT o_custkey, count(DISTINCT lower(o_orderpriority)) n_chapters FROM orders GROUP BY 1"),

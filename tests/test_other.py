@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from folium.functions import clean, codecs, text
+from folium.functions import clean, codecs, names, text
 from folium.operators import compare, library, ordered, queue
 from folium.sources import io, pages
 from folium.streaming import events
@@ -65,6 +65,19 @@ def test_clean_up(spark):
     assert v.f == " tieng viet"
 
 
+def test_names():
+    put = names.put
+    assert put(" (%AUTHOR%) x", "author", "") == " x"
+    assert put("[%ARTIST%]%MANGA%", "artist", "A") == "[A]%MANGA%" and put("%MANGA%", "artist", "A") == "%MANGA%" and put("a (%AUTHOR% b", "author", "") == "a  b"
+    for text_, want in (("Vol. 2 Ch. 7", "Vol. 02 Ch. 007"), ("Chapter 12.5", "Chapter 012.5"), ("xvol 3", "xvol 03"), ("a vol", "a vol"), ("revol 3", "revol 003"), ("Vol.1", "Vol.01"), ("Volume Not Available 4", "Volume Not Available 004")):
+        assert names.padded(text_, 2, 3) == want, text_
+    assert names.bare("a/b\x00 &amp; é", other="?") == "a_b_ & ?" and names.bare('a:b*"', delete='\\/:*?"<>|\t;') == "ab"
+    v = dict.fromkeys(names.TOKENS, "")
+    fix = names.bare
+    assert names.renamed("%AUTHOR%", v | {"manga": "M/1"}, fix) == "M_1" and names.renamed("/%MANGA%...", v | {"manga": "M"}, fix) == "M"
+    assert names.renamed("[%AUTHOR%]", v | {"chapter": "c", "numbering": "0007"}, fix) == "0007"
+
+
 def test_queue_upkeep(spark, tmp_path):
     t = spark.createDataFrame([("2024-01-01 00:00:00", 90), ("2024-01-01 00:00:00", None)], "n string, m int").select(queue.open_until(F.col("n").cast("timestamp"), F.col("m")).cast("string").alias("u"))
     assert [r.u for r in t.collect()] == ["2024-01-01 01:30:00", None]
