@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.llm.common import LETTER_RUN, LETTERS, held_out, slices
+from folium.llm.common import LETTERS, held_out, letter_runs, slices
 
 UNKNOWN = "und"
 #: Labelled documents per language that the model is fitted on: about so many are drawn by a hash of their ids.
@@ -132,7 +132,7 @@ class Scorer(dict):
 
 def predict_text(scorer: Scorer, langs: list[str], text: str | None) -> tuple[str, float]:
     """The language and its share of the languages' mean likelihoods; ``und`` and 0 where there is no letter."""
-    words = LETTER_RUN.findall(text.lower()) if text else []
+    words = letter_runs(text.lower()) if text else []
     if not words or not langs:
         return UNKNOWN, 0.0
     total = scorer.total(words)

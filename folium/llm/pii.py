@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folium.llm.common import LETTER_RUN, bloom, cut, slices
+from folium.llm.common import LETTER_RUN, Bloom, bloom, cut, letter_runs, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What is added to the counts of a pair's ends: rare pairs, which may be chance, leave more bits, and none is left out.
@@ -29,8 +29,8 @@ SMOOTH = 0.25
 #: Most bits that a term may leave, and the least share of an entity's information that it must take. 0.7 bits are left
 #: where the entity is in three of five texts with the term, and by a term that was seen just once, 0.64.
 GENERALISE, REMOVE, GAIN = 0.7, 0.3, 0.8
-#: Different terms that a task counts before it hands them on, and the letters of a general term at most.
-COUNTED, LONGEST = 200_000, 12
+#: Different terms that a task counts before it hands them on, words it remembers, and the letters of a general term at most.
+COUNTED, MEMO, LONGEST = 200_000, 300_000, 12
 
 _LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,7 +93,28 @@ def text_key(text: Column) -> Column:
 
 def words_of(text: str) -> list[str]:
     """The different words of a text, lower-cased, of any length and wherever they stand."""
-    return list({w.lower() for w in set(LETTER_RUN.findall(text))})
+    return list({w.lower() for w in set(letter_runs(text))})
+
+
+class _Wanted(dict):
+    """Words as they stand to their lower case where a filter has it, else None; short ones are remembered."""
+
+    def __init__(self, wanted: Bloom) -> None:
+        super().__init__()
+        self.wanted = wanted
+
+    def __missing__(self, word: str) -> str | None:
+        low = word.lower()
+        out = low if low in self.wanted else None
+        if len(word) <= 64:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
+        return out
+
+    def words_of(self, text: str) -> list[str]:
+        """The words of :func:`words_of` that the filter has."""
+        return list({w for w in map(self.__getitem__, set(letter_runs(text))) if w is not None})
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -124,7 +145,7 @@ def _terms(words: DataFrame, holder, repeated) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, twice = holder.value, repeated.value if repeated else None
+        wanted, twice = _Wanted(holder.value), repeated.value if repeated else None
         counts: dict[str, int] = {}
         seen: set[bytes] = set()  # texts of this task that gave a row
 
@@ -144,7 +165,7 @@ def _terms(words: DataFrame, holder, repeated) -> DataFrame:
                 own = twice is None or key in twice
                 if own and key in seen:
                     continue
-                found = [w for w in words_of(text.as_py() or "") if w in wanted]
+                found = wanted.words_of(text.as_py() or "")
                 if own and found:
                     seen.add(key)
                     keys.append(key)

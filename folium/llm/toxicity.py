@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import LETTER_RUN, LETTERS, cut, held_out
+from folium.llm.common import LETTERS, cut, held_out, letter_runs
 
 #: Labelled documents that the model is fitted on, at most about so many of each label, drawn by a hash of their ids.
 SAMPLE = {1: 3_000, 0: 6_000}
@@ -71,7 +71,7 @@ def bags(labelled: DataFrame, index: dict[str, int]) -> DataFrame:
         for batch in batches:
             sizes, flat = [], []
             for text in batch.column(1):
-                found = ([index[f] for w in LETTER_RUN.findall(s) for f in word_features(w) if f in index] for s in _SENTENCE.findall((text.as_py() or "").lower()))
+                found = ([index[f] for w in letter_runs(s) for f in word_features(w) if f in index] for s in _SENTENCE.findall((text.as_py() or "").lower()))
                 kept = [x for x in found if x]
                 sizes.append(np.array([len(x) for x in kept], dtype="<i4").tobytes())
                 flat.append(np.array([f for x in kept for f in x], dtype="<i4").tobytes())
@@ -150,7 +150,7 @@ class Scorer(dict):
         """Start, end and probability of each sentence with any feature."""
         out = []
         for s in _SENTENCE.finditer(text):
-            parts = [x for x in map(self.__getitem__, LETTER_RUN.findall(s.group().lower())) if x is not None]
+            parts = [x for x in map(self.__getitem__, letter_runs(s.group().lower())) if x is not None]
             if parts:
                 z = max(-30.0, min(30.0, self.bias + sum(parts)))
                 out.append((s.start(), s.end(), 1 / (1 + math.exp(-z))))
