@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from folium.functions.text import ascii_lower, fts_phrases, fts_text, split_csv
 
 UNKNOWN = "unknown"
+#: Rows of a page at most.
+MOST_ROWS = 200
 #: How a match was made, of those that count as accepted.
 ACCEPTED = ("link", "cross-id", "title+author", "title-unique", "manual")
 
@@ -21,8 +23,9 @@ def text_match(query: str, *columns: str) -> Column | None:
     return reduce(lambda a, b: a & b, terms) if terms else None
 
 
-def contains_ci(column: str, part: str) -> Column:
-    return F.contains(ascii_lower(F.col(column)), ascii_lower(F.lit(part)))
+def contains_ci(column: str, part: str, *more: str) -> Column:
+    """Whether the part is in any of the columns, ASCII case ignored."""
+    return reduce(lambda a, b: a | b, [F.contains(ascii_lower(F.coalesce(c, F.lit(""))), ascii_lower(F.lit(part))) for c in (column, *more)])
 
 
 def known(column: str) -> Column:
@@ -50,6 +53,12 @@ def matched(listing: DataFrame, matches: DataFrame) -> DataFrame:
     return listing.join(accepted(matches), ["module_id", "link"], "left")
 
 
+def numbered_page(rows: DataFrame, number: int, size: int, *columns: str) -> DataFrame:
+    """Page ``number``, from 1, of ``size`` rows, 1 to MOST_ROWS, each with the ``total`` of all pages' rows."""
+    size = min(max(size, 1), MOST_ROWS)
+    return page(rows, (max(number, 1) - 1) * size, size, *columns).withColumn("total", F.lit(rows.count()).cast("long"))
+
+
 def page(rows: DataFrame, offset: int, limit: int, *columns: str) -> DataFrame:
     """A page in stable order: title without ASCII case, module, link."""
     return rows.orderBy(ascii_lower(F.col("title")), "module_id", "link").offset(max(0, offset)).limit(max(1, limit)).select(*columns)

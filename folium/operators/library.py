@@ -44,6 +44,18 @@ def tag_facets(rows: DataFrame, tags: str, order: str) -> DataFrame:
     return t.groupBy(F.lower("tag").alias("folded")).agg(F.min_by("tag", F.struct(order, "_p")).alias("tag"), F.countDistinct(order).alias("n")).select("tag", "n")
 
 
+def format_facets(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Rows per format with its place in the given order; formats that it lacks are last."""
+    place = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("format"))
+    n = rows.groupBy(F.coalesce("format", F.lit("unknown")).alias("format")).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.when(place > 0, place).otherwise(len(order) + 1).cast("int")).orderBy("place", "format")
+
+
+def site_counts(rows: DataFrame, site: str, name: str) -> DataFrame:
+    """Rows per site under its first name, by name."""
+    return rows.groupBy(site).agg(F.min(name).alias(name), F.count("*").alias("n")).orderBy(name, site)
+
+
 def majority_format(files: DataFrame, key: str) -> DataFrame:
     """The commonest file kind, ties by FORMATS."""
     rank = F.array_position(F.array(*[F.lit(f) for f in FORMATS]), F.col("format"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import clean, names
 from folium.operators import catalog, library, ordered, queue, resolve
-from folium.schemas import MATCHES_SQL, listing, matches, table
+from folium.schemas import LISTING_SQL, MATCHES_SQL, listing, matches, table
 from folium.streaming import events as streams
 
 
@@ -80,6 +80,22 @@ def renamed_files(spark, sf):
     return table(spark, sf, "part").select("p_partkey", name.alias("name"), page.alias("page"), names.fitted(F.col("p_name"), 6).alias("short"))
 
 
+def search_page_total(spark, sf):
+    """The second page of a search with the total of its rows; a size over the most is cut down to it."""
+    rows = listing(spark, sf).where(catalog.contains_ci("title", "ST", "alttitles"))
+    return catalog.numbered_page(rows, 2, 1_000, "module_id", "link", "title")
+
+
+def format_counts(spark, sf):
+    rows = catalog.matched(listing(spark, sf), matches(spark, sf)).select(F.when(F.col("series_id").isNotNull(), F.col("format")).alias("format"))
+    return library.format_facets(rows, ("3", "1", "0", "unknown"))
+
+
+def site_counts(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("module_id"), F.concat(F.lit("site "), (F.lit(99) - F.col("c_nationkey")).cast("string")).alias("website"))
+    return library.site_counts(rows, "module_id", "website")
+
+
 def all_words_filter(spark, sf):
     return table(spark, sf, "part").where(clean.all_words(F.concat_ws(" ", "p_name", "p_type", "p_brand"), "Brand PROMO 1")).select("p_partkey")
 
@@ -167,6 +183,9 @@ for _f, _sql in (
     (value_maps, "SELECT p_partkey, ['manga', 'manhwa', 'other', 'oel'][p_size % 4 + 1] AS format, ['ongoing', 'completed', NULL][p_size % 3 + 1] AS publication, ['completed', 'ongoing', 'hiatus', 'cancelled', 'unknown'][p_size % 5 + 1] AS status, ['1', '0', '2'][p_size % 3 + 1] AS code FROM part"),
     (entity_cleanup, "SELECT p_partkey, 'Été & ' || p_name || ' ... €2' AS clean, p_name || '(x)y' AS inner, CASE WHEN contains(p_type, 'O') THEN split_part(p_type, 'O', 1) ELSE p_type END lhs, CASE WHEN contains(p_type, 'O') THEN substr(p_type, instr(p_type, 'O') + 1) ELSE p_type END rhs, trim(p_brand, 'Bd#1') bare FROM part"),
     (renamed_files, "SELECT p_partkey, p_name || '_x ' || CASE WHEN p_partkey % 3 <> 0 THEN '[' || p_brand || ']' ELSE '' END || ' Vol.0' || p_partkey % 9 || ' Ch.0' || lpad((p_partkey % 50)::VARCHAR, 2, '0') AS name, 'p_' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE lpad((p_partkey + 1)::VARCHAR, greatest(3, length((p_partkey + 1)::VARCHAR))::INT, '0') END AS page, right(p_name, 6) AS short FROM part"),
+    (search_page_total, "WITH r AS (SELECT * FROM part WHERE contains(lower(p_name), 'st') OR contains(lower(p_type), 'st')) SELECT p_brand module_id, p_partkey link, p_name title, (SELECT count(*) FROM r) total FROM r ORDER BY lower(p_name), p_brand, p_partkey LIMIT 200 OFFSET 200"),
+    (format_counts, f"SELECT coalesce(CASE WHEN series_id IS NOT NULL THEN format END, 'unknown') AS format, count(*) n, (CASE any_value(coalesce(CASE WHEN series_id IS NOT NULL THEN format END, 'unknown')) WHEN '3' THEN 1 WHEN '1' THEN 2 WHEN '0' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END)::INT AS place FROM {LISTING_SQL} l LEFT JOIN {MATCHES_SQL} m USING (module_id, link) GROUP BY 1"),
+    (site_counts, "SELECT c_nationkey module_id, 'site ' || (99 - c_nationkey) website, count(*) n FROM customer GROUP BY 1"),
     (all_words_filter, "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'promo') AND contains(p_name || ' ' || p_type || ' ' || p_brand, '1') AND contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'brand')"),
     (chapter_labels, "SELECT l_orderkey, a[least(3, len(a))] || CASE WHEN len(a) > 1 THEN ' (' || least(3, len(a)) || '/' || len(a) || ')' ELSE '' END AS label FROM (SELECT l_orderkey, list_sort(list('C' || lpad(l_linenumber::VARCHAR, 3, '0') || '-' || l_partkey)) a FROM lineitem GROUP BY 1)"),
     (distinct_chapter_counts, "SELECT o_custkey, count(DISTINCT lower(o_orderpriority)) n_chapters FROM orders GROUP BY 1"),
