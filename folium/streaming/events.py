@@ -18,7 +18,7 @@ def shared(spark: SparkSession) -> str:
     """A fresh folder that all executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="folium-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
