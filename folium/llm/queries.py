@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity, vector_graph
+from folium.llm import decontamination, language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity, vector_graph
 from folium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -65,10 +69,12 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_vector_graph": op9_vector_graph,
     "op10_pii": op10_pii,
+    "op11_decontamination": op11_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op5_secret_scan": secrets.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
 }
