@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import decontamination, language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity, vector_graph
+from folium.llm import conversations, decontamination, language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity, vector_graph
 from folium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op9_vector_graph": op9_vector_graph,
     "op10_pii": op10_pii,
     "op11_decontamination": op11_decontamination,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op5_secret_scan": secrets.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op11_decontamination": decontamination.ORACLE,
+    "op12_conversation_repair": conversations.ORACLE,
 }
