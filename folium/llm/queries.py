@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import conversations, decontamination, language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity, vector_graph
+from folium.llm import conversations, decontamination, language, ngram_join, packing, pieces, pii, quality_rules, secrets, token_records, toxicity, vector_codes, vector_graph
 from folium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
     "op11_decontamination": op11_decontamination,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op8_ngram_join": ngram_join.ORACLE,
     "op11_decontamination": decontamination.ORACLE,
     "op12_conversation_repair": conversations.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
