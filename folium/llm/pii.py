@@ -5,18 +5,24 @@ the corpus says that who reads the term knows the entity. The entity's informati
 the texts; a term takes PMI(term, entity) bits of it away, and IC - PMI bits are left. Terms that leave ``GENERALISE``
 bits or less, and take at least ``GAIN`` of IC, are generalised, those that leave ``REMOVE`` or less removed, wherever
 they occur in any text. Bits left do not depend on the size of the corpus, so the rule is the same at every size.
+
+One text with both is evidence enough: who searches the corpus for a word of one text alone finds that text, and with it
+whom it is about, whether or not the word says anything of itself. What a term becomes is held to the same measure, as
+it will stand in the sanitised texts: a beginning shared with other terms is taken only if, in all the texts that it
+comes to stand in, it does not disclose an entity in turn.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import count, repeat
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,8 +35,14 @@ SMOOTH = 0.25
 #: Most bits that a term may leave, and the least share of an entity's information that it must take. 0.7 bits are left
 #: where the entity is in three of five texts with the term, and by a term that was seen just once, 0.64.
 GENERALISE, REMOVE, GAIN = 0.7, 0.3, 0.8
-#: Different terms that a task counts before it hands them on, words it remembers, and the letters of a general term at most.
-COUNTED, MEMO, LONGEST = 200_000, 300_000, 12
+#: Different terms that a task counts before it hands them on, and words it remembers.
+COUNTED, MEMO = 200_000, 300_000
+#: Lengths of beginnings that may stand for terms: each half as long again as the one before, for words of any length.
+STARTS = [2, 3]
+while STARTS[-1] < 1 << 30:
+    STARTS.append(STARTS[-1] * 3 // 2)
+#: What stands for a term that shares no beginning that would do.
+ANY = "[TERM]"
 
 _LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -141,13 +153,15 @@ def _terms(words: DataFrame, holder, repeated) -> DataFrame:
     """``text_key, terms, counts`` from ``text_key, text``: the words in the ``holder`` filter.
 
     Texts in the ``repeated`` filter give a row of their own, so that their copies can be dropped; with it None, all
-    do. Words of other texts are counted within the task and handed on in parts under a key of their own.
+    do. Words of other texts are counted within the task and handed on in parts under a key of their own, made of the
+    partition's number and a running one: a task that runs again gives the same parts under the same keys.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, twice = _Wanted(holder.value), repeated.value if repeated else None
         counts: dict[str, int] = {}
         seen: set[bytes] = set()  # texts of this task that gave a row
+        own_key = map("{}-{}".format, repeat(TaskContext.get().partitionId()), count())  # never as long as a text's key
 
         def part(keys: list, terms: list, n: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.list_(pa.string())), pa.array(n, pa.list_(pa.int64()))], names=["text_key", "terms", "counts"])
@@ -156,7 +170,7 @@ def _terms(words: DataFrame, holder, repeated) -> DataFrame:
             words = sorted(counts)
             for a in range(0, len(words), 2048):
                 own = words[a : a + 2048]
-                yield part([uuid.uuid4().bytes], [own], [[counts[w] for w in own]])
+                yield part([next(own_key).rjust(20).encode()], [own], [[counts[w] for w in own]])
             counts.clear()
 
         for batch in batches:
@@ -206,8 +220,8 @@ def disclosing(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     leave ``generalise`` bits with df_term + SMOOTH <= 2^generalise * df_entity: words that are more common are left out
     before pairs are made, which loses none. Entities of one text alone score alike, so one of them stands for all.
 
-    ``general`` is what a term becomes: the longest beginning of it that it shares with a word too common to disclose
-    the same entities, or the empty string for a removed term and ``[TERM]`` where there is no such beginning.
+    ``general`` is what a term becomes: the longest beginning, of a length in ``STARTS``, that does not disclose where it
+    will stand; ``[TERM]`` where there is none; the empty string for a removed term, and where ``[TERM]`` itself discloses.
     """
     scanned = cut(scan(docs))
     copies = cut(docs.groupBy(text_key(F.col("text")).alias("text_key")).agg(F.count("*").alias("n")))
@@ -226,13 +240,35 @@ def disclosing(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     bits = pairs.select("term", "df_entity", left(F.col("joint"), F.col("df_term"), F.col("df_entity")).alias("bits"))
     bits = bits.where((F.col("bits") <= generalise) & (F.col("bits") <= (1 - GAIN) * F.log2(F.lit(float(total)) / F.col("df_entity"))))
     best = cut(bits.groupBy("term").agg(F.min("bits").alias("bits"), F.max("df_entity").alias("df_entity")))
-    starts = lambda word: F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length(word) - 1)), lambda k: F.substring(word, F.lit(1), k)))
-    classes = cut(counts.where((F.length("term") > 2) & (F.col("df_term") > 2)).select("df_term", starts(F.col("term")).alias("start")).groupBy("start").agg(F.max("df_term").alias("df_class")))
-    own = best.where((F.col("bits") > remove) & (F.length("term") > 2)).select("term", "df_entity", starts(F.col("term")).alias("start"))
-    shared = own.join(classes, "start").where(F.col("df_class") + SMOOTH > factor * F.col("df_entity")).groupBy("term").agg(F.max_by("start", F.length("start")).alias("start"))
-    general = F.when(F.col("bits") <= remove, "").otherwise(F.coalesce(F.concat("start", F.lit("…")), F.lit("[TERM]")))
-    action = F.when(F.col("bits") <= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    return cut(best.join(shared, "term", "left").select("term", action.alias("action"), general.alias("general")))
+    kept = best.where(F.col("bits") > remove).select("term")
+    held = cut(scanned.select("text_key", F.explode("terms").alias("term")).join(kept, "term").select("text_key", "term"))
+    lengths = F.filter(F.array(*map(F.lit, STARTS)), lambda n: n < F.length("term"))
+    starts = held.select("text_key", "term", F.explode(F.transform(lengths, lambda n: F.substring("term", F.lit(1), n))).alias("form"))
+    safe = starts.select("text_key", "form").distinct().transform(_hidden, ends, total, generalise)
+    first = starts.select("term", "form").distinct().join(safe, "form").groupBy("term").agg(F.max_by("form", F.length("form")).alias("form"))
+    # terms that went to longer beginnings are missing from shorter ones, so that what is taken is measured once more
+    taken = held.join(first, "term")
+    first = first.join(taken.select("text_key", "form").distinct().transform(_hidden, ends, total, generalise), "form")
+    general = cut(kept.join(first, "term", "left").select("term", F.concat("form", F.lit("…")).alias("form")))
+    others = held.join(general.where("form IS NULL").select("term"), "term", "left_semi").select("text_key", F.lit(ANY).alias("form")).distinct()
+    any_form = F.lit("" if others.transform(_hidden, ends, total, generalise).isEmpty() else ANY)
+    out = best.select("term", "bits").join(general, "term", "left")
+    out = out.select("term", F.when(F.col("bits") <= remove, "").otherwise(F.coalesce("form", any_form)).alias("general"))
+    return cut(out.select("term", F.when(F.col("general") == "", "remove").otherwise("generalise").alias("action"), "general"))
+
+
+def _hidden(places: DataFrame, ends: DataFrame, total: int, generalise: float) -> DataFrame:
+    """The forms of ``places (text_key, form)``, the texts in which they will stand, that do not disclose an entity of theirs.
+
+    Texts without entities are not among the places; with them a form would disclose less. With e texts of an entity and
+    j of them with the form, a form in n texts leaves no more than some bits where log2(n + SMOOTH) is at most those bits
+    and log2(j e / (e + SMOOTH)); the entity for which that is most decides.
+    """
+    joint = places.join(ends, "text_key").groupBy("form", "entity").agg(F.count("*").alias("joint"), F.first("df_entity").alias("e"))
+    bits = F.least(F.lit(generalise), (1 - GAIN) * F.log2(F.lit(float(total)) / F.col("e")))
+    reach = joint.groupBy("form").agg(F.max(bits + F.log2(F.col("joint") * F.col("e") / (F.col("e") + SMOOTH))).alias("reach"))
+    texts = places.groupBy("form").agg(F.count("*").alias("n"))
+    return texts.join(reach, "form").where(F.log2(F.col("n") + SMOOTH) > F.col("reach") + 1e-9).select("form")
 
 
 def _with_terms(docs: DataFrame, at: int, hits: DataFrame, apply: Callable[[pa.RecordBatch, list[dict[str, str]]], pa.RecordBatch], schema: StructType | str) -> DataFrame:

@@ -89,7 +89,51 @@ def test_pairs_seen_once_are_scored(spark):
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "platypus" not in got[900] and "wombat" not in got[901]
     assert all(w in got[900].split() for w in ("the", "common", "kind")) and got[0] == rows[0][1]
-    assert got[899] == "plai… of plain words to [EMAIL]"  # the longest beginning of a common word
+    assert got[899] == "pla… of plain words to [EMAIL]"  # shared with a term of another text; a longer one would tell as much as the word
+
+
+def forms_disclose(rows, clean):
+    """The forms of sanitised texts that leave too few bits of an entity, by counting in the texts that are handed out."""
+    texts = {t or "": clean[i] or "" for i, t in rows}
+    ents = {t: {(k, t[a:b].lower()) for k, a, b in plain(t)} for t in texts}
+    forms = {t: set(re.findall(r"[^\W\d_]+…|\[TERM\]", c)) for t, c in texts.items()}
+    df_f, df_e, joint = Counter(f for x in forms.values() for f in x), Counter(e for x in ents.values() for e in x), Counter()
+    for t in texts:
+        joint.update((f, e) for f in forms[t] for e in ents[t])
+    bits = lambda f, e, j: math.log2((df_f[f] + pii.SMOOTH) * (df_e[e] + pii.SMOOTH) / (j * df_e[e]))
+    told = {f for (f, e), j in joint.items() if bits(f, e, j) <= min(pii.GENERALISE, (1 - pii.GAIN) * math.log2(len(texts) / df_e[e]))}
+    return told, df_f
+
+
+def test_forms_do_not_disclose(spark):
+    rng = random.Random(6)
+    syllables = ["stn", "ting", "ou", "pla", "tion", "ha", "er", "ble", "qua"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 6)))
+    rows = [(i, " ".join(["the common words of it", *(word() for _ in range(6))]) + (f" to u{i % 60}@x{i % 7}.org" if i % 3 else "")) for i in range(240)]
+    rows += [(500 + i, f"platypusses plat{'y' * 40} wrote {w} to one@a.org") for i, w in enumerate(["platys", "platyx"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told, df = forms_disclose(rows, {r.doc_id: r.text for r in pii.sanitise(docs).collect()})
+    assert not told and sum(f != "[TERM]" for f in df) > 20
+    kinds = {r.action for r in pii.disclosing(docs).collect()}
+    assert "generalise" in kinds
+
+
+def test_forms_of_the_given_table_do_not_disclose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    told, df = forms_disclose(rows, {r.doc_id: r.text for r in pii.sanitise(docs).collect()})
+    assert not told and sum(n > 1 for n in df.values()) == len(df)
+
+
+def test_parts_of_counts_have_the_same_keys_again(spark):
+    docs = spark.createDataFrame([(f"{i}".encode(), f"alpha beta word{i % 5}") for i in range(50)], "text_key binary, text string").repartition(3)
+    words = spark.createDataFrame([("alpha",), ("beta",), ("word3",)], "term string")
+    from folium.llm import common
+
+    sc = spark.sparkContext
+    holder, none = sc.broadcast(common.bloom(words)), sc.broadcast(common.bloom(words.limit(0).select("term")))
+    once, again = ({(bytes(r.text_key), tuple(r.terms), tuple(r.counts)) for r in pii._terms(docs, holder, none).collect()} for _ in range(2))
+    assert once == again and all(len(k) != 16 for k, _, _ in once)
 
 
 def test_terms_go_wherever_they_stand(spark):
