@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.functions.clean import format_of, publication_of
 from folium.functions.text import any_same_person, person_keys, strongest_split, title_keys
+from folium.operators.catalog import ACCEPTED
 
 #: More candidates than this are ambiguous before any of them is looked at.
 MOST = 50
@@ -79,9 +81,13 @@ def repoint(keys: DataFrame, final: DataFrame) -> DataFrame:
     return keys.join(f, "series", "left").select("key", F.coalesce("dst", "series").alias("series")).distinct()
 
 
-def _only(hits: DataFrame, series: DataFrame, confidence: str) -> DataFrame:
-    """``link, confidence, series_id`` of the inputs whose keys lead to one series, which there is."""
-    one = hits.groupBy("link").agg(F.min("series").alias("series"), F.max("series").alias("_last")).where(F.col("series") == F.col("_last"))
+def _only(inputs: DataFrame, keys: DataFrame, series: DataFrame, confidence: str) -> DataFrame:
+    """``link, confidence, series_id`` of the inputs whose keys lead to one series, which there is.
+
+    A key's least and last series stand for all of its series, so a key costs an input one row however many there are.
+    """
+    ends = keys.groupBy("key").agg(F.min("series").alias("series"), F.max("series").alias("_last"))
+    one = inputs.join(ends, "key").groupBy("link").agg(F.min("series").alias("series"), F.max("_last").alias("_last")).where(F.col("series") == F.col("_last"))
     return one.join(series.select("series"), "series", "left_semi").select("link", F.lit(confidence).alias("confidence"), F.col("series").alias("series_id"))
 
 
@@ -89,13 +95,14 @@ def decide(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int =
     """``link, confidence, series_id`` by site link, then ids on other sites, then title keys and people.
 
     ``inputs (link, keys, people)``, with ``link_key`` where ``links (key, series)`` is given and an array ``xids`` where
-    ``xids (key, series)`` is; ``titles (key, series)``, ``series (series, main_key, people, type)`` with people as arrays
-    of name keys. An input that a tier decides does not enter the next one.
+    ``xids (key, series)`` is; ``titles (key, series)``, ``series (series, main_keys, people, type)`` with the main title's
+    keys and the people's name keys as arrays. An input that a tier decides does not enter the next one. ``link`` may be
+    a struct, such as one of module and link.
     """
     rest, told = inputs, None
     for found in (
-        links is not None and _only(inputs.select("link", F.col("link_key").alias("key")).join(links, "key"), series, "link"),
-        xids is not None and _only(inputs.select("link", F.explode("xids").alias("key")).join(xids, "key"), series, "cross-id"),
+        links is not None and _only(inputs.select("link", F.col("link_key").alias("key")), links, series, "link"),
+        xids is not None and _only(inputs.select("link", F.explode("xids").alias("key")), xids, series, "cross-id"),
     ):
         if found:
             own = found if told is None else found.join(told, "link", "left_anti")
@@ -106,13 +113,27 @@ def decide(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int =
     return by_title if told is None else told.unionByName(by_title)
 
 
+def title_blocks(titles: DataFrame, most: int = MOST) -> DataFrame:
+    """``key, n, block``: the number of a key's series, and the series themselves where they are ``most`` at most.
+
+    Keys are counted with map-side combine. Those over the cap are settled by their count: none of their series is
+    gathered, and no input is ever joined with them.
+    """
+    pairs = titles.select("key", "series").distinct()
+    sizes = pairs.groupBy("key").agg(F.count("*").alias("n"))
+    small = pairs.join(sizes.where(F.col("n") <= most).select("key"), "key", "left_semi")
+    blocks = small.groupBy("key").agg(F.collect_list("series").alias("block"))  # ``most`` at most
+    return sizes.join(blocks, "key", "left")
+
+
 def _by_title(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int) -> DataFrame:
     """Candidates are counted before any of their columns is joined; novels go after the count."""
-    hits = inputs.select("link", F.explode("keys").alias("key")).join(titles, "key").select("link", "series").distinct()
-    size = hits.groupBy("link").agg(F.count("*").alias("n_candidates"))
-    few = hits.join(size.where(F.col("n_candidates") <= most), "link")
+    hits = inputs.select("link", F.explode("keys").alias("key")).join(title_blocks(titles, most), "key")
+    found = hits.groupBy("link").agg(F.max("n").alias("widest"), F.array_distinct(F.flatten(F.collect_list("block"))).alias("ids"))  # an input's keys are few
+    size = found.select("link", F.when(F.col("widest") > most, F.col("widest")).otherwise(F.size("ids")).alias("n_candidates"), "ids")
+    few = size.where(F.col("n_candidates") <= most).select("link", F.explode("ids").alias("series"))
     d = few.join(series.withColumnRenamed("people", "their_people"), "series").where(F.coalesce("type", F.lit("")) != "novel").join(inputs.select("link", "keys", "people"), "link")
-    d = d.withColumn("agrees", any_same_person("people", "their_people")).withColumn("main", F.array_contains("keys", F.col("main_key")))
+    d = d.withColumn("agrees", any_same_person("people", "their_people")).withColumn("main", F.arrays_overlap("keys", "main_keys"))
     s = d.groupBy("link").agg(
         F.count("*").alias("n"),
         F.count_if("agrees").alias("n_agree"),
@@ -123,7 +144,7 @@ def _by_title(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int
         F.min(F.when(F.col("agrees") & F.col("main"), F.col("series"))).alias("agree_main"),
         F.min(F.when(F.col("main"), F.col("series"))).alias("only_main"),
     )
-    j = inputs.join(size, "link", "left").join(s, "link", "left")
+    j = inputs.join(size.drop("ids"), "link", "left").join(s, "link", "left")
     people = F.size("people") > 0
     confidence = (
         F.when(F.col("n_candidates") > most, "ambiguous")
@@ -140,6 +161,19 @@ def _by_title(inputs: DataFrame, titles: DataFrame, series: DataFrame, most: int
     return j.select("link", "confidence", pick.alias("series_id"))
 
 
+def described(decided: DataFrame, series: DataFrame) -> DataFrame:
+    """``decided`` with the accepted series' ``format``, ``publication`` and ``year``; ``series`` has type, status, year."""
+    own = series.select(F.col("series").alias("series_id"), format_of(F.coalesce("type", F.lit(""))).alias("format"), publication_of(F.coalesce("status", F.lit(""))).alias("publication"), "year")
+    return decided.join(own, "series_id", "left").select(*decided.columns, "format", "publication", "year")
+
+
+def match_report(matches: DataFrame) -> DataFrame:
+    """Per confidence, and in all (``all``), matches and accepted ones."""
+    ok = F.col("confidence").isin(*ACCEPTED)
+    d = matches.select(F.explode(F.array("confidence", F.lit("all"))).alias("confidence"), ok.alias("_ok"))
+    return d.groupBy("confidence").agg(F.count("*").alias("examined"), F.count_if("_ok").alias("accepted"))
+
+
 def match_inputs(listing: DataFrame) -> DataFrame:
     """Keys of the title and of the alternative titles, by the strongest separator among them, and people of catalog rows."""
     names = F.concat(F.array("title"), strongest_split(F.coalesce("alttitles", F.lit(""))))

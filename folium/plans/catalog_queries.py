@@ -136,8 +136,8 @@ def resolve_decide(spark, sf):
     """Part names against a catalog of their own, people by type; candidates over the cap are ambiguous."""
     p = table(spark, sf, "part")
     inputs = p.select(F.col("p_partkey").alias("link"), F.array(F.lower("p_name")).alias("keys"), F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("people"))
-    series = p.where("p_size < 40").select(F.col("p_partkey").alias("series"), F.lower("p_name").alias("main_key"), F.array("p_type").alias("people"), F.when(F.col("p_size") < 5, F.lit("novel")).alias("type"))
-    titles = series.select(F.col("main_key").alias("key"), "series")
+    series = p.where("p_size < 40").select(F.col("p_partkey").alias("series"), F.array(F.lower("p_name")).alias("main_keys"), F.array("p_type").alias("people"), F.when(F.col("p_size") < 5, F.lit("novel")).alias("type"))
+    titles = series.select(F.explode("main_keys").alias("key"), "series")
     found = resolve.decide(inputs, titles, series, most=25)
     return found.groupBy("confidence").agg(F.count("*").alias("n"))
 

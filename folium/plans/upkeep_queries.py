@@ -5,26 +5,67 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folium.functions import clean, names
-from folium.operators import catalog, library, ordered, queue, resolve
+from folium.operators import catalog, library, ordered, queue, rematch, resolve
 from folium.schemas import LISTING_SQL, MATCHES_SQL, listing, matches, table
 from folium.streaming import events as streams
 
 
 def resolve_tiers(spark, sf):
-    """Parts by a site link, ids on other sites, then name and people."""
+    """Parts by a site link, ids on other sites, then name and people: whole tables in every tier."""
     p = table(spark, sf, "part")
+    n = F.col("p_partkey")
+    site = F.array(F.concat(F.lit("a"), (n % 3).cast("string"), F.lit(":"), n.cast("string")), F.lit("none"))
     inputs = p.select(
-        F.col("p_partkey").alias("link"),
-        F.when(F.col("p_partkey") % 4 == 0, (F.col("p_partkey") % 50).cast("string")).alias("link_key"),
-        F.when(F.col("p_partkey") % 3 == 0, F.array((F.col("p_partkey") % 30).cast("string"), F.lit("none"))).otherwise(F.array().cast("array<string>")).alias("xids"),
-        F.array(F.lower("p_name")).alias("keys"),
+        n.alias("link"),
+        F.when(n % 4 == 0, n.cast("string")).alias("link_key"),
+        F.when(n % 3 == 0, site).otherwise(F.array().cast("array<string>")).alias("xids"),
+        F.array(F.concat_ws(" ", F.lower("p_name"), (n % 7).cast("string"))).alias("keys"),
         F.array("p_type").alias("people"),
     )
-    series = p.where("p_size < 30").select(F.col("p_partkey").alias("series"), F.lower("p_name").alias("main_key"), F.array("p_type").alias("people"), F.lit(None).cast("string").alias("type"))
-    links = series.where("series < 40").select(F.col("series").cast("string").alias("key"), "series")
-    xids = p.where("p_partkey < 70").select((F.col("p_partkey") % 35).cast("string").alias("key"), F.col("p_partkey").alias("series"))
-    found = resolve.decide(inputs, series.select(F.col("main_key").alias("key"), "series"), series, most=25, links=links, xids=xids)
-    return found.groupBy("confidence").agg(F.count("*").alias("n"), F.count("series_id").alias("n_series"))
+    series = p.where("p_size < 30").select(n.alias("series"), F.array(F.concat_ws(" ", F.lower("p_name"), (n % 7).cast("string"))).alias("main_keys"), F.array("p_type").alias("people"), F.lit(None).cast("string").alias("type"))
+    links = p.select(F.explode(F.array(n, (n + 4) * (n % 2))).alias("key"), n.alias("series")).select(F.col("key").cast("string").alias("key"), "series")
+    xids = table(spark, sf, "lineitem").select(F.concat(F.lit("a0:"), F.col("l_partkey").cast("string")).alias("key"), (F.col("l_partkey") + F.col("l_suppkey") % 2 * (F.col("l_partkey") % 2)).alias("series"))
+    found = resolve.decide(inputs, series.select(F.explode("main_keys").alias("key"), "series"), series, most=25, links=links, xids=xids)
+    return found.select("link", "confidence", "series_id")
+
+
+def _rematch_tables(spark, sf, run):
+    """Listing, favorites, picks, catalog and build of a run: the second one is retitled and has lost links, the third one has another build."""
+    p = table(spark, sf, "part")
+    n = F.col("p_partkey")
+    title = F.concat_ws(" ", "p_name", F.when(F.col("p_size") < 25, n).otherwise(n % 2).cast("string"))
+    row = [F.col("p_brand").alias("module_id"), n.alias("link"), title.alias("title"), F.lit("").alias("alttitles"), F.col("p_type").alias("authors"), F.lit(None).cast("string").alias("artists")]
+    first = p.select(*row)
+    later = p.where(n % 11 != 0).select(*row[:2], F.when(n % 7 == 0, F.concat("p_name", F.lit(" 1"))).otherwise(title).alias("title"), *row[3:])
+    series = p.where(F.col("p_size") < (40 if run < 3 else 35)).select(n.alias("series"), F.array(title).alias("main_keys"), F.array(F.lower("p_type")).alias("people"), F.when(F.col("p_size") < 5, "novel").otherwise("manhwa").alias("type"), F.when(F.col("p_size") % 2 == 0, "releasing").otherwise("upcoming").alias("status"), (F.col("p_size") + 1980).alias("year"))
+    favorites = first.where(F.col("link") % 22 == 0)
+    picked = p.where(n % 13 == 0).select(*row[:2], (n + 1).alias("series_id"))
+    catalog = {"series": series, "titles": series.select(F.explode("main_keys").alias("key"), "series")}
+    return first if run == 1 else later, favorites, picked, catalog, "b1" if run < 3 else "b2"
+
+
+def _rematched(spark, sf, runs):
+    log = None
+    for run in range(1, runs + 1):
+        tables = _rematch_tables(spark, sf, run)
+        log = log or rematch.MatchLog(spark, streams.shared(spark), rematch.log_schema(tables[0]))
+        rematch.rematch(log, run, *tables)
+    return log.current()
+
+
+def rematch_changed(spark, sf):
+    """Two runs over all parts: the second decides only what was retitled, drops what is listed no more, and keeps favorites and picks."""
+    return _rematched(spark, sf, 2).select("module_id", "link", "confidence", "series_id", "format", "publication", "year", "run")
+
+
+def rematch_build(spark, sf):
+    """A third run against another build decides every title again; picks whose series went are gone."""
+    return _rematched(spark, sf, 3).select("module_id", "link", "confidence", "series_id", "format", "publication", "year", "run")
+
+
+def match_reports(spark, sf):
+    """Examined and accepted matches per confidence, of the second run's table."""
+    return resolve.match_report(_rematched(spark, sf, 2))
 
 
 def match_cover_invalidation(spark, sf):
@@ -157,20 +198,39 @@ def stream_failures(spark, sf):
     return streams.run(streams.failures(streams.source(spark, sf), F.col("event_type").isin("error", "view"))).select("event_id", "key", "failures", "rests_until")
 
 
+def _rematch_sql(runs):
+    """The table after some runs, decided at once: each title as it is last listed, against the last build."""
+    build = "p_size < 40" if runs < 3 else "p_size < 35"
+    again = "3" if runs == 3 else "CASE WHEN title <> old THEN 2 ELSE 1 END"
+    # a pick is stored by the first run, and again by a later one if its series has changed or is back
+    return f"""WITH p AS (SELECT *, p_partkey n, p_name || ' ' || CASE WHEN p_size < 25 THEN p_partkey ELSE p_partkey % 2 END old FROM part),
+    s AS (SELECT n id, old k, p_type, p_size FROM p WHERE {build}),
+    i AS (SELECT n, p_brand, p_type, old, CASE WHEN n % 11 <> 0 AND n % 7 = 0 THEN p_name || ' 1' ELSE old END title FROM p WHERE n % 13 <> 0 AND (n % 11 <> 0 OR n % 22 = 0)),
+    c AS (SELECT n, count(*) cand, count(*) FILTER (WHERE s.p_size >= 5) hits, count(*) FILTER (WHERE s.p_size >= 5 AND s.p_type = i.p_type) agree, min(id) FILTER (WHERE s.p_size >= 5 AND s.p_type = i.p_type) id FROM i JOIN s ON s.k = i.title GROUP BY 1),
+    d AS (SELECT p_brand, n, {again} run, CASE WHEN cand > 50 THEN 'ambiguous' WHEN coalesce(hits, 0) = 0 THEN 'none' WHEN agree = 0 THEN 'author-conflict' WHEN agree = 1 THEN 'title+author' ELSE 'ambiguous' END confidence, id FROM i LEFT JOIN c USING (n)),
+    m AS (SELECT p_brand, n, confidence, CASE WHEN confidence = 'title+author' THEN id END id, run FROM d UNION ALL SELECT p_brand, n, 'manual', n + 1, 1 FROM p WHERE n % 13 = 0)
+    SELECT p_brand module_id, n link, confidence, id series_id, CASE WHEN p_size < 5 THEN 'other' WHEN p_size IS NOT NULL THEN 'manhwa' END AS format, CASE WHEN p_size % 2 = 0 THEN 'ongoing' END publication, (p_size + 1980)::INT AS year, run::BIGINT run
+    FROM m LEFT JOIN s USING (id) WHERE confidence <> 'manual' OR p_size IS NOT NULL"""
+
+
 Q, S = {}, {}
 for _f, _sql in (
     (
         resolve_tiers,
-        """WITH p AS (SELECT *, lower(p_name) k FROM part), s AS (SELECT * FROM p WHERE p_size < 30),
-        l AS (SELECT i.p_partkey link, s.p_partkey id FROM p i JOIN s ON s.p_partkey < 40 AND s.p_partkey = i.p_partkey % 50 WHERE i.p_partkey % 4 = 0),
-        xs AS (SELECT i.p_partkey link, min(x.p_partkey) id FROM p i JOIN part x ON x.p_partkey < 70 AND x.p_partkey % 35 = i.p_partkey % 30 WHERE i.p_partkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT x.p_partkey) = 1),
-        x AS (SELECT link, id FROM xs JOIN s ON s.p_partkey = id WHERE link NOT IN (SELECT link FROM l)),
-        r AS (SELECT * FROM p WHERE p_partkey NOT IN (SELECT link FROM l UNION ALL SELECT link FROM x)),
-        c AS (SELECT r.p_partkey link, count(*) n, count(*) FILTER (WHERE s.p_type = r.p_type) agree FROM r JOIN s USING (k) GROUP BY 1),
-        t AS (SELECT CASE WHEN n > 25 THEN 'ambiguous' WHEN coalesce(n, 0) = 0 THEN 'none' WHEN agree = 0 THEN 'author-conflict' WHEN agree = 1 THEN 'title+author' ELSE 'ambiguous' END confidence FROM r LEFT JOIN c ON link = p_partkey),
-        u AS (SELECT 'link' confidence FROM l UNION ALL SELECT 'cross-id' FROM x UNION ALL SELECT confidence FROM t)
-        SELECT confidence, count(*) n, count(*) FILTER (WHERE confidence IN ('link', 'cross-id', 'title+author')) n_series FROM u GROUP BY 1""",
+        """WITH p AS (SELECT *, p_partkey n, lower(p_name) || ' ' || p_partkey % 7 k FROM part), s AS (SELECT * FROM p WHERE p_size < 30),
+        lk AS (SELECT DISTINCT n AS series, unnest([n, (n + 4) * (n % 2)]) k FROM p),
+        l AS (SELECT i.n link, min(series) id FROM p i JOIN lk ON lk.k = i.n WHERE i.n % 4 = 0 GROUP BY 1 HAVING count(DISTINCT series) = 1),
+        xk AS (SELECT DISTINCT l_partkey k, l_partkey + l_suppkey % 2 * (l_partkey % 2) AS series FROM lineitem),
+        x AS (SELECT i.n link, min(series) id FROM p i JOIN xk ON xk.k = i.n WHERE i.n % 3 = 0 GROUP BY 1 HAVING count(DISTINCT series) = 1),
+        told AS (SELECT link, 'link' confidence, id FROM l JOIN s ON s.n = id UNION ALL SELECT link, 'cross-id', id FROM x JOIN s ON s.n = id WHERE link NOT IN (SELECT link FROM l JOIN s ON s.n = id)),
+        r AS (SELECT * FROM p WHERE n NOT IN (SELECT link FROM told)),
+        c AS (SELECT r.n link, count(*) n, count(*) FILTER (WHERE s.p_type = r.p_type) agree, min(s.n) FILTER (WHERE s.p_type = r.p_type) id FROM r JOIN s USING (k) GROUP BY 1),
+        t AS (SELECT r.n link, CASE WHEN c.n > 25 THEN 'ambiguous' WHEN coalesce(c.n, 0) = 0 THEN 'none' WHEN agree = 0 THEN 'author-conflict' WHEN agree = 1 THEN 'title+author' ELSE 'ambiguous' END confidence, id FROM r LEFT JOIN c ON link = r.n)
+        SELECT link, confidence, id series_id FROM told UNION ALL SELECT link, confidence, CASE WHEN confidence = 'title+author' THEN id END FROM t""",
     ),
+    (rematch_changed, _rematch_sql(2)),
+    (rematch_build, _rematch_sql(3)),
+    (match_reports, f"SELECT unnest([confidence, 'all']) AS confidence, count(*) examined, count(*) FILTER (WHERE series_id IS NOT NULL) accepted FROM ({_rematch_sql(2)}) GROUP BY 1"),
     (match_cover_invalidation, f"SELECT p_partkey link, CASE WHEN p_partkey % 2 = 0 THEN 'match' ELSE 'site' END source, CASE WHEN p_partkey % 6 < 4 THEN p_size END::BIGINT series_id FROM part LEFT JOIN (SELECT link, series_id new, true stored FROM {MATCHES_SQL}) ON link = p_partkey WHERE stored IS NULL OR NOT ((p_partkey % 2 = 0 AND CASE WHEN p_partkey % 6 < 4 THEN p_size END IS DISTINCT FROM new) OR (p_partkey % 2 = 1 AND new IS NOT NULL))"),
     (match_module_ids, "SELECT p_brand module_id FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT o_orderstatus FROM orders"),
     (
