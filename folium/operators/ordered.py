@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.operators.scans import numbered
+from folium.shared import cut
+
 
 def keep_one(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order. Spark cuts each task's rows to the first of a key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -56,22 +59,47 @@ def label_runs(rows: DataFrame, group: str, position: str, name: str) -> DataFra
 
 
 def failure_streak(rows: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """Failures since the last success, per key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d = rows.withColumn("_f", failed).withColumn("_ok", F.sum((~F.col("_f")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    top = d.groupBy(key).agg(F.max("_ok").alias("_last"))
-    return d.join(top, key).groupBy(key).agg(F.count_if(F.col("_f") & (F.col("_ok") == F.col("_last"))).alias("streak"))
+    """Failures since the last success, per key: the last success is an aggregate, and so is the count after it."""
+    at = F.struct(*order)
+    d = rows.select(key, at.alias("_at"), failed.alias("_f"))
+    last = d.groupBy(F.col(key).alias("_k")).agg(F.max(F.when(~F.col("_f"), F.col("_at"))).alias("_last"))
+    after = F.col("_f") & (F.col("_last").isNull() | (F.col("_at") > F.col("_last")))
+    return d.join(last, F.col(key).eqNullSafe(F.col("_k"))).groupBy(key).agg(F.count_if(after).alias("streak"))
 
 
 def moved_to_front(rows: DataFrame, key: str, order: str, front: list) -> DataFrame:
     """Dense new positions: the listed keys first, in their order, then the rest as before."""
     rank = F.coalesce(*[F.when(F.col(key) == F.lit(k), F.lit(i)) for i, k in enumerate(front)], F.lit(len(front)))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(rank, order, key)) - 1)
+    return numbered(rows.withColumn("_rank", rank), ["_rank", order, key]).drop("_rank").withColumn("position", F.col("position").cast("int"))
 
 
 def masked_move(rows: DataFrame, order: str, movable: Column, new_rank: Column) -> DataFrame:
-    """Movable rows take each other's places by a new rank; the others keep theirs."""
+    """Movable rows take each other's places by a new rank; the others keep theirs. Places are numbered, and joined by number."""
     d = rows.withColumn("_m", movable)
-    places = d.where("_m").select(F.col(order).alias("place"), F.row_number().over(Window.orderBy(order)).alias("_n"))
-    moved = d.where("_m").withColumn("_n", F.row_number().over(Window.orderBy(new_rank, order))).join(places, "_n").drop("_n")
+    places = numbered(d.where("_m").select(F.col(order).alias("place")), ["place"], "_n")
+    moved = numbered(d.where("_m").withColumn("_rank", new_rank), ["_rank", order], "_n").drop("_rank").join(places, "_n").drop("_n")
     return moved.unionByName(d.where("NOT _m").withColumn("place", F.col(order))).drop("_m")
+
+
+#: Where a waiting row may be taken among the waiting ones.
+MOVES = ("top", "up", "down", "bottom")
+
+
+def move_waiting(rows: DataFrame, key: str, order: str, waiting: Column, chosen, to: str) -> DataFrame:
+    """``rows`` with their ``place`` after the chosen waiting one is moved among the waiting ones, which swap places;
+    all others stay. A row that is not there, or not waiting, moves nothing. Only rows between both places change."""
+    if to not in MOVES:
+        raise ValueError(f"no such move: {to}")
+    d = rows.withColumn("_w", F.coalesce(waiting, F.lit(False)))
+    held = cut(numbered(d.where("_w"), [order, key], "_n"))
+    n = held.count()
+    found = held.where(F.col(key) == F.lit(chosen)).select("_n").first()
+    if found is None:
+        return rows.withColumn("place", F.col(order))
+    at = found[0]
+    goal = max(0, min({"top": 0, "up": at - 1, "down": at + 1, "bottom": n - 1}[to], n - 1))
+    i = F.col("_n")
+    new = F.when(i == at, goal).when((i > at) & (i <= goal), i - 1).when((i < at) & (i >= goal), i + 1).otherwise(i)
+    places = held.select(F.col("_n").alias("_new"), F.col(order).alias("place"))
+    moved = held.withColumn("_new", new).join(places, "_new").select(*rows.columns, "place")
+    return moved.unionByName(d.where("NOT _w").select(*rows.columns, F.col(order).alias("place")))
