@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.common import LETTERS, held_out, letter_runs, slices
@@ -15,8 +15,9 @@ from folium.llm.common import LETTERS, held_out, letter_runs, slices
 UNKNOWN = "und"
 #: Labelled documents per language that the model is fitted on: about so many are drawn by a hash of their ids.
 SAMPLE = 4_000
-#: Words and n-grams kept per language (None: all), the longest n-gram, and the least weight (in words) added to every count.
-WORDS, GRAMS, LONGEST, SMOOTH = 20_000, 60_000, 5, 0.5
+#: How often the sample must have a word in a language for it to be known there, the longest n-gram, and the least weight
+#: (in words) added to every count. Rarer words, whose share is chance, are told by their n-grams, of which all are kept.
+LEAST, LONGEST, SMOOTH = 3, 5, 0.5
 #: Words whose scores a worker remembers before it starts again, and the letters of the longest one it remembers.
 MEMO, REMEMBERED = 150_000, 64
 
@@ -35,23 +36,18 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     return rows.where(place < rate).select("lang", "text")
 
 
-def fit(labelled: DataFrame, words: int | None = WORDS, grams: int | None = GRAMS, longest: int = LONGEST) -> dict:
+def fit(labelled: DataFrame, least: int = LEAST, longest: int = LONGEST) -> dict:
     """The model from ``lang, text``: languages, known words and n-grams by length, each with a log share per language.
 
-    Words are counted by Spark; n-grams are counted over distinct words weighted by their counts, and one pass ranks
-    both per language and length. What reaches the driver, as one Arrow table, is bounded by ``words`` and ``grams``
-    per language and length; with None for both, nothing is left out and the bound is the vocabulary of the sample.
+    Words are counted by Spark; n-grams are counted over distinct words weighted by their counts. No word of evidence and
+    no n-gram is left out: what reaches the driver, as one Arrow table, is bounded by the bounded sample alone.
     """
     split = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(LETTERS), F.lit(0))
     counts = labelled.select("lang", F.explode(split).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    known = F.when(F.col("n") >= 2, F.array(F.struct(F.lit(0).alias("size"), F.col("w").alias("g")))).otherwise(F.array())
+    known = F.when(F.col("n") >= least, F.array(F.struct(F.lit(0).alias("size"), F.col("w").alias("g")))).otherwise(F.array())
     cuts = [F.expr(f"transform(sequence(1, greatest(length(w) + 3 - {k}, 1)), i -> struct({k} as size, substr(concat('^', w, '$'), i, {k}) as g))") for k in range(1, longest + 1)]
     parts = counts.select("lang", "n", F.explode(F.concat(known, *cuts)).alias("p")).where((F.col("p.size") == 0) | (F.length("p.g") == F.col("p.size")))
     sums = parts.groupBy("lang", F.col("p.size").alias("size"), F.col("p.g").alias("g")).agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "g"))  # over the bounded sample
-    if words is not None or grams is not None:
-        most = F.when(F.col("size") == 0, F.lit(words)).otherwise(F.lit(grams))
-        sums = sums.withColumn("_place", place).where(F.coalesce(F.col("_place") <= most, F.lit(True)))
     told = sums.select("lang", "size", "g", "n").toArrow()
     langs = sorted(set(told.column("lang").to_pylist()))
     size, n = told.column("size").to_numpy(), told.column("n").to_numpy()
@@ -153,7 +149,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"), *more)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
-    holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS per language
+    holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE texts per language
     name = uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,8 +16,8 @@ from folium.llm.common import LETTERS, cut, held_out, letter_runs
 
 #: Labelled documents that the model is fitted on, at most about so many of each label, drawn by a hash of their ids.
 SAMPLE = {1: 3_000, 0: 6_000}
-#: Features kept (None: all that pass), and the least z-score of a feature's log odds.
-FEATURES, LEAST_Z = 4_000, 3.5
+#: The least z-score of a feature's log odds; all that pass are kept, and the bounded sample bounds their number.
+LEAST_Z = 3.5
 #: A document without any telling sentence is toxic with this probability.
 LEAK = 1e-3
 THRESHOLD = 0.3
@@ -48,7 +48,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
 
 
-def select_features(labelled: DataFrame, most: int | None = FEATURES) -> dict[str, int]:
+def select_features(labelled: DataFrame) -> dict[str, int]:
     """The features whose document frequencies differ most between the labels, as z-scores of their log odds."""
     split = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(LETTERS), F.lit(0)))
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
@@ -60,8 +60,7 @@ def select_features(labelled: DataFrame, most: int | None = FEATURES) -> dict[st
     odds = F.log((F.col("pos") + 0.5) / (size.get(1, 0) + 1.0)) - F.log((F.col("neg") + 0.5) / (size.get(0, 0) + 1.0))
     z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     telling = sums.select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f")
-    rows = (telling if most is None else telling.limit(most)).collect()
-    return {r["f"]: i for i, r in enumerate(rows)}
+    return {r["f"]: i for i, r in enumerate(telling.collect())}  # of the bounded sample
 
 
 def bags(labelled: DataFrame, index: dict[str, int]) -> DataFrame:
@@ -121,10 +120,10 @@ def fitted(bagged: DataFrame, features: int) -> tuple[np.ndarray, float]:
     return np.array(row["weights"]), row["bias"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: int | None = FEATURES) -> dict:
-    """The model: weights per feature, and the bias; with ``features`` None, no feature of a telling z-score is left out."""
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model: a weight for each feature of a telling z-score, and the bias."""
     labelled = sample(docs, labels).persist()
-    index = select_features(labelled, features)
+    index = select_features(labelled)
     weights, bias = fitted(cut(bags(labelled, index)), len(index))
     labelled.unpersist()
     return {"weights": {f: float(weights[i]) for f, i in index.items()}, "bias": bias}
@@ -175,8 +174,8 @@ def detect(docs: DataFrame, model: dict) -> DataFrame:
     Null and empty texts get the leak as score and no sentence; repeated rows give equal rows, and different texts may
     tie; an empty table gives none. A text of any length is scored whole, sentence by sentence. Columns other than the id and the text are not read.
     """
-    rows = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
-    holder = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
+    holder = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
     name = uuid.uuid4().hex  # a worker may run several models in turn
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
