@@ -6,12 +6,14 @@ that holds the other too. Cells that are still large are clustered again in the
 cell is a task that builds a pruned neighbour graph over its members; the adjacency lists of a vector from all its
 cells are united; range searches for the members at home then start at the cell's medoid, descend greedily to the
 query and widen over neighbours in range. Each task audits its own recall on every AUDIT-th query, itself left out, and
-searches the whole cell where the graph falls short. As every link has a cell where one end is at home, the audits see
+on more of them until it has seen enough links to judge by, if need be on all; what an audit finds is kept, and the whole
+cell is searched where the graph falls short. As every link has a cell where one end is at home, the audits see
 all links of the audited members.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from folium.llm.common import components, cut, groups
 from folium.llm.ngram_join import forest
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.98
 #: Vectors that the centers of a cell are fitted on, about so many, and members that a cell is made for.
 SAMPLE, CELL = 4_000, 2_000
@@ -32,7 +36,8 @@ SAMPLE, CELL = 4_000, 2_000
 BLOCK, DEAL, LEVELS = 5_000, 20_000, 8
 #: Neighbours per vector, nearest and far candidates to prune from, pruning slack, and the beam of the greedy search.
 DEGREE, POOL, FAR, ALPHA, BEAM = 16, 40, 40, 1.2, 24
-AUDIT, RECALL = 20, 0.95
+#: Queries audited at first, one in so many; the links that an audit must see to tell the recall; the least recall.
+AUDIT, SEEN, RECALL = 20, 40, 0.95
 #: Queries that a task searches in step, and numbers of a block of vectors that are multiplied at once.
 STEP, NUMBERS = 256, 1_500_000
 
@@ -61,8 +66,8 @@ def _usable(vectors: DataFrame) -> DataFrame:
             raw = pa.array([u.tobytes() for u in units if u is not None], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), raw], names=["vec_id", "label", "unit"])
 
-    rows = vectors.where(F.col("label").isNotNull()).select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
-    return rows.mapInArrow(task, "vec_id long, label long, unit binary")
+    rows = vectors.where(F.col("label").isNotNull()).select(F.col("vec_id").cast("long"), "label", "embedding")
+    return rows.mapInArrow(task, f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, unit binary")
 
 
 _DEALT = "number long, cell long, unit binary, children array<long>"
@@ -320,10 +325,16 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
             for a in range(0, len(asked), STEP):
                 link[asked[a : a + STEP]] = range_search(x, graph, start, asked[a : a + STEP], threshold)
             np.fill_diagonal(link, False)  # a member always finds itself
-            audit = asked[::AUDIT]
-            truth = x[audit] @ x.T >= threshold
-            truth[np.arange(len(audit)), audit] = False
-            hits, total = int((truth & link[audit]).sum()), int(truth.sum())
+            # audited until enough links were seen to tell the recall; where there are fewer, all queries are
+            line, audited, share, hits, total = np.concatenate([asked[k::AUDIT] for k in range(AUDIT)]), 0, max(1, len(asked[::AUDIT])), 0, 0
+            while audited < len(line) and total < SEEN:
+                for a in range(audited, min(audited + share, len(line)), STEP):
+                    part = line[a : min(a + STEP, audited + share)]
+                    truth = x[part] @ x.T >= threshold
+                    truth[np.arange(len(part)), part] = False
+                    hits, total = hits + int((truth & link[part]).sum()), total + int(truth.sum())
+                    link[part] = truth
+                audited, share = audited + share, 2 * share
             if hits < RECALL * total:  # the exact way
                 for a in range(0, len(asked), STEP):
                     link[asked[a : a + STEP]] = x[asked[a : a + STEP]] @ x.T >= threshold
@@ -337,10 +348,11 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
             shared = np.array([len(s) > 1 for s in sets])
             if shared.any():  # pairs of equal cells are told alike
                 alike = list(map(dict, names))
-                i, j = np.nonzero(link & shared[:, None] & shared[None, :])
-                pair, of = np.unique(kind[i] * len(alike) + kind[j], return_inverse=True)
-                told = [min(c for c, h in alike[k // len(alike)].items() if c in alike[k % len(alike)] and (h or alike[k % len(alike)][c])) == cell for k in pair.tolist()]
-                link[i, j] = np.array(told, bool)[of]
+                for a in range(0, n, STEP):  # a dense cell has millions of links
+                    i, j = np.nonzero(link[a : a + STEP] & shared[a : a + STEP, None] & shared[None, :])
+                    pair, of = np.unique(kind[a + i] * len(alike) + kind[j], return_inverse=True)
+                    told = [min(c for c, h in alike[k // len(alike)].items() if c in alike[k % len(alike)] and (h or alike[k % len(alike)][c])) == cell for k in pair.tolist()]
+                    link[a + i, j] = np.array(told, bool)[of]
             links = np.concatenate([link[a : a + STEP] @ copies for a in range(0, n, STEP)])  # in parts: a product widens the flags to numbers
             some = np.nonzero(links)[0]
             sub = link[np.ix_(some, some)]
@@ -366,7 +378,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, audit: lis
     vectors, and rows without an id, link with nothing and are their own component. Equal vectors of a label are
     compared once and count as copies of each other; repeated rows are copies too. Vectors of any length link only with
     those of their length. An empty table gives no rows; other columns are not read. ``audit`` receives the found and
-    true links of the audited queries before any cell is searched whole, if a list is given.
+    true links of the audited queries before any cell is searched whole, if a list is given; the log has them always.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     usable = cut(_usable(vectors.where(F.col("vec_id").isNotNull())))
@@ -375,9 +387,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, audit: lis
     rows = cut(_in_blocks(cut(cells(members, threshold)), members))
     near = _graphs(rows).groupBy("number").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a vector's cells, of DEGREE each
     found = cut(_search(rows.join(near, "number"), threshold))
+    r = found.agg(F.coalesce(F.sum("audit_found"), F.lit(0)), F.coalesce(F.sum("audit_total"), F.lit(0))).first()
+    log.info("graph search found %d of %d audited links", *r)
     if audit is not None:
-        r = found.agg(F.sum("audit_found"), F.sum("audit_total")).first()
-        audit += [r[0] or 0, r[1] or 0]
+        audit += list(r)
     links = found.where("audit_total is null")
     classes = components(links.where("b is not null").select("a", "b"))
     count = links.where("b is null").groupBy(F.col("a").alias("number")).agg(F.sum("n").alias("n"))

@@ -91,3 +91,29 @@ def test_recall_over_many_clustered_vectors(spark, monkeypatch):
     true = np.concatenate([(u[a : a + 2000] @ u.T >= 0.98).sum(axis=1) - 1 for a in range(0, len(u), 2000)])
     found = np.array([got[i].n_links for i in range(len(u))])
     assert true.sum() > 5000 and (found <= true).all() and found.sum() >= 0.95 * true.sum() and audit[1] > 0
+
+
+def test_labels_of_text(spark):
+    data = [(i, v, None if k is None else f"kind {k}") for i, v, k in rows()]
+    docs = spark.createDataFrame(data, "vec_id long, embedding array<float>, label string")
+    data = [(r.vec_id, r.embedding, r.label) for r in docs.collect()]
+    assert sorted([tuple(r) for r in vg.near_duplicates(docs).collect()], key=str) == brute(data)
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_sparse_cells_are_audited_until_links_were_seen(spark, blind):
+    """Few links among many vectors: none may be lost even where the graph search finds nothing at all."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 48))
+    pairs = rng.choice(1500, (15, 2), replace=False)
+    for a, b in pairs:
+        x[b] = x[a] + 0.02 * rng.normal(size=48)
+    docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    placed = docs.transform(lambda d: vg.cut(vg._usable(d)))
+    members = vg.cut(placed.groupBy("label", "unit").agg(vg.F.min("vec_id").alias("least"), vg.F.count("*").alias("copies")).withColumn("number", vg.F.xxhash64("label", "unit")))
+    cells = vg.cut(vg._in_blocks(vg.cut(vg.cells(members, 0.98)), members))
+    none = cells.select("number").distinct().withColumn("near", vg.F.array().cast("array<long>"))  # a graph without edges finds next to nothing
+    graph = none if blind else vg._graphs(cells).groupBy("number").agg(vg.F.array_distinct(vg.F.flatten(vg.F.collect_list("near"))).alias("near"))
+    found = vg._search(cells.join(graph, "number"), 0.98)
+    links = found.where("audit_total IS NULL AND b IS NULL").agg(vg.F.sum("n")).first()[0]
+    assert links == 2 * len(pairs)
