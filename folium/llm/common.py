@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.shared import cut, scratch, shared_dir  # noqa: F401
+
 #: ASCII white space between words, as a Java / RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 #: A run of letters, for Spark's functions.
@@ -51,32 +51,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one will do in
-    local mode (tests); on a cluster that is an error."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = sc.getCheckpointDir()
-        if not base:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="folium-"))
-            base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4, is 2; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
