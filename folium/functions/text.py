@@ -167,6 +167,11 @@ def title_keys(c: Column) -> Column:
     return F.filter(F.array_distinct(F.array(norm(c), norm(bare))), lambda k: k != "")
 
 
+def title_key_texts(title: str) -> list[str]:
+    """:func:`title_keys` of one text."""
+    return [k for k in dict.fromkeys((_norm(title), _norm(re.sub(_BRACKETS, " ", title)))) if k]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def person_keys(c: pd.Series) -> pd.Series:
     """Names of a list, each as its sorted folded words joined, without decorations in brackets."""
@@ -176,3 +181,17 @@ def person_keys(c: pd.Series) -> pd.Series:
         return sorted({k for p in parts if (k := "".join(sorted(_norm(re.sub(_BRACKETS, " ", p)).split())))})
 
     return c.map(keys)
+
+
+def fitted_texts(texts: Column, limit: int) -> Column:
+    """An array of texts cut to ``limit`` characters in all, the last text first, each cut one ending in an ellipsis and
+    keeping one character at least. What a text must give is what is over the limit less what the texts after it can give."""
+    spare = F.transform(texts, lambda t: F.greatest(F.length(t) - 1, F.lit(0)))
+    total = F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+    later = lambda i: F.aggregate(F.slice(spare, i + 2, F.size(texts)), F.lit(0), lambda n, c: n + c)
+
+    def one(text: Column, i: Column) -> Column:
+        gives = F.least(F.greatest(F.length(text) - 1, F.lit(0)), F.greatest(total - limit - later(i), F.lit(0)))
+        return F.when(gives > 0, F.concat(F.substr(text, F.lit(1), F.length(text) - gives - 1), F.lit("…"))).otherwise(text)
+
+    return F.transform(texts, one)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.functions.text import ascii_lower, fts_phrases, fts_text, split_csv
+from folium.functions.text import ascii_lower, fts_phrases, fts_text, split_csv, title_key_texts
+from folium.operators.ordered import keep_least
 
 UNKNOWN = "unknown"
 #: Rows of a page at most.
@@ -54,9 +56,10 @@ def matched(listing: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def numbered_page(rows: DataFrame, number: int, size: int, *columns: str) -> DataFrame:
-    """Page ``number``, from 1, of ``size`` rows, 1 to MOST_ROWS, each with the ``total`` of all pages' rows."""
+    """Page ``number``, from 1, of ``size`` rows, 1 to MOST_ROWS, each with the ``total`` of all pages' rows. Nothing runs
+    until the page is asked for."""
     size = min(max(size, 1), MOST_ROWS)
-    return page(rows, (max(number, 1) - 1) * size, size, *columns).withColumn("total", F.lit(rows.count()).cast("long"))
+    return page(rows, (max(number, 1) - 1) * size, size, *columns).withColumn("total", rows.agg(F.count("*").alias("total")).scalar())
 
 
 def page(rows: DataFrame, offset: int, limit: int, *columns: str) -> DataFrame:
@@ -123,24 +126,23 @@ def prefix_rank(titles: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
     return titles.where(F.col("key").startswith(prefix)).groupBy("series").agg(F.min(F.length("key")).alias("shortest")).orderBy("shortest", "series").limit(limit)
 
 
-def token_index(listing: DataFrame, path: str) -> None:
-    """The inverted index on disk: (token, module, link), in folders by the token's first two characters.
-
-    Rows are gathered by folder and a spread over links before they are written, so that a folder gets a few files,
-    and a common beginning is not one task's.
-    """
-    t = listing.select("module_id", "link", F.explode(F.array_distinct(F.concat(F.split(F.trim(fts_text(F.col("title"))), " "), F.split(F.trim(fts_text(F.col("alttitles"))), " ")))).alias("token"))
-    t = t.where("token <> ''").withColumn("prefix", F.substring("token", 1, 2))
-    t.repartition("prefix", F.pmod(F.xxhash64("link"), F.lit(8))).write.mode("overwrite").partitionBy("prefix").parquet(path)
-
-
-def search_index(spark, path: str, query: str, listing: DataFrame) -> DataFrame:
-    """Module and link of the rows of ``listing`` that match: the index finds those with all tokens of every word, the
-    last one as a prefix, and the predicate then tests the words as phrases on these rows alone."""
-    index, out = spark.read.parquet(path), None
-    for token, prefix in dict.fromkeys((t, i + 1 == len(ts)) for ts in map(str.split, fts_phrases(query)) for i, t in enumerate(ts)):
-        same = F.col("token").startswith(token) if prefix else F.col("token") == token
-        hit = index.where(F.col("prefix").startswith(token[:2]) & same).select("module_id", "link").distinct()
-        out = hit if out is None else out.join(hit, ["module_id", "link"], "left_semi")
-    rows = where(listing if out is None else listing.join(out, ["module_id", "link"], "left_semi"), query)
-    return rows.select("module_id", "link")
+#: Series offered for picking one by hand, at most.
+MOST_PICKS = 20
+
+
+def pick_search(series: DataFrame, titles: DataFrame, query: str, address: str) -> DataFrame:
+    """The rows of ``series`` offered for a pick, with their ``place``: an address, a pattern whose group is the id, finds its
+    series alone; a number finds its series first; then come titles that begin with the query, the shortest first."""
+    query = query.strip()
+    named = re.search(address, query)
+    if named:
+        return series.where(F.col("series") == int(named[1])).withColumn("place", F.lit(0))
+    own = series.where(F.col("series") == (int(query) if re.fullmatch(r"[+-]?[0-9]{1,18}", query) else None)).withColumn("place", F.lit(0))
+    keys = title_key_texts(query)
+    if not keys:
+        return own
+    ranked = prefix_rank(titles, keys[0], MOST_PICKS)
+    place = F.row_number().over(Window.orderBy("shortest", "series"))  # MOST_PICKS rows
+    begun = series.join(F.broadcast(ranked.select("series", place.alias("place"))), "series")
+    both = own.unionByName(begun.select(*own.columns))
+    return keep_least(both, ["series"], ["place"]).orderBy("place").limit(MOST_PICKS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from folium.operators.ordered import keep_least
@@ -70,6 +70,60 @@ def frontier(pages: DataFrame, known: DataFrame, sorted_site: bool = False) -> D
     return d.where("_k IS NULL").select("module_id", "link", "position")
 
 
-def cookie_matches(host: Column, path: Column, domain: Column, prefix: Column) -> Column:
-    """Whether a cookie's domain is the host or a parent of it and its path a prefix of the path."""
-    return ((host == domain) | F.endswith(host, F.concat(F.lit("."), domain))) & F.startswith(path, prefix)
+#: A URL's scheme, host and path, as Java regular expression groups.
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::[0-9]*)?([^?#]*)"
+
+
+def cookies_for(requests: DataFrame, cookies: DataFrame, now: Column) -> DataFrame:
+    """``request_id, name, value, place``: the cookies that go with each of ``requests (request_id, url)``.
+
+    ``cookies (place, name, value, domain, host_only, path, http_only, expires)``, ``expires`` null for as long as the
+    session. A cookie goes with its domain's host and, unless it is for the host only, with hosts below it; with a path
+    that is its own, or below it if its own ends in a slash; not once it has expired; and an http-only one with http
+    and https alone. Of cookies of one name the last by ``place`` gives the value.
+
+    Hosts are split into the domains that they lie in, so that domains are joined by equality.
+    """
+    part = lambda i: F.regexp_extract("url", _URL, i)
+    r = requests.select("request_id", F.lower(part(1)).alias("_scheme"), F.lower(part(2)).alias("_host"), F.when(part(3) == "", "/").otherwise(part(3)).alias("_path")).where("_scheme <> ''")
+    labels = F.split("_host", r"\.")
+    domains = F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    r = r.select("request_id", "_scheme", "_host", "_path", F.explode(F.array_distinct(domains)).alias("_domain"))
+    live = cookies.where((F.col("domain") != "") & (F.col("expires").isNull() | (F.col("expires") > now)))
+    d = r.join(live.withColumn("_key", F.lower("domain")), F.col("_domain") == F.col("_key"))
+    whole = F.col("_domain") == F.col("_host")
+    path = (F.lower("_path") == F.lower("path")) | (F.startswith("_path", F.col("path")) & F.endswith("path", F.lit("/")))
+    d = d.where(whole | (~F.coalesce("host_only", F.lit(False)) & (F.col("domain") == F.col("_domain"))))
+    d = d.where(path & (~F.coalesce("http_only", F.lit(False)) | F.col("_scheme").isin("http", "https")))
+    return d.groupBy("request_id", "name").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
+
+
+class Refused(ValueError):
+    """A snapshot that is empty or not whole, which nothing may be deleted for."""
+
+
+def trusted_diff(old: DataFrame, new: DataFrame, path: str, least_share: float = 0.0) -> DataFrame:
+    """:func:`snapshot_diff` against a new snapshot that is read once, written to ``path`` and let through only if it is whole.
+
+    ``new (path, hash)`` may have a boolean ``truncated``, true on any row of a listing that was cut short. What the
+    read meets is observed while it is written: no rows at all, a truncated listing, a row without path or hash, one
+    path with two hashes, or fewer than ``least_share`` of the old paths refuse it, before any comparison.
+    """
+    seen = Observation("snapshot")
+    cut_short = F.coalesce(F.col("truncated"), F.lit(False)) if "truncated" in new.columns else F.lit(False)
+    marks = [F.count("*").alias("n"), F.count_if(cut_short).alias("cut"), F.count_if(F.col("path").isNull() | F.col("hash").isNull()).alias("holes")]
+    new.observe(seen, *marks).select("path", "hash").write.mode("overwrite").parquet(path)
+    met = seen.get
+    if not met["n"]:
+        raise Refused("the snapshot is empty")
+    if met["cut"]:
+        raise Refused("the snapshot is truncated")
+    if met["holes"]:
+        raise Refused(f"{met['holes']} rows of the snapshot lack path or hash")
+    whole = old.sparkSession.read.parquet(path).distinct()
+    rows, paths = whole.agg(F.count("*"), F.count_distinct("path")).first()
+    if rows != paths:
+        raise Refused("a path of the snapshot has several hashes")
+    if least_share and paths < least_share * old.count():
+        raise Refused(f"the snapshot has only {paths} paths")
+    return snapshot_diff(old, whole)

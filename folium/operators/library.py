@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.functions.text import distinct_ci
+from folium.functions.text import distinct_ci, strip_marks
 
 #: File kinds in the order that breaks ties.
 FORMATS = ("folder", "cbz", "zip", "pdf", "epub")
@@ -139,3 +139,23 @@ def missing_files(chapters: DataFrame, files: DataFrame) -> DataFrame:
     names = chapters.withColumn("_n", F.explode(F.array(F.col("name"), numbered(F.col("position"), F.col("name")))))
     there = names.join(files.select("favorite_id", F.col("file").alias("_n")), ["favorite_id", "_n"], "left_semi").select("favorite_id", "position")
     return chapters.join(there, ["favorite_id", "position"], "left_anti")
+
+
+#: How a library is sorted.
+SORTS = ("library", "title", "new", "updated", "added")
+
+
+def sorted_favorites(rows: DataFrame, by: str) -> DataFrame:
+    """Favorites by title (case and marks ignored), by most new chapters, or by newest update or addition, those without
+    a time last; ties, and ``library`` itself, in library order. Columns: sort_order, display_title, new_chapters,
+    last_updated, date_added."""
+    if by not in SORTS:
+        raise ValueError(f"no such sort: {by}")
+    keys = {
+        "library": [],
+        "title": [F.lower(strip_marks(F.col("display_title")))],
+        "new": [F.desc("new_chapters")],
+        "updated": [F.desc_nulls_last("last_updated")],
+        "added": [F.desc_nulls_last("date_added")],
+    }
+    return rows.orderBy(*keys[by], "sort_order")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folium.functions.text import natural_key
 from folium.operators.ordered import keep_least
 
 #: Log levels by severity, the worst first.
@@ -78,13 +79,36 @@ def total_rate(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.coalesce(F.sum(F.when(F.col("active"), F.col("rate"))), F.lit(0.0)).alias("rate"))
 
 
-def open_until(now: Column, minutes: Column) -> Column:
-    """Until when a queue opened for some minutes stays open; null minutes, for ever."""
-    return F.when(minutes.isNotNull(), F.timestamp_millis(F.unix_millis(now) + minutes * 60_000))
-
-
 def window_open(seconds: Column, start: int, end: int) -> Column:
     """Whether a second of the day lies in a daily window, which may pass midnight; equal ends are always open."""
     if start == end:
         return F.lit(True)
     return (seconds >= start) & (seconds < end) if start < end else (seconds >= start) | (seconds < end)
+
+
+DAY = 86_400
+
+
+def until_open(seconds: Column, start: int, end: int) -> Column:
+    """Seconds from a second of the day until a daily window opens, past midnight too; null while it is open."""
+    wait = F.lit(start) - seconds
+    return F.when(~window_open(seconds, start, end), F.when(wait > 0, wait).otherwise(wait + DAY))
+
+
+#: The columns that tasks are sorted by, and the states' words.
+TASK_SORTS = ("queue", "title", "status", "progress", "speed", "website", "save_to", "added")
+
+
+def sorted_tasks(tasks: DataFrame, by: str, desc: bool = False) -> DataFrame:
+    """``tasks`` by a named column, ties in queue order; the other way round, ties are too.
+
+    Text compares naturally, progress as ``done/total``, the speed as a number, the time added as a time. Columns:
+    place, title, status, done, total, bytes_per_sec, module_id, save_to, date_added.
+    """
+    if by not in TASK_SORTS:
+        raise ValueError(f"no such sort: {by}")
+    progress = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"))
+    text = {"title": F.col("title"), "status": F.col("status"), "progress": progress, "website": F.col("module_id"), "save_to": F.col("save_to")}
+    keys = [natural_key(text[by])] if by in text else [F.col({"speed": "bytes_per_sec", "added": "date_added"}[by])] if by != "queue" else []
+    order = [*keys, F.col("place")]
+    return tasks.orderBy(*[k.desc() if desc else k.asc() for k in order])

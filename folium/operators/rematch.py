@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.operators import resolve
+from folium.sources.keyed_log import KeyedLog
 
 KEY = ["module_id", "link"]
 #: What matching reads of a title, besides the catalog's build.
@@ -16,58 +14,11 @@ READ = ["title", "alttitles", "authors", "artists"]
 MATCH = ["series_id", "confidence", "format", "publication", "year", "fingerprint"]
 
 
-class MatchLog:
-    """The stored matches as a log: each run writes the keys that it changed, beside the runs before it.
-
-    A run counts once its line is in ``_runs``; until then readers see the table as it was, and a run that died half-way
-    is written anew by its next try. A run that counts is never written again, so that repeating it changes nothing.
-    The current table is each key's newest row; :meth:`compact` folds the log into one full run.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self.schema = spark.createDataFrame([], schema).schema
-
-    def runs(self) -> list[tuple[int, bool]]:
-        """Runs that count, and whether each is a full table."""
-        try:
-            rows = self.spark.read.schema("run long, whole boolean").json(f"{self.root}/_runs").distinct().collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            rows = []
-        return sorted(tuple(r) for r in rows)
-
-    def changed(self, run: int) -> DataFrame:
-        """The keys that a run wrote; ``gone`` ones were taken out."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/run-{run}")
-
-    def current(self) -> DataFrame:
-        """Each key's newest row, with the run that wrote it."""
-        runs = self.runs()
-        full = max((n for n, whole in runs if whole), default=0)
-        parts = [self.changed(n).withColumn("_run", F.lit(n)) for n, _ in runs if n >= full]
-        if not parts:
-            return self.spark.createDataFrame([], self.schema).drop("gone")
-        rows = reduce(DataFrame.unionByName, parts)
-        newest = rows.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in KEY]), "_run").alias("r"))
-        return newest.where("NOT r.gone").select(*KEY, *[F.col("r")[c].alias(c) for c in self.schema.names if c not in (*KEY, "gone")])
-
-    def commit(self, rows: DataFrame, run: int, whole: bool = False) -> bool:
-        """Store a run; whether it was one that did not count yet."""
-        if any(n == run for n, _ in self.runs()):
-            return False
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/run-{run}")
-        self.spark.createDataFrame([(run, whole)], "run long, whole boolean").coalesce(1).write.mode("append").json(f"{self.root}/_runs")
-        return True
-
-    def compact(self, run: int) -> bool:
-        return self.commit(self.current().withColumn("gone", F.lit(False)), run, whole=True)
-
-
-def log_schema(listing: DataFrame) -> str:
+def match_log(spark: SparkSession, root: str, listing: DataFrame) -> KeyedLog:
+    """The stored matches of titles like those of ``listing``."""
     kind = {f.name: f.dataType.simpleString() for f in listing.schema.fields}
-    return f"module_id {kind['module_id']}, link {kind['link']}, series_id long, confidence string, format string, publication string, year int, fingerprint string, run long, gone boolean"
+    schema = f"module_id {kind['module_id']}, link {kind['link']}, series_id long, confidence string, format string, publication string, year int, fingerprint string, run long"
+    return KeyedLog(spark, root, schema, KEY)
 
 
 def fingerprint(build: str) -> Column:
@@ -96,7 +47,7 @@ def hand_picked(picked: DataFrame, series: DataFrame) -> DataFrame:
     return resolve.described(rows, series)
 
 
-def rematch(log: MatchLog, run: int, listing: DataFrame, favorites: DataFrame, picked: DataFrame, catalog: dict[str, DataFrame], build: str, everything: bool = False, most: int = resolve.MOST, xids: DataFrame | None = None) -> DataFrame:
+def rematch(log: KeyedLog, run: int, listing: DataFrame, favorites: DataFrame, picked: DataFrame, catalog: dict[str, DataFrame], build: str, everything: bool = False, most: int = resolve.MOST, xids: DataFrame | None = None) -> DataFrame:
     """One run: matches of links that neither a list, nor a favorite, nor a pick has go; picks are stored; what is due is
     decided and stored. Returns what the run changed.
 
@@ -105,7 +56,7 @@ def rematch(log: MatchLog, run: int, listing: DataFrame, favorites: DataFrame, p
     without and stored as changed, so that the next run asks again. Tables are joined by key; none of the titles that
     are not due goes further than that.
     """
-    if any(n == run for n, _ in log.runs()):
+    if log.counts(run):
         return log.changed(run)
     stored, series = log.current(), catalog["series"]
     kept = favorites.select(*KEY).unionByName(picked.select(*KEY)).unionByName(listing.select(*KEY)).distinct()

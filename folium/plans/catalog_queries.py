@@ -8,7 +8,9 @@ from folium.functions.text import ascii_lower, link_key, split_csv
 from folium.operators import catalog, resolve
 from folium.operators.ordered import keep_one
 from folium.schemas import LISTING_SQL, MATCHES_SQL, listing, matches, table
+from folium.shared import scratch
 from folium.sources import io
+from folium.sources.search_index import SearchIndex
 
 PAGE = ("module_id", "link", "title")
 _FTS = r"' ' || trim(regexp_replace(lower(strip_accents({c})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -55,6 +57,38 @@ def search_term_and_filters(spark, sf):
     return catalog.page(catalog.where(listing(spark, sf), query="st", exclude=("brand#1",), status="1"), 0, 50, *PAGE)
 
 
+def index_search(spark, sf):
+    """A search of two words through the index on disk."""
+    rows = listing(spark, sf)
+    index = SearchIndex(spark, scratch(spark, "index"), rows)
+    index.replace(rows)
+    return index.search('"SMALL ri').select(*PAGE)
+
+
+def index_upkeep(spark, sf):
+    """Searches through the index after one module was replaced by fewer rows of other titles, and one was emptied."""
+    rows = listing(spark, sf)
+    index = SearchIndex(spark, scratch(spark, "index"), rows)
+    index.replace(rows)
+    later = rows.where("module_id = 'Brand#11' AND link % 2 = 0").withColumn("title", F.concat(F.lit("Nouvelle "), "title"))
+    index.replace(later, ["Brand#11", "Brand#7"])
+    found = [index.search(q, m).select(*PAGE) for q, m in (("nouv", None), ("st", ["Brand#11", "Brand#12"]), ("", ["Brand#7", "Brand#11", "Brand#8"]))]
+    return found[0].withColumn("search", F.lit("word")).unionByName(found[1].withColumn("search", F.lit("modules"))).unionByName(found[2].withColumn("search", F.lit("all")))
+
+
+def pick_search(spark, sf):
+    """Series to pick by hand, by an address, by a number, and by the beginning of a title."""
+    p = table(spark, sf, "part")
+    series = p.select(F.col("p_partkey").alias("series"), F.col("p_name").alias("title"))
+    titles = p.select(F.concat(F.lower("p_name"), F.when(F.col("p_size") % 2 == 0, F.lit(" too")).otherwise(F.lit(""))).alias("key"), F.col("p_partkey").alias("series"))
+    titles = titles.unionByName(p.select(F.concat((F.col("p_partkey") % 50).cast("string"), F.lit(" "), F.lower("p_name")).alias("key"), F.col("p_partkey").alias("series")))
+    out = None
+    for query in (" https://site.org/series/17/red ", "12", "  Small (colored) ", "999999999", "..."):
+        one = catalog.pick_search(series, titles, query, r"site\.org/series/(\d+)").withColumn("query", F.lit(query))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def facet_counts(spark, sf):
     return catalog.facets(catalog.matched(listing(spark, sf), matches(spark, sf)))
 
@@ -173,6 +207,20 @@ for _f, _sql in (
     (list_summaries, "WITH u AS (SELECT p_brand module_id, max(epoch(l_shipdate))::BIGINT updated_at FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT module_id, sum(n)::BIGINT n, max(updated_at) updated_at FROM (SELECT p_brand module_id, count(*) n, NULL::BIGINT updated_at FROM part GROUP BY 1 UNION ALL SELECT module_id, 0, updated_at FROM u) GROUP BY 1"),
     (prune_unlisted, f"SELECT link, series_id FROM {MATCHES_SQL} WHERE link NOT IN (SELECT p_partkey FROM part WHERE p_size % 4 <> 0) AND link NOT IN (SELECT p_partkey FROM part WHERE p_size = 7)"),
     (pending_by_fingerprint, f"WITH i AS (SELECT link, md5(title || chr(31) || alttitles || chr(31) || link) fingerprint FROM {LISTING_SQL}), s AS (SELECT link, CASE WHEN link % 7 = 0 THEN 'old' WHEN link % 11 = 0 THEN NULL ELSE fingerprint END old FROM i WHERE link % 3 <> 0) SELECT link, fingerprint FROM i LEFT JOIN s USING (link) WHERE fingerprint IS DISTINCT FROM old"),
+    (index_search, f"SELECT module_id, link, title FROM {LISTING_SQL} WHERE {_fts('small')} AND {_fts('ri')}"),
+    (
+        index_upkeep,
+        f"""WITH l AS (SELECT * REPLACE (CASE WHEN module_id = 'Brand#11' THEN 'Nouvelle ' || title ELSE title END AS title) FROM {LISTING_SQL} WHERE module_id <> 'Brand#7' AND (module_id <> 'Brand#11' OR link % 2 = 0))
+        SELECT module_id, link, title, 'word' AS search FROM l WHERE {_fts('nouv')} UNION ALL SELECT module_id, link, title, 'modules' FROM l WHERE module_id IN ('Brand#11', 'Brand#12') AND {_fts('st')} UNION ALL SELECT module_id, link, title, 'all' FROM l WHERE module_id IN ('Brand#11', 'Brand#8')""",
+    ),
+    (
+        pick_search,
+        """WITH t AS (SELECT lower(p_name) || CASE WHEN p_size % 2 = 0 THEN ' too' ELSE '' END k, p_partkey s FROM part UNION ALL SELECT p_partkey % 50 || ' ' || lower(p_name), p_partkey FROM part),
+        r AS (SELECT s, min(length(k)) n, row_number() OVER (ORDER BY min(length(k)), s) i FROM t WHERE starts_with(k, '12') GROUP BY s ORDER BY n, s LIMIT 20),
+        n AS (SELECT 12 s, 0 i UNION ALL SELECT s, i FROM r WHERE s <> 12 ORDER BY i LIMIT 20),
+        w AS (SELECT s, row_number() OVER (ORDER BY min(length(k)), s) i FROM t WHERE starts_with(k, 'small colored') GROUP BY s ORDER BY min(length(k)), s LIMIT 20)
+        SELECT p_partkey AS series, p_name title, i::INT place, q AS query FROM (SELECT 17 s, 0 i, ' https://site.org/series/17/red ' q UNION ALL SELECT s, i, '12' FROM n UNION ALL SELECT s, i, '  Small (colored) ' FROM w) JOIN part ON p_partkey = s""",
+    ),
     (title_prefix_rank, "SELECT p_partkey series, min(length(p_name))::INT shortest FROM part WHERE starts_with(lower(p_name), 'bl') GROUP BY 1 ORDER BY 2, 1 LIMIT 20"),
     (pick_search, "SELECT series, title, min(priority)::INT priority FROM (SELECT p_partkey series, p_name title, 0 priority FROM part WHERE p_partkey = 42 UNION ALL SELECT p_partkey, p_name, 1 FROM part WHERE starts_with(lower(p_name), 's')) GROUP BY 1, 2 ORDER BY 3, length(title), series LIMIT 20"),
     (upsert_rows, "SELECT p_partkey link, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END title FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0"),

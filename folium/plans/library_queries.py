@@ -9,6 +9,7 @@ from folium.operators import compare, library, ordered, queue
 from folium.schemas import spread, table
 from folium.sources import io, pages
 from folium.streaming import events as streams
+from folium.streaming import stateful
 
 
 def _orders(spark, sf):
@@ -265,7 +266,7 @@ def stream_replay_dedup(spark, sf):
 
 
 def stream_throttle(spark, sf):
-    return streams.run(streams.throttled(streams.source(spark, sf), gap_ms=3_600_000)).groupBy("key").agg(F.count("*").alias("n"))
+    return stateful.run_to_end(streams.source(spark, sf), lambda s: stateful.throttled(s, gap_ms=3_600_000)).groupBy("key").agg(F.count("*").alias("n"))
 
 
 _N = "(SELECT event_id seq, ['ERROR','WARN','INFO','DEBUG','TRACE'][event_id % 5 + 1] AS level, event_type target FROM events)"

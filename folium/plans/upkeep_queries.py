@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from folium.functions import clean, names
 from folium.operators import catalog, library, ordered, queue, rematch, resolve
 from folium.schemas import LISTING_SQL, MATCHES_SQL, listing, matches, table
+from folium.shared import scratch
 from folium.streaming import events as streams
+from folium.streaming import stateful
 
 
 def resolve_tiers(spark, sf):
@@ -48,7 +50,7 @@ def _rematched(spark, sf, runs):
     log = None
     for run in range(1, runs + 1):
         tables = _rematch_tables(spark, sf, run)
-        log = log or rematch.MatchLog(spark, streams.shared(spark), rematch.log_schema(tables[0]))
+        log = log or rematch.match_log(spark, scratch(spark, "matches"), tables[0])
         rematch.rematch(log, run, *tables)
     return log.current()
 
@@ -195,7 +197,8 @@ def log_merge(spark, sf):
 
 def stream_failures(spark, sf):
     """Failures in a row at each check of a stream, and until when failing keys rest."""
-    return streams.run(streams.failures(streams.source(spark, sf), F.col("event_type").isin("error", "view"))).select("event_id", "key", "failures", "rests_until")
+    failed = F.col("event_type").isin("error", "view")
+    return stateful.run_to_end(streams.source(spark, sf), lambda s: stateful.failures(s, failed)).select("event_id", "key", "failures", "rests_until")
 
 
 def _rematch_sql(runs):

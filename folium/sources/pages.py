@@ -6,6 +6,7 @@ a.id < d.id <= a.last. Sibling places are columns, so positional tests are plain
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folium.functions.text import ascii_lower
+
 #: Fixed values of the HTML standard: elements without content, and what closes an open element of its kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -20,7 +23,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements that stand in the head; any other opens the body where the page leaves it out.
 HEAD = frozenset("title meta link style script base noscript template".split())
 
-NODE = "id int, parent int, last int, depth int, kind string, name string, value string, attrs map<string,string>, begin int, end int, nth int, nth_last int, nth_of_type int, n_children int"
+NODE = "id int, parent int, last int, depth int, kind string, name string, value string, attrs map<string,string>, begin int, end int, nth int, nth_last int, nth_of_type int, nth_last_of_type int, n_children int"
 
 
 class _Nodes(HTMLParser):
@@ -100,7 +103,7 @@ def page_rows(html: str | None) -> list[dict]:
     p.shut(0)
     children: dict[int, list[dict]] = {}
     for r in p.rows:
-        r |= {"nth": None, "nth_last": None, "nth_of_type": None, "n_children": 0}
+        r |= {"nth": None, "nth_last": None, "nth_of_type": None, "nth_last_of_type": None, "n_children": 0}
         if r["kind"] == "element":
             children.setdefault(r["parent"], []).append(r)
     for parent, mine in children.items():
@@ -108,6 +111,8 @@ def page_rows(html: str | None) -> list[dict]:
         for k, r in enumerate(mine):
             kinds[r["name"]] = kinds.get(r["name"], 0) + 1
             r |= {"nth": k + 1, "nth_last": len(mine) - k, "nth_of_type": kinds[r["name"]]}
+        for r in mine:
+            r["nth_last_of_type"] = kinds[r["name"]] - r["nth_of_type"] + 1
         if parent:
             p.rows[parent - 1]["n_children"] = len(mine)
     return p.rows
@@ -115,7 +120,7 @@ def page_rows(html: str | None) -> list[dict]:
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``key`` and the NODE columns, one row per node of each page."""
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("value", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("begin", pa.int32()), ("end", pa.int32()), ("nth", pa.int32()), ("nth_last", pa.int32()), ("nth_of_type", pa.int32()), ("n_children", pa.int32())]))
+    kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("value", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("begin", pa.int32()), ("end", pa.int32()), ("nth", pa.int32()), ("nth_last", pa.int32()), ("nth_of_type", pa.int32()), ("nth_last_of_type", pa.int32()), ("n_children", pa.int32())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +142,77 @@ def has_class(name: str) -> Column:
 
 
 def nth_child(a: int, b: int, column: str = "nth") -> Column:
-    """The an+b test on a sibling place."""
+    """The an+b test on a sibling place: ``nth``, ``nth_last``, ``nth_of_type`` or ``nth_last_of_type``."""
     d = F.col(column) - b
     return (d == 0) if a == 0 else (d % a == 0) & (d / a >= 0)
 
 
+def attr_test(name: str, op: str = "", value: str = "") -> Column:
+    """An attribute selector: there, ``=``, ``^=``, ``$=``, ``*=``, or a part between blanks ``~=`` or dashes ``|=``; ASCII
+    case is ignored."""
+    own, text = ascii_lower(F.coalesce(attr(name), F.lit(""))), F.lit(value.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    tests = {"": F.lit(True), "=": own == text, "^=": F.startswith(own, text), "$=": F.endswith(own, text), "*=": F.contains(own, text), "~=": F.array_contains(F.split(own, " "), text), "|=": F.array_contains(F.split(own, "-"), text)}
+    return attr(name).isNotNull() & tests[op]
+
+
+def pseudo(name: str) -> Column:
+    """A pseudo class that a node's own columns tell. ``empty`` is a node without any node below it, text included."""
+    return {
+        "root": F.col("parent") == 0,
+        "first-child": F.col("nth") == 1,
+        "last-child": F.col("nth_last") == 1,
+        "only-child": (F.col("nth") == 1) & (F.col("nth_last") == 1),
+        "first-of-type": F.col("nth_of_type") == 1,
+        "last-of-type": F.col("nth_last_of_type") == 1,
+        "only-of-type": (F.col("nth_of_type") == 1) & (F.col("nth_last_of_type") == 1),
+        "empty": F.col("last") == F.col("id"),
+        "link": (F.col("name") == "a") & attr("href").isNotNull(),
+        "checked": attr("checked").isNotNull(),
+    }[name]
+
+
+def in_language(all_nodes: DataFrame, lang: str, key: str = "page_id") -> DataFrame:
+    """Elements whose nearest ``lang``, their own or that of an element around them, is the one asked for.
+
+    Only elements with the attribute are joined, by their interval within the page.
+    """
+    own = all_nodes.where((F.col("kind") == "element") & attr("lang").isNotNull()).select(F.col(key).alias("_k"), F.col("id").alias("_id"), F.col("last").alias("_last"), ascii_lower(attr("lang")).alias("_lang"))
+    elements = all_nodes.where("kind = 'element'")
+    near = elements.select(key, "id").join(own, (F.col(key) == F.col("_k")) & (F.col("id") >= F.col("_id")) & (F.col("id") <= F.col("_last")))
+    told = near.groupBy(key, "id").agg(F.max_by("_lang", "_id").alias("_lang")).where(F.col("_lang") == lang.lower()).select(key, "id")
+    return elements.join(told, [key, "id"], "left_semi")
+
+
+def select(all_nodes: DataFrame, first: Column, *steps: tuple[str, Column], key: str = "page_id") -> DataFrame:
+    """Elements by a selector: those that pass ``first``, then for each further ``(combinator, test)`` those that pass the
+    test and stand below (blank), right below (``>``), right after (``+``) or after (``~``) one found so far, each once.
+
+    ``>``, ``+`` and ``~`` are equality joins: by parent, by parent and place, and by parent with the first place that
+    was found there. A test may be on any column, so groups are ``|`` of tests, and ``:not`` of a test is ``~``.
+    """
+    elements = all_nodes.where("kind = 'element'")
+    found = elements.where(first)
+    for combinator, test in steps:
+        if combinator == " ":
+            found = step(elements, found, "descendant", test, key)
+        elif combinator == ">":
+            found = step(elements, found, "child", test, key)
+        elif combinator == "+":
+            after = found.select(F.col(key).alias("_k"), F.col("parent").alias("_parent"), (F.col("nth") + 1).alias("_nth"))
+            found = elements.where(test).join(after, (F.col(key) == F.col("_k")) & (F.col("parent") == F.col("_parent")) & (F.col("nth") == F.col("_nth")), "left_semi")
+        elif combinator == "~":
+            least = found.groupBy(F.col(key).alias("_k"), F.col("parent").alias("_parent")).agg(F.min("nth").alias("_nth"))
+            found = elements.where(test).join(least, (F.col(key) == F.col("_k")) & (F.col("parent") == F.col("_parent")) & (F.col("nth") > F.col("_nth")), "left_semi")
+        else:
+            raise ValueError(f"no such combinator: {combinator}")
+    return found
+
+
+def without(found: DataFrame, others: DataFrame, key: str = "page_id") -> DataFrame:
+    """``:not`` of a whole selector: the found nodes that it did not find."""
+    return found.join(others.select(key, "id"), [key, "id"], "left_anti")
+
+
 def step(all_nodes: DataFrame, context: DataFrame, axis: str, test: Column, key: str = "page_id") -> DataFrame:
     """Nodes on an axis of any context node for which ``test`` holds, each once.
 

@@ -1,27 +1,11 @@
-"""Event streams: merge, resume without repeats, throttle, pauses, token bucket, speed history."""
+"""Event streams: merge, resume without repeats, speed history. Those with keyed state are in ``stateful``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-GAP_MS = 250
-
 
-def shared(spark: SparkSession) -> str:
-    """A fresh folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="folium-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from folium.shared import scratch
 
 
 def source(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
@@ -31,10 +15,10 @@ def source(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> Data
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(stream: DataFrame, schema_of: DataFrame | None = None) -> DataFrame:
+def run(stream: DataFrame) -> DataFrame:
     """Everything the stream has so far, through a file sink, as a table."""
     spark = stream.sparkSession
-    folder = shared(spark)
+    folder = scratch(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -55,89 +39,26 @@ def resumed(stream: DataFrame, last: int, key: str = "event_id", delay: str = "1
     return stream.where(F.col(key) > last).withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def throttled(stream: DataFrame, key: str = "user_id", gap_ms: int = GAP_MS, last: Column | None = None, delay: str = "1 hour") -> DataFrame:
-    """Per key, events at least ``gap_ms`` after the last one let through, by event time; those marked ``last`` always go.
-
-    A key's state goes once the watermark is a gap past it: whatever comes later may go anyway. Events over ``delay``
-    late are dropped. One key's events of one micro-batch, which maxFilesPerTrigger bounds, are folded together.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at_last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        keep = []
-        for at, final in zip(rows["at"], rows["final"], strict=True):
-            ok = bool(final) or at_last is None or at - at_last >= gap_ms
-            keep.append(ok)
-            at_last = at if ok else at_last
-        state.update((int(at_last),))
-        state.setTimeoutTimestamp(max(int(at_last) + gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows[keep][["event_id", "key", "at"]]
-
-    final = F.lit(False) if last is None else F.coalesce(last, F.lit(False))
-    d = stream.withWatermark("ts", delay).select("ts", "event_id", F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"), final.alias("final"))
-    return d.groupBy("key").applyInPandasWithState(step, "event_id long, key long, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def failures(stream: DataFrame, failed: Column, key: str = "user_id", least: int = 3, hours: int = 24) -> DataFrame:
-    """Each check with its key's failures in a row so far, and until when a failing key rests (null if it is not failing)."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows, row = pd.concat(list(batches)).sort_values(["at", "event_id"]), []
-        for bad in rows["failed"]:
-            n = n + 1 if bad else 0
-            row.append(n)
-        state.update((n,))
-        rest = (rows["at"] + hours * 3_600_000).where([x >= least for x in row]).astype("Int64")
-        yield rows.assign(failures=row, rests_until=rest)[["event_id", "key", "failures", "rests_until"]]
-
-    d = stream.select("event_id", F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"), failed.alias("failed"))
-    return d.groupBy("key").applyInPandasWithState(step, "event_id long, key long, failures long, rests_until long", "failures long", "append", GroupStateTimeout.NoTimeout)
-
-
-def pauses(stream: DataFrame, default_ms: int = 600_000) -> DataFrame:
-    """Per key, until when it is paused: a later notice extends the pause and never shortens it."""
-    until = F.unix_millis("ts") + F.coalesce(F.col("pause_ms"), F.lit(default_ms))
-    return stream.groupBy("key").agg(F.max(until).alias("until"))
-
-
 def speeds(stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Sums per second."""
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 second")).agg(F.sum("value").alias("value")).select(F.col("window.start").alias("second"), "value")
 
 
-def token_bucket(rows: DataFrame, key: str, rate_per_s: float, burst: float) -> DataFrame:
-    """When each request of a key may go: tokens refill with time up to the burst and are paid after use. One key's
-    requests are folded in order of their time; keys are independent."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        tokens, last, out = burst, None, []
-        for at, cost in zip(pdf["at"], pdf["cost"], strict=True):
-            start = at if last is None else max(at, last)
-            if last is not None:
-                tokens = min(burst, tokens + (start - last) * rate_per_s / 1000)
-            if tokens < 0:
-                start, tokens = start - tokens * 1000 / rate_per_s, 0.0
-            tokens -= cost
-            last = start
-            out.append(start)
-        return pdf.assign(goes_at=[float(x) for x in out])[["id", "key", "goes_at"]]
+#: Samples of a speed history: five minutes of one a second.
+SAMPLES = 300
 
-    return rows.select("id", F.col(key).alias("key"), F.col("at").cast("double"), F.col("cost").cast("double")).groupBy("key").applyInPandas(fold, "id long, key long, goes_at double")
 
+def speed_history(sums: DataFrame, most: int = SAMPLES) -> DataFrame:
+    """The newest ``most`` seconds up to the last one of ``sums (second, value)``, in order; seconds without any are 0."""
+    end = F.max(F.unix_seconds("second")).alias("_end")
+    seconds = sums.agg(end).where("_end IS NOT NULL").select(F.explode(F.sequence(F.col("_end") - (most - 1), F.col("_end"))).alias("_s"))  # ``most`` rows
+    have = sums.select(F.unix_seconds("second").alias("_s"), "value")
+    first = sums.agg(F.min(F.unix_seconds("second")).alias("_first"))
+    rows = seconds.join(have, "_s", "left").where(F.col("_s") >= first.scalar())
+    return rows.select(F.timestamp_seconds("_s").alias("second"), F.coalesce("value", F.lit(0.0)).alias("value")).orderBy("second")
 
-def kept_newest(stream: DataFrame, path: str, most: int):
-    """A bounded table of the newest lines: each micro-batch is merged by sequence number and cut to ``most``."""
-    spark = stream.sparkSession
-
-    def batch(rows: DataFrame, epoch: int) -> None:
-        old = f"{path}/{epoch - 1}"
-        both = rows if epoch == 0 else spark.read.parquet(old).unionByName(rows)
-        both.dropDuplicates(["seq"]).orderBy(F.desc("seq")).limit(most).write.mode("overwrite").parquet(f"{path}/{epoch}")
 
-    return stream.writeStream.foreachBatch(batch)
+def typed(stream: DataFrame, column: str, names: tuple[str, ...]) -> DataFrame:
+    """A stream whose ``column`` holds one of ``names``; any other value stops it with an error that says which."""
+    wrong = F.raise_error(F.concat(F.lit("no such event: "), F.coalesce(F.col(column), F.lit("null"))))
+    return stream.withColumn(column, F.when(F.coalesce(F.col(column).isin(*names), F.lit(False)), F.col(column)).otherwise(wrong))

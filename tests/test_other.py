@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from folium.functions import clean, codecs, names, text
 from folium.operators import compare, library, ordered, queue
 from folium.sources import io, pages
-from folium.streaming import events
+from folium.streaming import events, stateful
 
 
 @pytest.mark.parametrize(
@@ -79,8 +79,6 @@ def test_names():
 
 
 def test_queue_upkeep(spark, tmp_path):
-    t = spark.createDataFrame([("2024-01-01 00:00:00", 90), ("2024-01-01 00:00:00", None)], "n string, m int").select(queue.open_until(F.col("n").cast("timestamp"), F.col("m")).cast("string").alias("u"))
-    assert [r.u for r in t.collect()] == ["2024-01-01 01:30:00", None]
     for name, seq in (("a.jsonl.1", 1), ("a.jsonl", 2)):
         (tmp_path / name).write_text(f'{{"seq": {seq}, "level": "INFO"}}\n')
     assert [r.seq for r in io.log_files(spark, str(tmp_path)).collect()] == [1, 2]
@@ -125,7 +123,7 @@ def test_pages(spark):
 
 def test_streams(spark):
     sf = "/root/testdata/sf0.001"
-    got = {r.key: r.n for r in events.run(events.throttled(events.source(spark, sf), gap_ms=86_400_000)).groupBy("key").agg(F.count("*").alias("n")).collect()}
+    got = {r.key: r.n for r in stateful.run_to_end(events.source(spark, sf), lambda s: stateful.throttled(s, gap_ms=86_400_000)).groupBy("key").agg(F.count("*").alias("n")).collect()}
     want: dict = {}
     last: dict = {}
     for r in spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id", "unix_millis(cast(ts as timestamp)) AS at", "event_id").orderBy("at", "event_id").collect():
@@ -133,13 +131,18 @@ def test_streams(spark):
             last[r.user_id] = r.at
             want[r.user_id] = want.get(r.user_id, 0) + 1
     assert got == want
-    s = events.source(spark, sf)
-    always = events.run(events.throttled(s, gap_ms=86_400_000, last=F.col("event_id") % 7 == 0)).select("event_id").collect()
+    always = stateful.run_to_end(events.source(spark, sf), lambda s: stateful.throttled(s, gap_ms=86_400_000, last=F.col("event_id") % 7 == 0)).select("event_id").collect()
     assert {r.event_id for r in always} >= {r.event_id for r in spark.read.parquet(f"{sf}/events.parquet").where("event_id % 7 = 0").collect()}
-    d = spark.createDataFrame([(1, 7, 0.0, 4.0), (2, 7, 0.0, 4.0), (3, 7, 10_000.0, 1.0)], "id long, k long, at double, cost double")
-    assert [r.goes_at for r in events.token_bucket(d, "k", 2.0, 1.0).orderBy("id").collect()] == [0.0, 1500.0, 10_000.0]
-    p = spark.createDataFrame([("a", 100, None), ("a", 50, 1000), ("b", 0, 5)], "key string, s int, pause_ms long").withColumn("ts", F.timestamp_seconds("s"))
-    assert {r.key: r.until for r in events.pauses(p).collect()} == {"a": 700_000, "b": 5}
+    d = spark.createDataFrame([(0, 1.0), (2, 3.0), (3, None), (400, 5.0)], "s int, value double").select(F.timestamp_seconds("s").alias("second"), "value")
+    got = [(int(r.second.timestamp()), r.value) for r in events.speed_history(d).collect()]
+    assert len(got) == 300 and got[0] == (101, 0.0) and got[-1] == (400, 5.0)
+    assert [(int(r.second.timestamp()), r.value) for r in events.speed_history(d.where("s < 9")).collect()] == [(0, 1.0), (1, 0.0), (2, 3.0), (3, 0.0)]
+    assert events.speed_history(d.limit(0)).collect() == []
+    named = events.source(spark, sf).select("event_id", "event_type")
+    kinds = tuple(r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().collect())
+    assert events.run(events.typed(named, "event_type", kinds)).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    with pytest.raises(Exception, match=f"no such event: {kinds[0]}"):
+        events.run(events.typed(named, "event_type", kinds[1:]))
 
 
 def test_small_operators(spark):
@@ -148,10 +151,11 @@ def test_small_operators(spark):
     assert got == {0: 0, 2: 2, 4: 4, 5: 1, 3: 3, 1: 5}
     f = spark.createDataFrame([("a", 40, 3), ("b", 40, 2), ("c", 40, 1)], "path string, size long, s int").withColumn("used_at", F.timestamp_seconds("s"))
     assert [r.path for r in compare.evict(f, 80).collect()] == ["c"]
-    c = spark.createDataFrame([("a.b.c", "/x/y", "b.c", "/x"), ("ab.c", "/x", "b.c", "/")], "h string, p string, d string, q string")
-    assert [r.m for r in c.select(compare.cookie_matches(F.col("h"), F.col("p"), F.col("d"), F.col("q")).alias("m")).collect()] == [True, False]
     t = spark.createDataFrame([(1, "2020-06-01 12:00:00")], "i int, s string").select(io.local_to_utc(F.col("s").cast("timestamp"), "Europe/Berlin").cast("string").alias("u"))
     assert t.first().u == "2020-06-01 10:00:00"
+    # in the gap of spring and the overlap of autumn the offset before the change counts
+    odd = spark.createDataFrame([(1, "2020-03-29 02:30:00"), (2, "2020-10-25 02:30:00"), (3, "2020-03-29 03:00:00"), (4, "2020-10-25 03:00:00")], "i int, s string").select("i", io.local_to_utc(F.col("s").cast("timestamp"), "Europe/Berlin").cast("string").alias("u"))
+    assert [r.u for r in odd.orderBy("i").collect()] == ["2020-03-29 01:30:00", "2020-10-25 00:30:00", "2020-03-29 01:00:00", "2020-10-25 02:00:00"]
     m = spark.createDataFrame([(1, "cbz"), (1, "folder"), (2, "pdf"), (2, "pdf"), (2, "cbz")], "k int, format string")
     assert {r.k: r.format for r in library.majority_format(m, "k").collect()} == {1: "folder", 2: "pdf"}
 

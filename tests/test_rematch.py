@@ -26,7 +26,7 @@ def table(log):
 
 
 def log_of(spark, tmp_path):
-    return rematch.MatchLog(spark, f"file://{tmp_path}/log", "module_id string, link string, series_id long, confidence string, format string, publication string, year int, fingerprint string, run long, gone boolean")
+    return rematch.match_log(spark, f"file://{tmp_path}/log", spark.createDataFrame([], LISTED))
 
 
 def test_only_what_changed(spark, tmp_path):
