@@ -86,5 +86,9 @@ def page_name(template: str, name: Column, place: Column) -> Column:
 
 
 def fitted(name: Column, most: int) -> Column:
-    """The end of a name, at most ``most`` characters."""
-    return F.when(F.length(name) > most, F.substring(name, -most, most)).otherwise(name)
+    """The end of a name, at most ``most`` UTF-16 units; a character of two of which one fits goes."""
+    units = F.encode(name, "UTF-16BE")
+    tail = F.substring(units, -2 * most, 2 * most) if most else F.lit(b"")
+    half = F.hex(F.substring(tail, 1, 1)).between("DC", "DF")  # the second half of a character
+    whole = F.when(half, F.substring(tail, 3, 2 * most)).otherwise(tail)
+    return F.when(F.octet_length(units) > 2 * most, F.decode(whole, "UTF-16BE")).otherwise(name)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folium.operators.ordered import keep_least
+from folium.operators.scans import pieces, running
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -22,19 +23,11 @@ def run_verdicts(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def evict(files: DataFrame, cap: int) -> DataFrame:
-    """Files that go, least recently used first, until the rest fits under ``cap``.
-
-    Sizes are summed per day of use first. Days wholly under or over the cap are told by their sums; only the day in
-    which the cap falls is summed row by row.
-    """
-    d = files.withColumn("_day", F.date_trunc("day", "used_at"))
-    days = d.groupBy("_day").agg(F.sum("size").alias("_sum"))
-    newer = F.sum("_sum").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1))  # a row per day
-    d = d.join(days.select("_day", F.coalesce(newer, F.lit(0)).alias("_before"), "_sum"), "_day").where(F.col("_before") + F.col("_sum") > cap)
-    whole = d.where(F.col("_before") > cap)
-    upto = F.col("_before") + F.sum("size").over(Window.partitionBy("_day").orderBy(F.desc("used_at"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0))
-    part = d.where(F.col("_before") <= cap).withColumn("_upto", upto).where(F.col("_upto") > cap)
-    return whole.select("path", "size", "used_at").unionByName(part.select("path", "size", "used_at"))
+    """Files that go, least recently used first, until the rest fits under ``cap``: those up to which the sizes of the
+    newer ones, summed over ranges of files, are more than that. A file of no known size goes like its neighbours."""
+    order = [F.desc("used_at"), F.desc("path")]
+    d = pieces(files.select("path", "size", "used_at"), [], order)
+    return running(d, [], order, _upto=("sum", "size")).where(F.col("_upto") > cap).select("path", "size", "used_at")
 
 
 def prioritised_union(parts: list[DataFrame], excluded: DataFrame) -> DataFrame:

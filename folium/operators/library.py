@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions.text import distinct_ci, strip_marks
+from folium.operators import scans
 
 #: File kinds in the order that breaks ties.
 FORMATS = ("folder", "cbz", "zip", "pdf", "epub")
@@ -93,11 +94,12 @@ def tags_match(tags: str, include: list[str], exclude: list[str]) -> Column:
 
 
 def sections(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Rows under their groups in the groups' order, unknown groups as ungrouped (last), empty groups left out."""
+    """Rows under their groups in the groups' order, unknown groups as ungrouped (last), empty groups left out. Sections
+    are numbered by ranges, so that one of any size will do."""
     g = groups.select("group_id", "group_name", "sort_order")
     d = rows.join(g, "group_id", "left").withColumn("section", F.coalesce("group_name", F.lit("Ungrouped")))
-    w = Window.partitionBy("section").orderBy(key)
-    return d.select("section", F.coalesce("sort_order", F.lit(2_147_483_647)).alias("section_order"), key, F.row_number().over(w).alias("place"))
+    d = d.select("section", F.coalesce("sort_order", F.lit(2_147_483_647)).alias("section_order"), key)
+    return scans.numbered(d, [key], "place", ["section"]).withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def distinct_chapters(chapters: DataFrame, key: str, link: str) -> DataFrame:

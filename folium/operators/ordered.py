@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.operators.scans import numbered
+from folium.operators.scans import numbered, pieces, running
 from folium.shared import cut
 
 
@@ -31,12 +31,12 @@ def appended(old: DataFrame, new: DataFrame, group: str, order: str, place: str)
 
 
 def runs(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Runs of values at most one apart, per group: first, last and length."""
-    w = Window.partitionBy(group).orderBy(value)
-    step = F.col(value) - F.lag(value).over(w)
-    marked = rows.select(group, value, F.when((step > 0) & (step <= 1), 0).otherwise(1).alias("_new"))
-    marked = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(group, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("run")
+    """Runs of values at most one apart, per group: first, last and length. A group's rows may lie in many ranges."""
+    d = running(pieces(rows.select(group, value), [group], [value]), [group], [value], _before=("last", value, False))
+    step = F.col(value) - F.col("_before")
+    d = d.withColumn("_new", F.when((step > 0) & (step <= 1), 0).otherwise(1))
+    d = running(d, [group], [value], run=("sum", "_new"))
+    return d.groupBy(group, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("run")
 
 
 _NUMBER = r"^(.*?)([0-9]+(?:\.[0-9]+)?)([^0-9]*)$"

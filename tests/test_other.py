@@ -78,6 +78,18 @@ def test_names():
     assert names.renamed("[%AUTHOR%]", v | {"chapter": "c", "numbering": "0007"}, fix) == "0007"
 
 
+def test_fitted_names_count_utf16_units(spark):
+    def plain(name, most):
+        while len(name.encode("utf-16-le")) // 2 > most:
+            name = name[1:]
+        return name
+
+    cases = ["abc", "a😀b", "😀😀😀", "é😀", "", "ab😀cd"]
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    for most in (0, 1, 2, 3, 4, 9):
+        assert [r.t for r in d.select("i", names.fitted(F.col("t"), most).alias("t")).orderBy("i").collect()] == [plain(c, most) for c in cases], most
+
+
 def test_queue_upkeep(spark, tmp_path):
     for name, seq in (("a.jsonl.1", 1), ("a.jsonl", 2)):
         (tmp_path / name).write_text(f'{{"seq": {seq}, "level": "INFO"}}\n')
