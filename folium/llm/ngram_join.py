@@ -344,6 +344,43 @@ def _joined(docs: DataFrame, sketched: DataFrame, reps: DataFrame, threshold: tu
     return out.select("doc_id", F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.col("n_shingles").alias("set_size"), "set_key")
 
 
+def audit(docs: DataFrame, joined: DataFrame, sample: int = 200, threshold: tuple[int, int] = THRESHOLD) -> tuple[int, int]:
+    """The links that ``joined`` has, and that there are, of about ``sample`` different sets against all of ``docs``.
+
+    Sets are drawn by a hash of their keys from those that the join linked with anything, and as many from the others;
+    their n-grams go to every task, which counts those that a text shares with each. ``joined`` has the sets' keys
+    (``keys=True``), ``docs`` columns doc_id and text. It is for reports: the join does not wait for it.
+    """
+    spark, (p, q) = docs.sparkSession, threshold
+    sets = cut(joined.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.max("n_links").alias("n"), F.min("doc_id").alias("doc_id")))
+    sizes = {r["some"]: r["count"] for r in sets.groupBy((F.col("n") > 0).alias("some")).count().collect()}  # two rows
+    share = F.when(F.col("n") > 0, F.lit(sample / 2 / max(1, sizes.get(True, 0)))).otherwise(F.lit(sample / 2 / max(1, sizes.get(False, 0))))
+    drawn = sets.where(F.pmod(F.xxhash64(F.lit("audit"), "set_key"), F.lit(1 << 30)) / float(1 << 30) < share)
+    asked = set_keys(docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", F.col("set_key").alias("k"), "n")), "doc_id")).where("k = set_key").dropDuplicates(["k"]).collect()  # about ``sample`` texts
+    if not asked:
+        return 0, 0
+    own = [shingles(r["text"]) for r in asked]
+    flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    order = np.argsort(flat, kind="stable")
+    holder = spark.sparkContext.broadcast((flat[order], owner[order], np.array([len(x) for x in own])))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, whose, size = holder.value
+        links = np.zeros(len(size), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                items = shingles(text.as_py())
+                lo, hi = np.searchsorted(known, items, "left"), np.searchsorted(known, items, "right")
+                some = np.nonzero(hi > lo)[0]
+                if len(some):
+                    shared = np.bincount(np.concatenate([whose[a:b] for a, b in zip(lo[some], hi[some], strict=True)]), minlength=len(size))
+                    links += shared * (p + q) >= p * (size + len(items))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(size)), pa.int32()), pa.array(links)], names=["i", "n"])
+
+    true = {r["i"]: r["n"] - 1 for r in docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(task, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # less itself
+    return sum(min(r["n"], true[i]) for i, r in enumerate(asked)), sum(true.values())
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
 s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws] ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4]) END) g FROM d),

@@ -73,3 +73,20 @@ def test_paths_and_sketches_keep_the_target_recall():
     assert deep > 1 and (1 - s**deep) ** nj.RUNS <= 2e-5 < (1 - s ** (deep + 1)) ** nj.RUNS
     least = -(-nj.CANDIDATE * nj.COORDINATES // 1)
     assert sum(comb(nj.COORDINATES, i) * s**i * (1 - s) ** (nj.COORDINATES - i) for i in range(int(least))) <= 2e-6
+
+
+def test_audit_tells_lost_links(spark):
+    rows = [(100 + i, t) for i, t in enumerate(texts())] + [(None, "x")]
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    joined = nj.cut(nj.ngram_join(docs, keys=True))
+    found, true = nj.audit(docs, joined, sample=100)
+    assert found == true > 100
+    want = {d: n for d, _, n, _ in brute(rows)}
+    every, all_links = nj.audit(docs, joined, sample=10_000)
+    first = {}
+    for r in joined.where("set_key IS NOT NULL AND doc_id IS NOT NULL").collect():
+        first[bytes(r.set_key)] = r.doc_id
+    assert every == all_links == sum(want[d] for d in first.values())
+    poor = joined.withColumn("n_links", nj.F.greatest(nj.F.col("n_links") - 1, nj.F.lit(0)))
+    assert nj.audit(docs, poor, sample=10_000)[0] < all_links
+    assert nj.audit(docs.limit(0), joined.limit(0)) == (0, 0)
