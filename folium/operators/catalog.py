@@ -19,10 +19,13 @@ ACCEPTED = ("link", "cross-id", "title+author", "title-unique", "manual")
 
 
 def text_match(query: str, *columns: str) -> Column | None:
-    """Every word of ``query`` as a phrase prefix in one of the columns; None where no word has a letter or digit."""
-    texts = [fts_text(F.col(c)) for c in columns]
-    terms = [reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for t in texts]) for p in fts_phrases(query)]
-    return reduce(lambda a, b: a & b, terms) if terms else None
+    """Every word of ``query`` as a phrase prefix in one of the columns; None where no word has a letter or digit. The
+    columns are folded once for all words."""
+    phrases, texts = fts_phrases(query), [fts_text(F.col(c)) for c in columns]
+    every = lambda ts: reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for t in ts]) for p in phrases])
+    if len(phrases) < 2:
+        return every(texts) if phrases else None
+    return F.transform(F.array(F.array(*texts)), lambda ts: every([ts[i] for i in range(len(columns))]))[0]
 
 
 def contains_ci(column: str, part: str, *more: str) -> Column:

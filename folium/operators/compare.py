@@ -47,6 +47,18 @@ def freshest(stored: Column, stored_at: Column, fallback: list[Column], now: Col
     return F.coalesce(F.when(stored_at >= now - F.expr(f"INTERVAL {hours} HOURS"), stored), *fallback)
 
 
+#: Names before a bracket that are tests of nodes, not functions.
+NODE_TESTS = ("text", "node", "element", "attribute", "comment", "document-node", "processing-instruction")
+
+
+def feature_of(expression: Column, css: Column) -> Column:
+    """What an expression is counted under: a selector, JSON, the first function that it calls outside of quotes, or a path."""
+    bare = F.regexp_replace(expression, "\"[^\"]*\"|'[^']*'", "")
+    calls = F.filter(F.regexp_extract_all(bare, F.lit(r"([A-Za-z_][A-Za-z0-9_:.-]*)\s*\("), F.lit(1)), lambda n: ~n.isin(*NODE_TESTS))
+    json = F.contains(expression, F.lit("json(")) | F.contains(expression, F.lit("jn:")) | F.contains(expression, F.lit("?"))
+    return F.when(F.coalesce(css, F.lit(False)), "css selector").when(json, "json").when(F.size(calls) > 0, F.concat(F.get(calls, F.lit(0)), F.lit("()"))).otherwise("path")
+
+
 def differences(left: DataFrame, right: DataFrame, key: str, feature: str) -> DataFrame:
     """Entries on which two evaluations differ, per feature."""
     j = left.join(right.withColumnRenamed("value", "_r"), key)

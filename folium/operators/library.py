@@ -161,3 +161,18 @@ def sorted_favorites(rows: DataFrame, by: str) -> DataFrame:
         "added": [F.desc_nulls_last("date_added")],
     }
     return rows.orderBy(*keys[by], "sort_order")
+
+
+def grouped_modules(modules: DataFrame) -> DataFrame:
+    """``place, category, label, module_id`` of ``modules (module_id, name, category, root_url)``: categories in order and
+    their modules by name, case and marks ignored, those of one name by host; a name that several have is told with its
+    host. Modules without a category are under ``Other``."""
+    host = F.lower(F.regexp_extract(F.coalesce("root_url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
+    fold = lambda c: F.lower(strip_marks(F.coalesce(c, F.lit(""))))
+    d = modules.withColumn("category", F.when(F.coalesce("category", F.lit("")) == "", "Other").otherwise(F.col("category"))).withColumn("_host", host)
+    d = d.withColumn("_c", fold("category")).withColumn("_n", fold("name"))
+    repeated = d.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("_times")).where("_times > 1").select("_name")
+    d = d.join(repeated, F.col("name") == F.col("_name"), "left")
+    d = scans.numbered(d, ["_c", "category", "_n", "_host", "module_id"], "place")
+    label = F.when(F.col("_name").isNotNull(), F.concat("name", F.lit(" ("), "_host", F.lit(")"))).otherwise(F.col("name"))
+    return d.select("place", "category", label.alias("label"), "module_id")

@@ -178,6 +178,25 @@ def latest_of_keys(spark, sf):
     return ordered.keep_one(table(spark, sf, "events").select("user_id", "event_id", "event_type"), [F.col("user_id")], [F.desc("event_id")])
 
 
+def module_groups(spark, sf):
+    """Suppliers as websites: by category and name, repeated names with their host."""
+    n = F.col("s_suppkey")
+    category = F.when(n % 7 == 0, "").when(n % 7 == 1, "english").when(n % 7 == 2, "Érotique").when(n % 7 == 3, "Spanish")
+    d = table(spark, sf, "supplier").select(n.alias("module_id"), F.concat(F.when(n % 2 == 0, F.lit("Site ")).otherwise(F.lit("site ")), (n % 9).cast("string")).alias("name"), category.alias("category"), F.concat(F.lit("https://H"), (n * 37 % 101).cast("string"), F.lit(".org/x")).alias("root_url"))
+    return library.grouped_modules(d)
+
+
+def feature_differences(spark, sf):
+    """Events as expressions that two programs evaluated: how many differ, per feature."""
+    e = table(spark, sf, "events")
+    n = F.col("event_id")
+    shapes = ("//a/text()", "string-join(//a, ', count(')", "count(//b[node()])", "json(.)()", "$o?x", "//p[contains(., 'x')]", "a > b")
+    expression = F.get(F.array(*[F.lit(x) for x in shapes]), (n % 7).cast("int"))
+    rows = e.select(n.alias("entry"), compare.feature_of(expression, n % 14 == 6).alias("feature"), F.col("value"))
+    other = e.select(n.alias("entry"), F.when(n % 5 == 0, F.lit(None)).when(n % 5 == 1, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    return compare.differences(rows, other, "entry", "feature")
+
+
 _MS = "epoch_us(ts) // 1000"
 Q, S = {}, {}
 for _f, _sql in (
@@ -238,6 +257,12 @@ for _f, _sql in (
         c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY batch) before, row_number() OVER (PARTITION BY user_id ORDER BY batch) i FROM l)
         SELECT user_id, event_type, batch FROM c WHERE i = 1 OR event_type IS DISTINCT FROM before""",
     ),
+    (
+        module_groups,
+        """WITH s AS (SELECT s_suppkey n, CASE WHEN s_suppkey % 2 = 0 THEN 'Site ' ELSE 'site ' END || s_suppkey % 9 nm, CASE s_suppkey % 7 WHEN 1 THEN 'english' WHEN 2 THEN 'Érotique' WHEN 3 THEN 'Spanish' ELSE 'Other' END cat, 'h' || s_suppkey * 37 % 101 || '.org' h FROM supplier)
+        SELECT row_number() OVER (ORDER BY lower(strip_accents(cat)), lower(nm), h, n) - 1 place, cat category, CASE WHEN count(*) OVER (PARTITION BY nm) > 1 THEN nm || ' (' || h || ')' ELSE nm END AS label, n module_id FROM s""",
+    ),
+    (feature_differences, "SELECT CASE WHEN event_id % 14 = 6 THEN 'css selector' ELSE ['path', 'string-join()', 'count()', 'json', 'json', 'contains()', 'path'][event_id % 7 + 1] END feature, count(*) n, count(*) FILTER (WHERE value IS DISTINCT FROM CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN value + 1 ELSE value END) n_different FROM events GROUP BY 1"),
     (latest_of_keys, "SELECT user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type FROM events GROUP BY 1"),
 ):
     Q[_f.__name__], S[_f.__name__] = _f, _sql

@@ -165,3 +165,19 @@ def test_a_replacement_that_died_is_not_seen(spark, tmp_path):
     rows.withColumn("_texts", F.array(F.lit(" dragon"))).withColumn("token", F.lit("dragon")).withColumn("part", F.lit("m@half")).withColumn("prefix", F.lit("~")).write.mode("append").partitionBy("part", "prefix").parquet(f"{index.root}/tokens")
     index.refresh()
     assert index.search("dragon").count() == 4
+
+
+def test_features_and_differences(spark):
+    rows = [("//a", False, "path"), ("//a/text()", False, "path"), ("'count(' = string(//a)", False, "string()"), ('concat("x(", count(b))', False, "concat()"), ("$o?k", False, "json"), ("jn:keys(.)", False, "json"), ("a > b", True, "css selector"), ("node()[fn:not(x)]", None, "fn:not()")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "entry int, e string, css boolean, want string")
+    assert all(r.want == r.f for r in d.select("want", compare.feature_of(F.col("e"), F.col("css")).alias("f")).collect())
+    left = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "b", None), (4, "b", "y")], "entry int, feature string, value string")
+    right = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, "n")], "entry int, value string")
+    assert {tuple(r) for r in compare.differences(left, right, "entry", "feature").collect()} == {("a", 2, 1), ("b", 2, 1)}
+
+
+def test_grouped_modules(spark):
+    rows = [(1, "Zeta", "Raw", "https://z.org"), (2, "alpha", "English", "https://B.org/x"), (3, "Alpha", "english", "https://a.org"), (4, "alpha", "English", "https://a.org:80"), (5, "Ähnlich", None, None), (6, "b", "", "nothing")]
+    d = spark.createDataFrame(rows, "module_id int, name string, category string, root_url string")
+    got = [(r.category, r.label) for r in library.grouped_modules(d).orderBy("place").collect()]
+    assert got == [("English", "alpha (a.org)"), ("English", "alpha (b.org)"), ("english", "Alpha"), ("Other", "Ähnlich"), ("Other", "b"), ("Raw", "Zeta")]
