@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folium.llm.common import LETTER_RUN, Bloom, bloom, cut, letter_runs, slices
+from folium.llm.common import LETTER_RUN, Bloom, bloom, cut, letter_runs, scratch, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What is added to the counts of a pair's ends: rare pairs, which may be chance, leave more bits, and none is left out.
@@ -302,6 +302,40 @@ def _with_terms(docs: DataFrame, at: int, hits: DataFrame, apply: Callable[[pa.R
     return rows.mapInArrow(plain, schema).unionByName(touched.mapInArrow(joined, schema))
 
 
+def _in_one_reading(docs: DataFrame, at: int, hits: DataFrame, apply: Callable[[pa.RecordBatch, list[dict[str, str]]], pa.RecordBatch], schema: str) -> DataFrame:
+    """As :func:`_with_terms`, for results that are small: texts are read once. Rows without a word that passes the filter are
+    done where they lie; the others are written beside the results, with those words, and joined with ``hits``."""
+    spark, n = docs.sparkSession, len(docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).withColumn("text_key", text_key(F.col(f"c{at}")))
+    holder, names = spark.sparkContext.broadcast(bloom(hits.select("term"))), [c.split()[0] for c in schema.split(", ")]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _Wanted(holder.value)
+        for batch in slices(batches):
+            words = [wanted.words_of(t.as_py() or "") for t in batch.column(at)]
+            clean, some = [i for i, w in enumerate(words) if not w], [i for i, w in enumerate(words) if w]
+            done, rest = apply(batch.take(pa.array(clean, pa.int64())).select(list(range(n))), [{}] * len(clean)), batch.take(pa.array(some, pa.int64()))
+            cols = [pa.concat_arrays([c, pa.nulls(len(some), c.type)]) for c in done.columns] + [pa.concat_arrays([pa.nulls(len(clean), c.type), c]) for c in rest.columns]
+            cols.append(pa.array([None] * len(clean) + [words[i] for i in some], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(cols, names=[*(f"out_{c}" for c in names), *rest.schema.names, "words"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield apply(batch.select(list(range(n))), [dict(x.as_py() or ()) for x in batch.column(n)])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    path = scratch(spark, "read-once")
+    made = rows.mapInArrow(first, f"{', '.join(f'out_{c}' for c in schema.split(', '))}, {kinds}, words array<string>")
+    made.write.parquet(path)
+    table = spark.read.schema(made.schema).parquet(path)
+    done = table.where("words IS NULL").select(*[F.col(f"out_{c}").alias(c) for c in names])
+    rest = table.where("words IS NOT NULL")
+    pairs = rest.select(F.col("text_key").alias("key"), F.explode("words").alias("term")).distinct().join(hits, "term")
+    found = cut(pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "general"))).alias("terms")))  # the words of one text
+    rest = rest.join(found, F.col("text_key") == F.col("key"), "left").select(*rows.columns[:n], "terms")
+    return done.unionByName(rest.mapInArrow(joined, schema))
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]], terms: dict[str, str]) -> list[tuple[int, int, str]]:
     """(start, end, what it becomes) of every word of ``text`` that is one of ``terms``, outside of all base spans."""
     found = [(m.start(), m.end(), a) for m in LETTER_RUN.finditer(text) if (a := terms.get(m.group().lower())) is not None] if terms else []
@@ -343,7 +377,7 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in _DIGEST.split(", ")]
         return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
-    return _with_terms(docs, 1, disclosing(docs), apply, _DIGEST)
+    return _in_one_reading(docs, 1, disclosing(docs), apply, _DIGEST)
 
 
 def redact(text: str, terms: dict[str, str]) -> str:
