@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from folium.operators import rematch, resolve
 
 LISTED = "module_id string, link string, title string, alttitles string, authors string, artists string"
-BLUE, NARU, GIRL = ("m", "/blue", "Blue", "", "Kiriko Nananan", ""), ("m", "/naru", "Shadow Star", "", "", "Mohiro Kitoh"), ("m", "/girl", "The Girl", None, "Juukyuu", "")
+AZURE, NIGHT, GIRL = ("m", "/azure", "Azure", "", "Ann Writer", ""), ("m", "/night", "Night Sun", "", "", "Bo Painter"), ("m", "/girl", "The Girl", None, "Cy Inker", "")
 
 
 def catalog(spark, *more, without=()):
-    rows = [(2092, "Shadow Star", "Narutaru", "Mohiro Kitoh", "manga", "completed", 1998), (7114, "Blue", None, "Kiriko Nananan", "manga", "completed", 1997), (743, "The Girl", None, "Juukyuu", "manhwa", "releasing", 2019), *more]
+    rows = [(2001, "Night Sun", "Yorunohi", "Bo Painter", "manga", "completed", 1998), (7001, "Azure", None, "Ann Writer", "manga", "completed", 1997), (741, "The Girl", None, "Cy Inker", "manhwa", "releasing", 2019), *more]
     d = spark.createDataFrame([r for r in rows if r[0] not in without], "series long, title string, other string, authors string, type string, status string, year int")
     keys = d.select("series", "type", "status", "year", resolve.title_keys(F.col("title")).alias("main_keys"), resolve.person_keys(F.col("authors")).alias("people"), resolve.title_keys(F.col("other")).alias("more"))
     return {"series": keys.drop("more"), "titles": keys.select(F.explode(F.concat("main_keys", "more")).alias("key"), "series")}
@@ -32,56 +32,56 @@ def log_of(spark, tmp_path):
 def test_only_what_changed(spark, tmp_path):
     log, cat = log_of(spark, tmp_path), catalog(spark)
     assert log.current().count() == 0
-    assert run(spark, log, 1, [NARU, GIRL], cat) == [("/girl", False, "title+author"), ("/naru", False, "title+author")]
-    assert run(spark, log, 2, [NARU, GIRL], cat) == []  # nothing changed
-    naru = (*NARU[:2], "Narutaru", *NARU[3:])
-    assert run(spark, log, 3, [naru, GIRL, BLUE], cat) == [("/blue", False, "title+author"), ("/naru", False, "title+author")]
-    assert table(log) == {"/blue": ("title+author", 7114, "manga", "completed", 1997), "/naru": ("title+author", 2092, "manga", "completed", 1998), "/girl": ("title+author", 743, "manhwa", "ongoing", 2019)}
-    assert len(run(spark, log, 4, [naru, GIRL, BLUE], cat, everything=True)) == 3
-    assert len(run(spark, log, 5, [naru, GIRL, BLUE], cat, build="b2")) == 3 and run(spark, log, 6, [naru, GIRL, BLUE], cat, build="b2") == []
+    assert run(spark, log, 1, [NIGHT, GIRL], cat) == [("/girl", False, "title+author"), ("/night", False, "title+author")]
+    assert run(spark, log, 2, [NIGHT, GIRL], cat) == []  # nothing changed
+    night = (*NIGHT[:2], "Yorunohi", *NIGHT[3:])
+    assert run(spark, log, 3, [night, GIRL, AZURE], cat) == [("/azure", False, "title+author"), ("/night", False, "title+author")]
+    assert table(log) == {"/azure": ("title+author", 7001, "manga", "completed", 1997), "/night": ("title+author", 2001, "manga", "completed", 1998), "/girl": ("title+author", 741, "manhwa", "ongoing", 2019)}
+    assert len(run(spark, log, 4, [night, GIRL, AZURE], cat, everything=True)) == 3
+    assert len(run(spark, log, 5, [night, GIRL, AZURE], cat, build="b2")) == 3 and run(spark, log, 6, [night, GIRL, AZURE], cat, build="b2") == []
     before = table(log)
     assert log.compact(7) and table(log) == before and log.runs()[-1] == (7, True)
-    assert run(spark, log, 8, [naru, GIRL, BLUE], cat, build="b2") == []
-    assert len(run(spark, log, 5, [BLUE], cat)) == 3 and table(log) == before  # a run that counts is not run again
+    assert run(spark, log, 8, [night, GIRL, AZURE], cat, build="b2") == []
+    assert len(run(spark, log, 5, [AZURE], cat)) == 3 and table(log) == before  # a run that counts is not run again
 
 
 def test_favorites_are_matched_and_kept(spark, tmp_path):
     log, cat = log_of(spark, tmp_path), catalog(spark)
-    run(spark, log, 1, [NARU, BLUE], cat, favorites=[BLUE, GIRL])
-    assert set(table(log)) == {"/naru", "/blue", "/girl"}
-    assert run(spark, log, 2, [NARU], cat, favorites=[BLUE, GIRL]) == []  # no longer listed, but a favorite
-    assert run(spark, log, 3, [], cat, favorites=[GIRL]) == [("/blue", True, ""), ("/naru", True, "")]
+    run(spark, log, 1, [NIGHT, AZURE], cat, favorites=[AZURE, GIRL])
+    assert set(table(log)) == {"/night", "/azure", "/girl"}
+    assert run(spark, log, 2, [NIGHT], cat, favorites=[AZURE, GIRL]) == []  # no longer listed, but a favorite
+    assert run(spark, log, 3, [], cat, favorites=[GIRL]) == [("/azure", True, ""), ("/night", True, "")]
     assert set(table(log)) == {"/girl"}
 
 
 def test_picks_come_first(spark, tmp_path):
     log, cat = log_of(spark, tmp_path), catalog(spark)
-    pick = [("m", "/naru", 7114), ("m", "/never", 743), ("m", "/lost", 1)]
-    run(spark, log, 1, [NARU], cat, picked=pick)
-    assert table(log) == {"/naru": ("manual", 7114, "manga", "completed", 1997), "/never": ("manual", 743, "manhwa", "ongoing", 2019)}
-    assert run(spark, log, 2, [NARU], cat, build="b2", picked=pick) == []
-    assert run(spark, log, 3, [NARU], catalog(spark, without=[7114]), build="b3", picked=pick) == [("/naru", True, "")]  # its series went
-    assert run(spark, log, 4, [NARU], catalog(spark, without=[7114]), build="b3", picked=pick) == []
-    assert run(spark, log, 5, [NARU], cat, build="b4", picked=pick) == [("/naru", False, "manual")]  # and is back
-    assert run(spark, log, 6, [NARU], cat, build="b4", picked=pick[1:]) == [("/naru", False, "title+author")]  # no longer picked
+    pick = [("m", "/night", 7001), ("m", "/never", 741), ("m", "/lost", 1)]
+    run(spark, log, 1, [NIGHT], cat, picked=pick)
+    assert table(log) == {"/night": ("manual", 7001, "manga", "completed", 1997), "/never": ("manual", 741, "manhwa", "ongoing", 2019)}
+    assert run(spark, log, 2, [NIGHT], cat, build="b2", picked=pick) == []
+    assert run(spark, log, 3, [NIGHT], catalog(spark, without=[7001]), build="b3", picked=pick) == [("/night", True, "")]  # its series went
+    assert run(spark, log, 4, [NIGHT], catalog(spark, without=[7001]), build="b3", picked=pick) == []
+    assert run(spark, log, 5, [NIGHT], cat, build="b4", picked=pick) == [("/night", False, "manual")]  # and is back
+    assert run(spark, log, 6, [NIGHT], cat, build="b4", picked=pick[1:]) == [("/night", False, "title+author")]  # no longer picked
 
 
 def test_unanswered_ids_are_asked_again(spark, tmp_path):
     log, cat = log_of(spark, tmp_path), catalog(spark)
-    cat["xids"] = spark.createDataFrame([("al:1", 743)], "key string, series long")
-    ids = lambda known, ok: spark.createDataFrame([("m", "/naru", known, ok)], "module_id string, link string, ids array<string>, answered boolean")
-    run(spark, log, 1, [NARU], cat, xids=ids([], False))
-    assert table(log)["/naru"][:2] == ("title+author", 2092)
-    assert run(spark, log, 2, [NARU], cat, xids=ids(["al:1"], True)) == [("/naru", False, "cross-id")]
-    assert run(spark, log, 3, [NARU], cat, xids=ids(["al:1"], True)) == []
+    cat["xids"] = spark.createDataFrame([("al:1", 741)], "key string, series long")
+    ids = lambda known, ok: spark.createDataFrame([("m", "/night", known, ok)], "module_id string, link string, ids array<string>, answered boolean")
+    run(spark, log, 1, [NIGHT], cat, xids=ids([], False))
+    assert table(log)["/night"][:2] == ("title+author", 2001)
+    assert run(spark, log, 2, [NIGHT], cat, xids=ids(["al:1"], True)) == [("/night", False, "cross-id")]
+    assert run(spark, log, 3, [NIGHT], cat, xids=ids(["al:1"], True)) == []
 
 
 def test_a_run_that_died_half_way_does_not_count(spark, tmp_path):
     log, cat = log_of(spark, tmp_path), catalog(spark)
-    run(spark, log, 1, [NARU], cat)
+    run(spark, log, 1, [NIGHT], cat)
     log.current().withColumn("gone", F.lit(True)).withColumn("run", F.lit(2).cast("long")).write.parquet(f"{log.root}/run-2")  # written, not counted
-    assert set(table(log)) == {"/naru"}
-    assert run(spark, log, 2, [NARU, BLUE], cat) == [("/blue", False, "title+author")] and set(table(log)) == {"/naru", "/blue"}
+    assert set(table(log)) == {"/night"}
+    assert run(spark, log, 2, [NIGHT, AZURE], cat) == [("/azure", False, "title+author")] and set(table(log)) == {"/night", "/azure"}
 
 
 def test_hot_keys_are_settled_by_their_counts(spark):
