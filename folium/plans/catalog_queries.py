@@ -181,7 +181,7 @@ def cross_ids(spark, sf):
     d = table(spark, sf, "customer").select(F.col("c_custkey").alias("link"), F.create_map(F.lit("al"), F.col("c_nationkey").cast("string"), F.lit("mu"), (F.col("c_custkey") % 40).cast("string")).alias("ids"))
     mine = d.select("link", F.explode("ids").alias("site", "xid"))
     theirs = table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, F.lit("al")).otherwise(F.lit("mu")).alias("site"), (F.col("s_suppkey") % 60).cast("string").alias("xid"), F.col("s_suppkey").alias("series"))
-    return mine.join(theirs, ["site", "xid"]).groupBy("link").agg(F.countDistinct("series").alias("n_series"), F.min("series").alias("first_series"))
+    return resolve.series_of_ids(mine, theirs)
 
 
 def link_keys(spark, sf):
