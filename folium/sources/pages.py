@@ -6,6 +6,7 @@ a.id < d.id <= a.last. Sibling places are columns, so positional tests are plain
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -26,12 +27,20 @@ HEAD = frozenset("title meta link style script base noscript template".split())
 NODE = "id int, parent int, last int, depth int, kind string, name string, value string, attrs map<string,string>, begin int, end int, nth int, nth_last int, nth_of_type int, nth_last_of_type int, n_children int"
 
 
+#: Nodes that go to Spark at once: a task holds so many and its largest page's, however many pages it has.
+NODES = 5_000
+
+#: Entities that pages of escaped text are made of.
+ESCAPES = ("lt", "gt", "amp")
+
+
 class _Nodes(HTMLParser):
     """Collects node rows; unclosed and misnested elements close as their parents do, and html, head and body are there
     where the page leaves them out. ``begin`` and ``end`` are a node's places in the page's text."""
 
-    def __init__(self) -> None:
+    def __init__(self, mark: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.mark = mark  # stands for an ampersand that begins no entity
         self.rows: list[dict] = []
         self.open: list[int] = []
         self.seen: set[str] = set()
@@ -59,6 +68,9 @@ class _Nodes(HTMLParser):
 
     def add(self, kind: str, name: str | None, value: str | None, attrs: list[tuple[str, str | None]]) -> int:
         number = len(self.rows) + 1
+        if self.mark:
+            value = value and value.replace(self.mark, "&")
+            attrs = [(k, v and v.replace(self.mark, "&")) for k, v in attrs]
         self.rows.append({"id": number, "parent": self.open[-1] if self.open else 0, "last": number, "depth": len(self.open) + 1, "kind": kind, "name": name, "value": value, "attrs": {k: v or "" for k, v in reversed(attrs)}, "begin": self.chars, "end": self.chars})
         return number
 
@@ -95,10 +107,15 @@ class _Nodes(HTMLParser):
             self.rows[-1]["end"] = self.chars
 
 
-def page_rows(html: str | None) -> list[dict]:
-    """The nodes of one page in document order."""
-    p = _Nodes()
-    p.feed(html or "")
+def page_rows(html: str | None, entities: tuple[str, ...] | None = None) -> list[dict]:
+    """The nodes of one page in document order. ``entities`` are the names that are decoded where they end in a semicolon,
+    all others stay as they are; None is for every entity of the HTML standard, with or without it."""
+    html, mark = html or "", None
+    if entities is not None:
+        mark = next(c for c in map(chr, [*range(0xFDD0, 0xFDF0), *range(0xE000, 0xF900)]) if c not in html)
+        html = re.sub(rf"&(?!(?:{'|'.join(entities)});)", mark, html)
+    p = _Nodes(mark)
+    p.feed(html)
     p.close()
     p.shut(0)
     children: dict[int, list[dict]] = {}
@@ -118,19 +135,31 @@ def page_rows(html: str | None) -> list[dict]:
     return p.rows
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``key`` and the NODE columns, one row per node of each page."""
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("value", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("begin", pa.int32()), ("end", pa.int32()), ("nth", pa.int32()), ("nth_last", pa.int32()), ("nth_of_type", pa.int32()), ("nth_last_of_type", pa.int32()), ("n_children", pa.int32())]))
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", entities: tuple[str, ...] | None = None) -> DataFrame:
+    """``key`` and the NODE columns, one row per node of each page; ``entities`` as for :func:`page_rows`."""
+    kinds = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    fields = [(c.split()[0], kinds[c.split()[1]]) for c in NODE.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(owners: list, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(rows), NODES):
+                some = rows[a : a + NODES]
+                columns = [pa.array([list(r["attrs"].items()) for r in some] if name == "attrs" else [r[name] for r in some], kind) for name, kind in fields]
+                yield pa.RecordBatch.from_arrays([pa.array(owners[a : a + NODES], batch.column(0).type), *columns], names=["_key", *[name for name, _ in fields]])
+
         for batch in batches:
-            rows = [[r | {"attrs": list(r["attrs"].items())} for r in page_rows(h.as_py())] for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["key", "nodes"])
+            owners, rows = [], []
+            for k, h in zip(batch.column(0), batch.column(1), strict=True):
+                mine = page_rows(h.as_py(), entities)
+                owners += [k.as_py()] * len(mine)
+                rows += mine
+                if len(rows) >= NODES:
+                    yield from made(owners, rows)
+                    owners, rows = [], []
+            yield from made(owners, rows)
 
-    fields = ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in NODE.replace("map<string,string>", "map<string;string>").split(", ")).replace(";", ",")
     kind_of_key = pages.schema[key].dataType.simpleString()
-    made = pages.select(F.col(key).alias("key"), html).mapInArrow(task, f"key {kind_of_key}, nodes array<struct<{fields}>>")
-    return made.select(F.col("key").alias(key), F.inline("nodes"))
+    return pages.select(F.col(key).alias("_key"), html).mapInArrow(task, f"_key {kind_of_key}, {NODE}").withColumnRenamed("_key", key)
 
 
 def attr(name: str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folium.sources import pages
 
 
 def _written(frames: dict, folder) -> str:
@@ -19,3 +22,41 @@ def test_cross_ids_of_a_hot_id(spark, tmp_path):
     sf = _written({"customer": n.select((F.col("id") * 40).alias("c_custkey"), F.lit(0).alias("c_nationkey")), "supplier": n.select((F.col("id") * 60).alias("s_suppkey"))}, tmp_path)
     got = entry.queries()["cross_ids"](spark, sf).agg(F.count("*"), F.min("n_series"), F.max("n_series"), F.max("first_series")).first()
     assert tuple(got) == (60_000, 60_000, 60_000, 0)
+
+
+CUT = '<html lang="fr"><head><meta charset="utf-8"><title>a&amp;b &amp &am &quot;c&quot</title></head><body><nav><ul><li><a href="/x?a=1&amp;b=2">l&amp;1</a></li><li><a href="/&quot;y">l&quot;2</a></li></ul></nav><div class="ad">x</div><article><h1>a&amp;b &amp &quot;c</h1></article></body></html>'
+
+
+@pytest.mark.parametrize("name", ["page_titles", "page_selectors", "page_links"])
+def test_pages_with_cut_escapes(spark, tmp_path, name):
+    """Escapes that were cut short, and entities that the SQL leaves, stay as they are."""
+    sf = _written({"pages": spark.createDataFrame([(1, "http://a.b/", CUT), (2, "http://a.b/", CUT.replace("&quot", "\ufdd0"))], "page_id long, url string, html string")}, tmp_path)
+    got, duck = entry.queries()[name](spark, sf), duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS FROM '{sf}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
+
+
+def test_all_entities_by_default():
+    rows = pages.page_rows(CUT)
+    assert next(r["value"] for r in rows if r["kind"] == "text") == 'a&b & &am "c"'
+
+
+def test_nodes_leave_in_parts(spark, monkeypatch):
+    """The nodes of a task's pages were one batch, and as dicts all in memory."""
+    made = []
+    monkeypatch.setattr(pages, "page_rows", lambda html, entities=None, real=pages.page_rows: (made.append(1), real(html, entities))[1])
+    batch = pages.pa.RecordBatch.from_pydict({"key": list(range(4_000)), "html": ["<p>a<b>c</b></p>"] * 4_000})
+
+    class Frame:
+        schema = spark.createDataFrame([], "page_id long, html string").schema
+        select = lambda self, *c: self
+        withColumnRenamed = lambda self, *c: self.out
+
+        def mapInArrow(self, task, schema):
+            self.out = task(iter([batch]))
+            return self
+
+    out = pages.nodes(Frame())
+    first = next(out)
+    assert first.num_rows <= pages.NODES and len(made) < 2_000
+    assert first.num_rows + sum(b.num_rows for b in out) == 6 * 4_000 and len(made) == 4_000
