@@ -87,20 +87,24 @@ def cookies_for(requests: DataFrame, cookies: DataFrame, now: Column) -> DataFra
     that is its own, or below it if its own ends in a slash; not once it has expired; and an http-only one with http
     and https alone. Of cookies of one name the last by ``place`` gives the value.
 
-    Hosts are split into the domains that they lie in, so that domains are joined by equality.
+    Hosts are split into the domains that they lie in, and paths into those above them, so that cookies are joined by
+    equality of both; those of one domain, path and name are one row before the join.
     """
     part = lambda i: F.regexp_extract("url", _URL, i)
     r = requests.select("request_id", F.lower(part(1)).alias("_scheme"), F.lower(part(2)).alias("_host"), F.when(part(3) == "", "/").otherwise(part(3)).alias("_path")).where("_scheme <> ''")
-    labels = F.split("_host", r"\.")
+    labels, parts = F.split("_host", r"\."), F.split("_path", "/")
     domains = F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    r = r.select("request_id", "_scheme", "_host", "_path", F.explode(F.array_distinct(domains)).alias("_domain"))
+    above = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.concat(F.lit("<"), F.array_join(F.slice(parts, 1, i + 1), "/"), F.lit("/")))
+    r = r.select("request_id", F.col("_scheme").isin("http", "https").alias("_web"), "_host", F.concat(F.array(F.concat(F.lit("="), F.lower("_path"))), above).alias("_paths"), F.explode(F.array_distinct(domains)).alias("_domain"))
+    r = r.select("request_id", "_web", (F.col("_domain") == F.col("_host")).alias("_whole"), "_domain", F.explode("_paths").alias("_path"))
+
     live = cookies.where((F.col("domain") != "") & (F.col("expires").isNull() | (F.col("expires") > now)))
-    d = r.join(live.withColumn("_key", F.lower("domain")), F.col("_domain") == F.col("_key"))
-    whole = F.col("_domain") == F.col("_host")
-    path = (F.lower("_path") == F.lower("path")) | (F.startswith("_path", F.col("path")) & F.endswith("path", F.lit("/")))
-    d = d.where(whole | (~F.coalesce("host_only", F.lit(False)) & (F.col("domain") == F.col("_domain"))))
-    d = d.where(path & (~F.coalesce("http_only", F.lit(False)) | F.col("_scheme").isin("http", "https")))
-    return d.groupBy("request_id", "name").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
+    below = ~F.coalesce("host_only", F.lit(False)) & (F.col("domain") == F.lower("domain"))
+    forms = F.array(F.concat(F.lit("="), F.lower("path")), F.when(F.endswith("path", F.lit("/")), F.concat(F.lit("<"), F.col("path"))))
+    jar = live.select(F.lower("domain").alias("_domain"), F.explode(F.array_compact(forms)).alias("_path"), below.alias("_below"), F.coalesce("http_only", F.lit(False)).alias("_web_only"), "name", "value", "place")
+    jar = jar.groupBy("_domain", "_path", "_below", "_web_only", "name").agg(F.max_by("value", "place").alias("value"), F.max("place").alias("_last"), F.min("place").alias("place"))
+    d = r.join(jar, ["_domain", "_path"]).where((F.col("_whole") | F.col("_below")) & (~F.col("_web_only") | F.col("_web")))
+    return d.groupBy("request_id", "name").agg(F.max_by("value", "_last").alias("value"), F.min("place").alias("place"))
 
 
 class Refused(ValueError):

@@ -60,3 +60,18 @@ def test_nodes_leave_in_parts(spark, monkeypatch):
     first = next(out)
     assert first.num_rows <= pages.NODES and len(made) < 2_000
     assert first.num_rows + sum(b.num_rows for b in out) == 6 * 4_000 and len(made) == 4_000
+
+
+def test_cookies_of_a_hot_domain(spark, tmp_path):
+    """100,000 pages and as many cookies of one domain: most were joined with all."""
+    n = F.col("id")
+    site = F.when(n % 2 == 0, "https://a.example.net/").otherwise("http://b.example.net/fr/")
+    sf = _written({"pages": spark.range(100_000).select(n.alias("page_id"), F.concat(site, (n % 7).cast("string")).alias("url"))}, tmp_path)
+    got = entry.queries()["cookie_selection"](spark, sf)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS FROM '{sf}/pages.parquet/*.parquet' WHERE page_id % 210 < 42 OR page_id > 99000")
+    some = spark.read.parquet(f"{sf}/pages.parquet").where("page_id % 210 < 42 OR page_id > 99000")
+    small = _written({"pages": some}, tmp_path / "some")
+    want = duck.sql(f"SELECT request_id, name, value FROM ({entry.oracle_sql()['cookie_selection']})").fetchall()
+    assert sorted(map(tuple, entry.queries()["cookie_selection"](spark, small).collect())) == sorted(want)
+    assert got.select("request_id").distinct().count() > 10_000
