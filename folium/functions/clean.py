@@ -37,23 +37,29 @@ _COMMON, _LETTERS = [("\n", "\\n"), ("\r", "\\r"), *_pairs(COMMON)], _pairs(LETT
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _decoded(text: str, pairs: list[tuple[str, str]], any_case: bool) -> str:
-    """Whole entities first, then those that lost their semicolon; a name that is there goes in any case of letters."""
-    for whole in (True, False):
-        for name, value in pairs:
-            if not whole:
-                if len(name) < 2 or not name.endswith(";"):
-                    continue
-                name = name[:-1]
-            if name in (text.translate(_LOWER) if any_case else text):
-                text = re.sub(re.escape(name), lambda _, v=value: v, text, flags=re.I | re.A)
+def _passes(pairs: list[tuple[str, str]]) -> list[tuple[str, re.Pattern, str]]:
+    """Whole entities first, then those that lost their semicolon."""
+    bare = [(a[:-1], b) for a, b in pairs if len(a) > 1 and a.endswith(";")]
+    return [(a, re.compile(re.escape(a), re.I | re.A), b) for a, b in [*pairs, *bare]]
+
+
+_COMMON_PASSES, _LETTERS_PASSES = _passes(_COMMON), _passes(_LETTERS)
+
+
+def _decoded(text: str, passes: list[tuple[str, re.Pattern, str]], any_case: bool) -> str:
+    """Entities in the order of their passes; a name that is there goes in any case of letters."""
+    seen = text.translate(_LOWER) if any_case else text
+    for name, pattern, value in passes:
+        if name in seen:
+            text = pattern.sub(lambda _, v=value: v, text)
+            seen = text.translate(_LOWER) if any_case else text
     return text
 
 
 def clean_text(text: str) -> str:
     text = text.strip(BLANKS)
     if re.search(r"[&\n\r［］（）]", text):
-        text = _decoded(_decoded(text, _COMMON, True), _LETTERS, False)
+        text = _decoded(_decoded(text, _COMMON_PASSES, True), _LETTERS_PASSES, False)
     return text.strip(BLANKS)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folium.functions import series
-from folium.schemas import table
+from folium.schemas import spread, table
 from folium.sources import imports
 
 
@@ -52,7 +52,7 @@ def imported_pages(spark, sf):
 
 def cleaned_series(spark, sf):
     """All ten fields of series made of parts, cleaned."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     n, text = F.col("p_partkey"), F.col("p_name")
     raw = p.select(
         n.alias("id"), F.concat(F.lit("https://x.org/s/"), n.cast("string")).alias("url"), F.when(n % 3 == 0, F.concat(F.lit("/own/"), n.cast("string"))).alias("link"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import clean, names
 from folium.operators import catalog, library, ordered, queue, rematch, resolve
-from folium.schemas import LISTING_SQL, MATCHES_SQL, listing, matches, table
+from folium.schemas import LISTING_SQL, MATCHES_SQL, listing, matches, spread, table
 from folium.shared import scratch
 from folium.streaming import events as streams
 from folium.streaming import stateful
@@ -111,7 +111,7 @@ def value_maps(spark, sf):
 
 def entity_cleanup(spark, sf):
     raw = F.concat(F.lit(" &Eacute;t&eacute &amp; "), "p_name", F.lit(" &#8230;&nbsp;&copy;2\n"))
-    return table(spark, sf, "part").select("p_partkey", clean.common_filter(raw).alias("clean"), clean.get_between(F.concat(F.lit("a("), "p_name", F.lit("(x)y)b")), "(", ")").alias("inner"), clean.separate_left(F.col("p_type"), "O").alias("lhs"), clean.separate_right(F.col("p_type"), "O").alias("rhs"), clean.trim_of(F.col("p_brand"), "Bd#1").alias("bare"))
+    return spread(table(spark, sf, "part")).select("p_partkey", clean.common_filter(raw).alias("clean"), clean.get_between(F.concat(F.lit("a("), "p_name", F.lit("(x)y)b")), "(", ")").alias("inner"), clean.separate_left(F.col("p_type"), "O").alias("lhs"), clean.separate_right(F.col("p_type"), "O").alias("rhs"), clean.trim_of(F.col("p_brand"), "Bd#1").alias("bare"))
 
 
 def renamed_files(spark, sf):
@@ -120,7 +120,7 @@ def renamed_files(spark, sf):
     chapter = F.concat(F.lit("Vol."), (c % 9).cast("string"), F.lit(" Ch."), (c % 50).cast("string"))
     name = names.custom_rename("%MANGA% [%AUTHOR%] %CHAPTER%", pad=(2, 3), manga=F.concat("p_name", F.lit("/x")), author=author, chapter=chapter)
     page = names.page_name("p_%FILENAME%", F.when(c % 2 == 0, F.col("p_type")), c)
-    return table(spark, sf, "part").select("p_partkey", name.alias("name"), page.alias("page"), names.fitted(F.col("p_name"), 6).alias("short"))
+    return spread(table(spark, sf, "part")).select("p_partkey", name.alias("name"), page.alias("page"), names.fitted(F.col("p_name"), 6).alias("short"))
 
 
 def search_page_total(spark, sf):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folium.plans import import_queries, upkeep_queries
 from folium.sources import pages
 
 
@@ -75,3 +76,18 @@ def test_cookies_of_a_hot_domain(spark, tmp_path):
     want = duck.sql(f"SELECT request_id, name, value FROM ({entry.oracle_sql()['cookie_selection']})").fetchall()
     assert sorted(map(tuple, entry.queries()["cookie_selection"](spark, small).collect())) == sorted(want)
     assert got.select("request_id").distinct().count() > 10_000
+
+
+@pytest.mark.parametrize("name", ["entity_cleanup", "renamed_files", "cleaned_series"])
+def test_python_steps_use_all_cores(spark, name):
+    """The parts are one small file, which was one task, for the Python in it too."""
+    plans = []
+    real = upkeep_queries.spread
+    for module in (upkeep_queries, import_queries):
+        module.spread = lambda rows: (plans.append(real(rows)), plans[-1])[1]
+    try:
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    finally:
+        for module in (upkeep_queries, import_queries):
+            module.spread = real
+    assert plans and all(p.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for p in plans)
