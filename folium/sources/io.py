@@ -83,13 +83,23 @@ def local_to_utc(c: Column, zone: str) -> Column:
     return F.to_utc_timestamp(c, zone)
 
 
+#: Prefixes that every task may hold.
+FEW = 10_000
+
+
 def longest_prefix(rows: DataFrame, column: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """Each row with the longest entry of ``prefixes`` that its column starts with.
 
-    Candidate prefixes of a value are its own beginnings at the lengths that occur, so the join is by equality.
+    A value's beginnings at the lengths that occur are looked up one length at a time, so joins are by equality, and where
+    the prefixes are few, rows are not moved for it.
     """
-    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]  # as many as there are lengths
-    starts = F.array(*[F.when(F.length(column) >= n, F.substring(column, 1, n)) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
-    hit = rows.select(column).distinct().select(column, F.explode(F.array_compact(starts)).alias(prefix)).join(prefixes, prefix)
-    best = hit.groupBy(column).agg(F.max_by(F.struct(*prefixes.columns), F.length(prefix)).alias("_b")).select(column, "_b.*")
-    return rows.join(best, column, "left")
+    prefixes = prefixes.dropDuplicates([prefix])
+    lengths = sorted(map(tuple, prefixes.where(F.col(prefix).isNotNull()).groupBy(F.length(prefix)).count().collect()))  # as many as there are lengths
+    few = sum(n for _, n in lengths) <= FEW
+    d = rows
+    for n, _ in lengths:
+        own = prefixes.where(F.length(prefix) == n).select(F.col(prefix).alias(f"_p{n}"), F.struct(*prefixes.columns).alias(f"_b{n}"))
+        begins = F.when(F.length(column) >= n, F.substring(column, 1, n))
+        d = d.join(F.broadcast(own) if few else own, begins == F.col(f"_p{n}"), "left").drop(f"_p{n}")
+    best = F.coalesce(*[f"_b{n}" for n, _ in reversed(lengths)], F.lit(None).cast(prefixes.schema.simpleString()))
+    return d.withColumn("_b", best).select(*rows.columns, "_b.*")

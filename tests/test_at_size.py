@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folium.plans import import_queries, upkeep_queries
-from folium.sources import pages
+from folium.sources import io, pages
 
 
 def _written(frames: dict, folder) -> str:
@@ -91,3 +91,13 @@ def test_python_steps_use_all_cores(spark, name):
         for module in (upkeep_queries, import_queries):
             module.spread = real
     assert plans and all(p.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for p in plans)
+
+
+def test_longest_prefix_moves_no_rows(spark):
+    """Rows were shuffled twice by the column, whole, for a handful of prefixes."""
+    rows = spark.createDataFrame([(1, "D:\\comics\\a"), (2, "D:\\b"), (3, "/else"), (4, None), (5, "D:\\b")], "place long, c string")
+    paths = spark.createDataFrame([("D:\\", "/mnt/"), ("D:\\comics\\", "/library/")], "prefix string, target string")
+    found = io.longest_prefix(rows, "c", paths, "prefix")
+    assert {r.place: r.target for r in found.collect()} == {1: "/library/", 2: "/mnt/", 3: None, 4: None, 5: "/mnt/"}
+    assert "hashpartitioning(c#" not in found._jdf.queryExecution().toString()
+    assert {r.target for r in io.longest_prefix(rows, "c", paths.limit(0), "prefix").collect()} == {None}
