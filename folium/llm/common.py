@@ -10,6 +10,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
             yield batch.slice(a, rows)
 
 
+#: Texts, and bytes of them, whose chunks are told together: what several of them have is looked up once.
+TEXTS, BYTES = 2_000, 6_000_000
+
+
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Beginnings and ends of parts of ``TEXTS`` texts and ``BYTES`` bytes at most; a longer text is a part of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(upto):
+        most = BYTES + (int(upto[a - 1]) if a else 0)
+        b = max(a + 1, min(a + TEXTS, int(np.searchsorted(upto, most, side="right"))))
+        yield a, b
+        a = b
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal ``key`` from batches that come sorted by it, one table per run."""
     rest: list[pa.RecordBatch] = []

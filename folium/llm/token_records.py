@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm import tokens
-from folium.llm.common import cut, scratch
+from folium.llm.common import cut, parts, scratch
 
 HEAD = 9
 #: Frames that one task reads back, of one file.
@@ -56,8 +56,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         at = records = total = 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, batch.num_rows, 500):
-                rows = [_payload(i, x + end, width) for i, x in zip(ids[a : a + 500], encode.encode_many(texts[a : a + 500].to_pylist()), strict=True)]
+            for a, b in parts(texts):
+                rows = [_payload(i, x + end, width) for i, x in zip(ids[a:b], encode.encode_many(texts.slice(a, b - a)), strict=True)]
                 if data is None:
                     data, index = store.open_output_stream(f"{trial}.rec.tmp"), store.open_output_stream(f"{trial}.idx.tmp")
                 sizes = np.array([len(r) for r in rows], dtype="<u8")

@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks kept per worker before its memo starts again, and the longest chunk kept.
-MEMO, LONGEST = 400_000, 64
+from folium.llm.common import parts
+
+#: Words and ids kept per worker before its memo starts again, and the longest word that is encoded together with others.
+MEMO, MEMO_IDS, LONGEST = 300_000, 4_000_000, 64
+#: Words that one call of the library encodes.
+TOGETHER = 500
 
 
 #: A word of precomposed Latin letters before marks other than the apostrophe: the tokenizer lower-cases it and takes
 #: the letters as one pre-token and the marks as another.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+
+
+def _gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` of these starts and lengths, one after the other."""
+    before = np.cumsum(length) - length
+    return values[np.repeat(start - before, length) + np.arange(int(length.sum()))]
 
 
 class Encoder(dict):
     """Text to ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer splits at white space before it merges, so a text's ids are those of its space-separated chunks
-    in turn. Each chunk is encoded once by the tokenizers library and remembered, plain words many in one call;
-    texts that hold a special token's string go to the library whole.
+    in turn. Arrow splits many texts at once and tells their different chunks; their words are encoded by the tokenizers
+    library, many in one call, and remembered by number; texts are then gathered from the numbers' ids. Texts that
+    hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -31,49 +44,69 @@ class Encoder(dict):
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self._forget()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _forget(self) -> None:
+        self.clear()
+        self.ids, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)  # of all known words, by number
 
-    def _learn_words(self, new: list[str]) -> None:
-        """Words of letters or of marks, encoded together: each is one pre-token, whose number every id carries."""
-        for a in range(0, len(new), 4000):
-            part = new[a : a + 4000]
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _together(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids, and how many for each, of words of letters in one call: each is one pre-token, whose number every id carries."""
+        for a in range(0, len(words), TOGETHER):
+            part = words[a : a + TOGETHER]
             got = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-            edges = np.searchsorted(at, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            for w, i, j in zip(part, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                self.words[w] = raw[4 * i : 4 * j]
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Encode chunks that are not known yet; those too long to keep are returned."""
+            yield np.array(got.ids, dtype="<u4"), np.bincount(np.array(got.word_ids), minlength=len(part))
+
+    def _numbers(self, chunks: list[str], letters: bool) -> np.ndarray:
+        """The numbers of different chunks; those that are new are learnt."""
         new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = list(chunks)
-        long, simple = {}, []
-        for c in new:
-            if len(c) > LONGEST:
-                long[c] = self.whole(c)
-            elif m := _SIMPLE(c):
-                simple.append((c, m.group(1).lower(), m.group(2)))
-            else:
-                self[c] = self.whole(c)
-        if len(self.words) > MEMO:
-            self.words.clear()
-        words = {w for _, w, _ in simple} | {p for _, _, p in simple if p}
-        self._learn_words([w for w in words if w not in self.words])
-        for c, w, p in simple:
-            self[c] = self.words[w] + self.words[p] if p else self.words[w]
-        return long
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and any(s in t for s in self.special) else t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        long = self.learn(set().union(*(x for x in split if x)))
-        get = self.__getitem__ if not long else lambda c: long[c] if c in long else self[c]
-        return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
+        if new:
+            got = list(self._together(new)) if letters else [(np.array(x, dtype="<u4"), np.array([len(x)])) for x in map(self.whole, new)]
+            self.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.ids, self.sizes = np.concatenate([self.ids, *(x for x, _ in got)]), np.concatenate([self.sizes, *(n for _, n in got)])
+        return np.fromiter(map(self.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+
+    def _encoded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks, one after the other, and how many each has."""
+        found = pc.extract_regex(chunks, _SIMPLE)
+        simple = pc.and_(found.is_valid(), pc.less_equal(pc.utf8_length(chunks), LONGEST))
+        other, found = chunks.filter(pc.invert(simple)), found.filter(simple)
+        words, marks = pc.utf8_lower(found.field("word")).dictionary_encode(), found.field("marks").dictionary_encode()
+        simple = simple.to_numpy(zero_copy_only=False)
+        pairs = np.full((len(chunks), 2), -1)
+        pairs[simple, 0] = self._numbers(words.dictionary.to_pylist(), True)[words.indices.to_numpy()]
+        pairs[simple, 1] = self._numbers(marks.dictionary.to_pylist(), False)[marks.indices.to_numpy()]
+        pairs[~simple, 0] = self._numbers(other.to_pylist(), False)
+        sizes = np.append(self.sizes, 0)[pairs]  # -1 has none
+        starts = np.append(np.cumsum(self.sizes) - self.sizes, 0)[pairs]
+        return _gathered(self.ids, starts.ravel(), sizes.ravel()), sizes.sum(axis=1)
+
+    def _joined(self, texts: pa.Array) -> list[bytes]:
+        if len(self) > MEMO or len(self.ids) > MEMO_IDS:
+            self._forget()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = split.values.dictionary_encode()
+        ids, sizes = self._encoded(chunks.dictionary)
+        own = chunks.indices.to_numpy()
+        raw = _gathered(ids, (np.cumsum(sizes) - sizes)[own], sizes[own]).tobytes()
+        ends = (4 * np.append(0, np.cumsum(sizes[own])))[split.offsets.to_numpy()].tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode_many(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        special = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        out: list[bytes] = []
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        for a, b in parts(plain):
+            out += self._joined(plain.slice(a, b - a))
+        for i in np.nonzero(special)[0].tolist():
+            out[i] = np.array(self.whole(texts[i].as_py()), dtype="<u4").tobytes()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

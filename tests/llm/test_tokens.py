@@ -107,3 +107,23 @@ def test_best_fit_keeps_every_capacity():
         assert np.bincount(bins, lengths).max() <= caps[0] and np.bincount(bins).max() <= caps[1] and np.bincount(bins, lengths.astype(float) ** 2).max() <= caps[2]
     bins, _ = packing.best_fit(lengths, (4096.0, 4096.0, 4096.0**2), (1.0, 1e-4, 1e-4), "norm")
     assert bins.max() + 1 <= 1.02 * lengths.sum() / 4096 + 1
+
+
+def test_words_are_looked_up_once_for_many_texts(library):
+    class Counted:
+        def __init__(self):
+            self.words = 0
+
+        def encode(self, text, **options):
+            self.words += len(text.split(" "))
+            return library.encode(text, **options)
+
+    e = tokens.Encoder(tokens.default_path())
+    e.library = Counted()
+    texts = [f"Alpha beta, GAMMA; alpha. w{'abcdefghij'[i % 10]}x" for i in range(1500)]
+    got = e.encode_many(texts)
+    assert got[:20] == [np.array(ids(library, t, 0)[:-1], dtype="<u4").tobytes() for t in texts[:20]]
+    assert e.library.words <= 20  # a word once, whatever its case and the marks after it, and not again for each 500 texts
+    e.ids = np.concatenate([e.ids, np.zeros(tokens.MEMO_IDS, dtype="<u4")])  # a full memo starts again
+    assert e.encode_many(texts[:20]) == got[:20]
+    assert len(e.ids) < 100
