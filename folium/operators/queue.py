@@ -110,5 +110,6 @@ def sorted_tasks(tasks: DataFrame, by: str, desc: bool = False) -> DataFrame:
     progress = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"))
     text = {"title": F.col("title"), "status": F.col("status"), "progress": progress, "website": F.col("module_id"), "save_to": F.col("save_to")}
     keys = [natural_key(text[by])] if by in text else [F.col({"speed": "bytes_per_sec", "added": "date_added"}[by])] if by != "queue" else []
-    order = [*keys, F.col("place")]
-    return tasks.orderBy(*[k.desc() if desc else k.asc() for k in order])
+    keyed = tasks.select("*", *[k.alias("_key") for k in keys])  # a column, else every comparison would make both sides' keys anew
+    order = [F.col(c) for c in (*["_key" for _ in keys], "place")]
+    return keyed.orderBy(*[k.desc() if desc else k.asc() for k in order]).drop("_key")

@@ -117,3 +117,15 @@ def test_four_seconds_worth_takes_four_seconds(spark):
     assert {r.goes_at - 1_700_000_000_000 for r in limits.shared_limit(requests, rates.limit(0)).collect()} == {0}
     twice = spark.createDataFrame([("m", 0, 10), ("m", 1_700_000_002_500, 20), ("m", 1_700_000_003_000, 0)], "key string, at long, kbps int")
     assert sorted(r.goes_at - 1_700_000_000_000 for r in limits.shared_limit(requests, twice).collect()) == [1000, 2000, 2750, 3000]
+
+
+def test_sort_keys_are_columns(spark):
+    """A key that stands in the sort itself is made for both sides of every comparison."""
+    from folium.operators import queue
+
+    tasks = spark.createDataFrame([(i, f"a{i % 3}", "x", i % 2, 2, 1.0, "m", "/d", i) for i in range(6)], "place long, title string, status string, done long, total long, bytes_per_sec double, module_id string, save_to string, date_added long")
+    got = queue.sorted_tasks(tasks, "title", True).limit(3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    order = plan[plan.index("orderBy=") : plan.index("]", plan.index("orderBy="))]
+    assert "regexp" not in order and "_key" in order
+    assert [r.place for r in got.collect()] == [5, 2, 4] and got.columns == tasks.columns
