@@ -165,20 +165,24 @@ class Pauses(StatefulProcessor):
                 merged[-1] = (merged[-1][0], max(until, merged[-1][1]), merged[-1][2])
             elif start < until:
                 merged.append((start, until, answer))
-        timers, wanted = {u for _, u, _ in before}, {u for _, u, _ in merged}
-        for u in timers - wanted:
-            self.handle.deleteTimer(u)
-        for u in wanted - timers:
-            self.handle.registerTimer(u)
         if merged:
             self.open.put(merged)
+            self._wake(before, merged)
         return iter(())
 
+    def _wake(self, before: list[tuple], now: list[tuple]) -> None:
+        """One timer a key, at the end of its first pause: pauses are in order, so it is the first to end."""
+        if before and (not now or now[0][1] != before[0][1]):
+            self.handle.deleteTimer(before[0][1])
+        if now and (not before or now[0][1] != before[0][1]):
+            self.handle.registerTimer(now[0][1])
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()  # all that it has passed are told at once
         rows = list(map(tuple, self.open.get()))
-        over, rest = [p for p in rows if p[1] <= at], [p for p in rows if p[1] > at]
+        over, rest = [p for p in rows if p[1] <= now], [p for p in rows if p[1] > now]
         self.open.put(rest) if rest else self.open.clear()
+        self._wake([], rest)  # its timer is this one
         return iter([PAUSE(*key, *p) for p in over])
 
 
@@ -190,4 +194,5 @@ def pauses(stream: DataFrame, key: str, pause_ms: Column, answer: Column, defaul
     """
     ms = F.coalesce(pause_ms, F.lit(default_ms)).cast("long")
     d = _timed(stream, delay).select("ts", F.col(key).cast("string").alias("key"), F.unix_millis("ts").alias("at"), (F.unix_millis("ts") + ms).alias("until"), answer.cast("string").alias("answer"))
+    d = d.where("at < until")  # others are no notices, and keys without one need no state
     return d.groupBy("key").transformWithState(Pauses(), "key string, paused_at long, paused_until long, answer string", "append", "eventTime")

@@ -169,3 +169,49 @@ def test_merged_streams_carry_their_names(spark, stream):
     both = events.merged({"one": s.where("user_id = 0"), "two": s.where("user_id <> 0").select("event_id", "ts")})
     got = {(r.event_id, r.stream) for r in events.run(both.select("event_id", "stream")).collect()}
     assert got == {(i, "one" if k == 0 else "two") for i, _, k, _, _ in rows(20)}
+
+
+def test_pauses_keep_one_timer_a_key():
+    """A timer for each pause made every one of them read and write the key's whole list."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from folium.streaming import stateful
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.timers, self.calls = [], set(), 0
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = list(rows), self.calls + 1
+
+        def clear(self):
+            self.put([])
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    h, p = Handle(), stateful.Pauses()
+    p.init(h)
+    notice = Row("at", "until", "answer")
+    p.handleInputRows(("k",), iter([notice(100 * i, 100 * i + 50, "a") for i in range(1, 41)]), None)
+    assert h.timers == {150}
+    p.handleInputRows(("k",), iter([notice(10, 20, "b"), notice(120, 170, "c")]), None)
+    assert h.timers == {20}
+    told, now = [], SimpleNamespace(getCurrentWatermarkInMs=lambda: 2_000)
+    while h.timers and min(h.timers) <= 2_000:
+        at = min(h.timers)
+        h.timers.remove(at)
+        told += [tuple(r) for r in p.handleExpiredTimer(("k",), now, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))]
+    assert told == [("k", 10, 20, "b"), ("k", 100, 170, "a"), *(("k", 100 * i, 100 * i + 50, "a") for i in range(2, 20))]
+    assert h.timers == {2_050} and h.calls == 3
