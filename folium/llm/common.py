@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -43,6 +43,14 @@ def letter_runs(text: str) -> list[str]:
     return [w for x in found for w in ((x,) if x.isalpha() else LETTER_RUN.findall(x))]
 
 
+def letter_words(text: str) -> set[str]:
+    """The different runs of letters of a text."""
+    found = set(_NEARLY.findall(text))
+    if all(map(str.isalpha, found)):
+        return found
+    return {w for x in found for w in ((x,) if x.isalpha() else LETTER_RUN.findall(x))}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +65,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_kept: dict = {}
+
+
+def kept_by_worker(key: tuple | None, make: Callable | None = None):
+    """The worker's own object under a key, made once. A worker keeps one at a time, so that a task of another operator
+    frees what the one before needed; with the key None it just frees."""
+    if key not in _kept:
+        _kept.clear()
+        if key is None:
+            return None
+        _kept[key] = make()
+    return _kept[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of some rows: a task that hands whole texts back keeps its buffers, and the JVM's, small."""
     for batch in batches:
@@ -65,7 +87,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
 
 
 #: Texts, and bytes of them, whose chunks are told together: what several of them have is looked up once.
-TEXTS, BYTES = 2_000, 6_000_000
+TEXTS, BYTES = 2_000, 3_000_000
 
 
 def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -113,7 +135,7 @@ class Bloom:
     """
 
     def __init__(self, words: np.ndarray) -> None:
-        self.words = words
+        self.held = words.astype("<u8").tobytes()  # plain bytes: a test of one bit is several times as fast as through numpy
 
     @staticmethod
     def places(item: str | bytes, bits: int) -> list[int]:
@@ -121,9 +143,16 @@ class Bloom:
         return [(h >> (26 * k)) & (bits - 1) for k in range(4)]
 
     def __contains__(self, item: str | bytes) -> bool:
-        if not len(self.words):
+        held, most = self.held, 8 * len(self.held) - 1
+        if most < 0:
             return False
-        return all(int(self.words[p >> 6]) >> (p & 63) & 1 for p in self.places(item, 64 * len(self.words)))
+        h = xxhash.xxh3_128_intdigest(item.encode("utf-8", "surrogatepass") if isinstance(item, str) else item)
+        for _ in range(4):  # as ``places``, but most items that are not there go by the first
+            p = h & most
+            if not held[p >> 3] >> (p & 7) & 1:
+                return False
+            h >>= 26
+        return True
 
 
 def bloom(items: DataFrame) -> Bloom:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm import tokens
-from folium.llm.common import cut
+from folium.llm.common import cut, parts
 
 CAPACITY = 4096
 #: Pieces packed together by one task, or more of them where they would fill fewer than so many sequences: a task leaves
@@ -32,12 +32,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 500):
-                for doc_id, got in zip(ids[at : at + 500], encode.encode_many(batch.column(1).slice(at, 500).to_pylist()), strict=True):
+            for a, b in parts(batch.column(1)):
+                for doc_id, got in zip(ids[a:b], encode.encode_many(batch.column(1).slice(a, b - a)), strict=True):
                     whole = got + end
-                    for k, a in enumerate(range(0, len(whole), 4 * capacity)):
-                        part = whole[a : a + 4 * capacity]
-                        out.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
+                    for k, at in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[at : at + 4 * capacity]
+                        out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

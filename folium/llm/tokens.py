@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from folium.llm.common import parts
+from folium.llm.common import kept_by_worker, parts
 
 #: Words and ids kept per worker before its memo starts again, and the longest word that is encoded together with others.
 MEMO, MEMO_IDS, LONGEST = 300_000, 4_000_000, 64
@@ -24,8 +24,11 @@ _SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 def _gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The runs of ``values`` of these starts and lengths, one after the other."""
-    before = np.cumsum(length) - length
-    return values[np.repeat(start - before, length) + np.arange(int(length.sum()))]
+    before, total = np.cumsum(length) - length, int(length.sum())
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64  # half the memory
+    at = np.repeat((start - before).astype(kind), length)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 class Encoder(dict):
@@ -109,14 +112,9 @@ class Encoder(dict):
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's own encoder for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept_by_worker(("encoder", path), lambda: Encoder(path))
 
 
 def default_path() -> str:
