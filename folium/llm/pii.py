@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import count, repeat
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folium.llm.common import LETTER_RUN, Bloom, bloom, cut, letter_runs, slices
+from folium.llm.common import LETTER_RUN, Bloom, bloom, cut, kept_by_worker, letter_words, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What is added to the counts of a pair's ends: rare pairs, which may be chance, leave more bits, and none is left out.
@@ -105,7 +106,7 @@ def text_key(text: Column) -> Column:
 
 def words_of(text: str) -> list[str]:
     """The different words of a text, lower-cased, of any length and wherever they stand."""
-    return list({w.lower() for w in set(letter_runs(text))})
+    return list({w.lower() for w in letter_words(text)})
 
 
 class _Wanted(dict):
@@ -126,13 +127,16 @@ class _Wanted(dict):
 
     def words_of(self, text: str) -> list[str]:
         """The words of :func:`words_of` that the filter has."""
-        return list({w for w in map(self.__getitem__, set(letter_runs(text))) if w is not None})
+        found = set(map(self.__getitem__, letter_words(text)))
+        found.discard(None)
+        return list(found)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``text_key, entities, terms`` of the texts with entities, once per different text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker(None)
         for batch in batches:
             cols: list[list] = [[], [], []]
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -158,8 +162,9 @@ def _terms(words: DataFrame, holder, repeated) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker(None)
         wanted, twice = _Wanted(holder.value), repeated.value if repeated else None
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
         seen: set[bytes] = set()  # texts of this task that gave a row
         own_key = map("{}-{}".format, repeat(TaskContext.get().partitionId()), count())  # never as long as a text's key
 
@@ -185,8 +190,7 @@ def _terms(words: DataFrame, holder, repeated) -> DataFrame:
                     keys.append(key)
                     terms.append(found)
                 elif not own:
-                    for w in found:
-                        counts[w] = counts.get(w, 0) + 1
+                    counts.update(found)
                     if len(counts) >= COUNTED:
                         yield from flush()
             yield part(keys, terms, [[1] * len(t) for t in terms])

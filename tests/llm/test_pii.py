@@ -172,3 +172,20 @@ def test_filters_never_say_no_to_what_is_there(spark):
     import pickle
 
     assert "word1" in pickle.loads(pickle.dumps(made))
+
+
+def test_filter_and_words_of_a_text():
+    import numpy as np
+
+    from folium.llm.common import Bloom, letter_runs
+
+    held = np.zeros(1 << 10, np.uint64)
+    for p in (p for i in range(900) for p in Bloom.places(f"w{chr(97 + i % 26) * (i // 26 + 1)}", 1 << 16)):
+        held[p >> 6] |= np.uint64(1) << np.uint64(p & 63)
+    filled = Bloom(held)
+    items = [f"w{chr(97 + i % 26) * (i // 26 + 1)}" for i in range(1800)]
+    assert [x in filled for x in items] == [all(int(held[p >> 6]) >> (p & 63) & 1 for p in Bloom.places(x, 1 << 16)) for x in items]
+    assert all(x in filled for x in items[:900]) and "wa" not in Bloom(np.zeros(0, np.uint64))
+    text = " ".join(items) + " WA x½y Ⅳ WBb"
+    assert set(pii._Wanted(filled).words_of(text)) == {w for w in map(str.lower, letter_runs(text)) if w in filled}
+    assert set(pii.words_of(text)) == set(map(str.lower, letter_runs(text)))
