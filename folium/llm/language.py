@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import LETTERS, held_out, letter_runs, slices
+from folium.llm.common import LETTERS, held_out, kept_by_worker, letter_runs, slices
 
 UNKNOWN = "und"
 #: Labelled documents per language that the model is fitted on: about so many are drawn by a hash of their ids.
@@ -164,12 +164,6 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     return rows.mapInArrow(task, schema)
 
 
-_scorers: dict = {}
-
-
 def worker_scorer(name: str, holder) -> Scorer:
     """The worker's scorer of a call, by the call's own name: an address may be taken again by a later model."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(holder.value)
-    return _scorers[name]
+    return kept_by_worker(("scorer", name), lambda: Scorer(holder.value))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import components, cut, groups
+from folium.llm.common import components, cut, groups, kept_by_worker
 
 #: Words of an n-gram, and the least similarity as a fraction.
 NGRAM, THRESHOLD = 5, (4, 5)
@@ -86,6 +86,7 @@ def set_keys(docs: DataFrame, text: str = "text") -> DataFrame:
     at, schema = docs.columns.index(text), docs.withColumn("set_key", F.lit(None).cast("binary")).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker(None)
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(at)]
             told = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
@@ -98,6 +99,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, set_key, n_shingles, sketch``; key and sketch are null for a text without words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker(None)
         for batch in batches:
             keys, sizes, out = [], [], []
             for text in batch.column(1):

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import collections
+from types import SimpleNamespace
+
+import numpy as np
 
 import corpus_pipeline as cp
 from folium.llm import language, ngram_join, packing, pii, quality_rules
@@ -56,3 +59,14 @@ def test_near_duplicates_of_shared_ids_and_edges(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
     for stage in (cp.language_stage, cp.quality_stage, cp.near_duplicate_stage, cp.pii_stage, cp.packing_stage):
         assert stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_a_worker_keeps_one_large_object(spark):
+    from folium.llm import common, language, tokens
+
+    model = {"langs": ["en"], "tables": {k: language.Table([], np.zeros((0, 1))) for k in range(2)}}
+    scorer = language.worker_scorer("call", SimpleNamespace(value=model))
+    assert language.worker_scorer("call", SimpleNamespace(value=None)) is scorer
+    encoder = tokens.encoder(tokens.default_path())  # the next operator's task in the same worker
+    assert tokens.encoder(tokens.default_path()) is encoder and list(common._kept.values()) == [encoder]
+    assert common.kept_by_worker(None) is None and not common._kept
