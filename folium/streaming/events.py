@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from folium.shared import scratch
 
 
-def source(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
-    """The events as a stream, with a timestamp that carries a watermark."""
+def source(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events as a stream, with a timestamp that carries a watermark. The files that are there come at once unless
+    ``files_per_trigger`` says otherwise: a table's files are in no order of time, and a later batch's events would be late."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    d = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder of files
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    d = reader.parquet(f"{sf_dir}/events.parquet*")  # a file or a folder of files
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -1,15 +1,19 @@
 """Stream operators with keyed state, timers and state that goes.
 
 Events may come out of order, in any files and micro-batches: a key's events wait in its state until the watermark has
-passed them and are then folded in order of time and id, so that results do not depend on how they came. What comes later
-than the watermark allows is dropped, as for any watermark.
+passed them and are then folded in order of time and id, so that results do not depend on how they came. What the watermark
+had passed before its micro-batch began is late and dropped; an event within the delay of all that came in earlier batches never is.
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timezone
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -60,64 +64,110 @@ def _timed(stream: DataFrame, delay: str) -> DataFrame:
 Step = Callable[[tuple | None, tuple], tuple[tuple | None, tuple | None]]
 
 
+#: Rows that a task groups by key at once, and rows of a key in one part.
+GATHERED, PART = 500_000, 1_000
+_END_MS = int(END.replace(tzinfo=timezone.utc).timestamp() * 1000)
+
+
+def _values(column: pa.ChunkedArray) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows ``key, at, ...`` as parts ``key, first, last, part`` of a key's rows, pickled. Row by row they take most
+    of a stream's time on their way to the state and back."""
+
+    def parts(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(some).sort_by([("key", "ascending"), ("at", "ascending")])
+        keys, *columns = [_values(c) for c in rows.columns]
+        out = []
+        for (key, _), group in groupby(zip(keys, zip(*columns)), lambda r: (r[0], r[1][0] >= _END_MS)):  # the end apart
+            while part := [row for _, row in islice(group, PART)]:
+                out.append((key, part[0][0], part[-1][0], pickle.dumps(part, pickle.HIGHEST_PROTOCOL)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "first", "last", "part"])
+
+    some, n = [], 0
+    for batch in batches:
+        some, n = [*some, batch], n + batch.num_rows
+        if n >= GATHERED:
+            yield parts(some)
+            some, n = [], 0
+    if n:
+        yield parts(some)
+
+
 class InOrder(StatefulProcessor):
     """Folds a key's rows, in order, with ``step(state, row)``, which gives the new state, None for none, and a row to emit
-    or None. ``until(state)`` is when a state is of no more use, None for never; it is then cleared."""
+    or None. ``until(state)`` is when a state is of no more use, None for never; it is then cleared. Rows come, wait and
+    leave in parts: they come and wait pickled, and leave as columns."""
 
-    def __init__(self, rows: str, state: str, step: Step, names: list[str], until: Callable[[tuple], int | None] = lambda s: None) -> None:
-        self.rows, self.kept, self.step, self.told, self.until = rows, state, step, Row("key", *names), until
+    def __init__(self, state: str, step: Step, names: list[str], until: Callable[[tuple], int | None] = lambda s: None) -> None:
+        self.kept, self.step, self.told, self.until = state, step, Row("key", *names), until
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.waiting = handle.getListState("waiting", "part binary")
         self.state = handle.getValueState("state", self.kept)
         self.due = handle.getValueState("due", "at long")
 
-    def _wake(self, at: int | None) -> None:
+    def _wake(self, at: int) -> None:
         """One timer a key, at the earliest time that anything is due."""
-        now = self.due.get()
-        if now is not None and now[0] != at:
-            self.handle.deleteTimer(now[0])
-        if at is None:
-            self.due.clear()
-        elif now is None or now[0] != at:
-            self.handle.registerTimer(at)
-            self.due.update((at,))
+        self.handle.registerTimer(at)
+        self.due.update((at,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r)[2:] for r in rows]  # without the time stamp and the key
-        self.waiting.appendList(new)
+        now, first = timerValues.getCurrentWatermarkInMs(), None
+        for _, _, at, part in rows:
+            if at <= now:  # Spark drops a part only with its last row
+                rest = [r for r in pickle.loads(part) if r[0] > now]
+                if not rest:
+                    continue
+                at, part = rest[0][0], pickle.dumps(rest, pickle.HIGHEST_PROTOCOL)
+            self.waiting.appendValue((part,))
+            first = at if first is None else min(first, at)
+        if first is None:
+            return iter(())
         due = self.due.get()
-        self._wake(min([r[0] for r in new] + ([due[0]] if due else [])))
+        if due is None or first < due[0]:
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(map(tuple, self.waiting.get()))
-        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        state = self.state.get()
-        state = None if state is None else tuple(state)
+        rows = sorted(row for (part,) in self.waiting.get() for row in pickle.loads(part))
+        n = bisect_right(rows, now, key=lambda r: r[0])
+        before = self.state.get()
+        state = before = None if before is None else tuple(before)
         out = []
-        for row in ready:
+        for row in islice(rows, n):
             state, told = self.step(state, row)
             if told is not None:
-                out.append(self.told(*key, *told))
+                out.append(told)
         end = None if state is None else self.until(state)
         if end is not None and end <= now:
             state, end = None, None
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        self.state.clear() if state is None else self.state.update(state)
-        self.due.clear()  # its timer is this one
-        dues = [r[0] for r in rest[:1]] + ([end] if end is not None else [])
-        self._wake(min(dues) if dues else None)
-        return iter(out)
-
-
-def _folded(stream: DataFrame, key: str, delay: str, columns: dict[str, Column], rows: str, state: str, step: Step, out: str, until=lambda s: None) -> DataFrame:
-    d = _timed(stream, delay).select("ts", F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"), *[c.alias(n) for n, c in columns.items()])
-    processor = InOrder(rows, state, step, [c.split()[0] for c in out.split(", ")], until)
-    return d.groupBy("key").transformWithState(processor, f"key long, {out}", "append", "eventTime")
+        if n < len(rows):
+            if n:
+                self.waiting.put([(pickle.dumps(rows[i : i + PART], pickle.HIGHEST_PROTOCOL),) for i in range(n, len(rows), PART)])
+        elif n:
+            self.waiting.clear()
+        if state != before:
+            self.state.clear() if state is None else self.state.update(state)
+        dues = [r[0] for r in rows[n : n + 1]] + ([end] if end is not None else [])
+        self._wake(min(dues)) if dues else self.due.clear()  # its timer was this one
+        return (self.told(*key, *map(list, zip(*out[i : i + PART]))) for i in range(0, len(out), PART))
+
+
+def _folded(stream: DataFrame, key: str, delay: str, columns: dict[str, Column], state: str, step: Step, out: str, until=lambda s: None) -> DataFrame:
+    d = stream.where("ts IS NOT NULL").select(F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"), *[c.alias(n) for n, c in columns.items()])
+    parts = d.repartition("key").mapInArrow(_packed, "key long, first long, last long, part binary")
+    timed = _timed(parts.withColumn("ts", F.timestamp_millis("last")), delay).select("ts", "key", "first", "part")
+    names = [c.split()[0] for c in out.split(", ")]
+    told = ", ".join("{} array<{}>".format(*c.split()) for c in out.split(", "))
+    folded = timed.groupBy("key").transformWithState(InOrder(state, step, names, until), f"key long, {told}", "append", "eventTime")
+    return folded.select("key", F.inline(F.arrays_zip(*names)))
 
 
 def failures(stream: DataFrame, failed: Column, key: str = "user_id", least: int = 3, hours: int = 24, delay: str = "1 hour") -> DataFrame:
@@ -130,7 +180,7 @@ def failures(stream: DataFrame, failed: Column, key: str = "user_id", least: int
         return ((n,) if n else None), (event, n, at + hours * 3_600_000 if n >= least else None)
 
     columns = {"event_id": F.col("event_id").cast("long"), "failed": F.coalesce(failed, F.lit(False))}
-    return _folded(stream, key, delay, columns, "at long, event_id long, failed boolean", "n long", step, "event_id long, failures long, rests_until long")
+    return _folded(stream, key, delay, columns, "n long", step, "event_id long, failures long, rests_until long")
 
 
 def throttled(stream: DataFrame, key: str = "user_id", gap_ms: int = 250, last: Column | None = None, delay: str = "1 hour") -> DataFrame:
@@ -144,7 +194,7 @@ def throttled(stream: DataFrame, key: str = "user_id", gap_ms: int = 250, last:
         return state, None
 
     columns = {"event_id": F.col("event_id").cast("long"), "final": F.lit(False) if last is None else F.coalesce(last, F.lit(False))}
-    return _folded(stream, key, delay, columns, "at long, event_id long, final boolean", "last long", step, "event_id long, at long", lambda s: s[0] + gap_ms)
+    return _folded(stream, key, delay, columns, "last long", step, "event_id long, at long", lambda s: s[0] + gap_ms)
 
 
 PAUSE = Row("key", "paused_at", "paused_until", "answer")

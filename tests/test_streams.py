@@ -215,3 +215,64 @@ def test_pauses_keep_one_timer_a_key():
         told += [tuple(r) for r in p.handleExpiredTimer(("k",), now, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))]
     assert told == [("k", 10, 20, "b"), ("k", 100, 170, "a"), *(("k", 100 * i, 100 * i + 50, "a") for i in range(2, 20))]
     assert h.timers == {2_050} and h.calls == 3
+
+
+def waiting(spark, out):
+    """What waits in the state of the query that wrote ``out``."""
+    path = out.inputFiles()[0].rsplit("/out/", 1)[0]
+    return spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load(f"{path}/state")
+
+
+def test_rows_wait_in_parts(spark, stream):
+    """Each row went to Python, into the state and back by itself, which was most of the time of a stream."""
+    data = rows(600, seed=11)
+    stateful.with_timers(spark)
+    got = events.run(stateful.throttled(stream(data, files=1), gap_ms=1_000, delay="90 minutes"))
+    passed = max(ms(r[1]) for r in data) - 5_400_000
+    told = {(k, i) for _, k, i in [(r.at, r.key, r.event_id) for r in got.collect()]}
+    last, want = {}, set()
+    for i, t, k, _, _ in data:
+        if ms(t) <= passed and (k not in last or ms(t) - last[k] >= 1_000):
+            last[k] = ms(t)
+            want.add((k, i))
+    assert told == want
+    assert waiting(spark, got).count() <= len({r[2] for r in data}) < sum(ms(r[1]) > passed for r in data)
+
+
+def test_hot_key_in_many_parts(spark, stream):
+    """Parts of one key that come in one batch and over batches are folded as if all rows had come in order."""
+    data = [(i, START + timedelta(milliseconds=(i * 7919) % 2_500 * 1_000), i % 50 // 49, "ok", None) for i in range(2_500)]
+    got = stateful.run_to_end(stream(data, files=2), lambda s: stateful.throttled(s, gap_ms=3_000))
+    last, want = {}, set()
+    for i, t, k, _, _ in sorted(data, key=lambda r: (r[1], r[0])):
+        if k not in last or ms(t) - last[k] >= 3_000:
+            last[k] = ms(t)
+            want.add((k, i, ms(t)))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert waiting(spark, got).count() == 0
+
+
+def test_late_rows_of_a_part(spark, tmp_path):
+    """A part holds late rows beside others: those that the watermark had passed are dropped, the others are not."""
+    at = lambda m: START + timedelta(minutes=m)
+    batches = [[(0, 0), (1, 10), (2, 180)], [(3, 170), (4, 300)], [(5, 130), (6, 250), (7, 360)]]
+    for batch in batches:
+        spark.createDataFrame([(i, at(m), 1, "ok", None) for i, m in batch], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = stateful.run_to_end(source, lambda s: stateful.throttled(s, gap_ms=1_200_000))
+    assert sorted(r.event_id for r in got.collect()) == [0, 3, 4, 6, 7]
+
+
+@pytest.mark.parametrize("name", ["stream_throttle", "stream_replay_dedup"])
+def test_files_in_any_order(spark, tmp_path, name):
+    """Twenty files that all span the whole time: those after the first eight were late."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = duck.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
