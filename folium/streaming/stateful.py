@@ -74,7 +74,7 @@ def _values(column: pa.ChunkedArray) -> list:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows ``key, at, ...`` as parts ``key, first, last, part`` of a key's rows, pickled. Row by row they take most
+    """A task's rows ``key, at, ...`` as parts ``key, last, part`` of a key's rows, pickled. Row by row they take most
     of a stream's time on their way to the state and back."""
 
     def parts(some: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -83,8 +83,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for (key, _), group in groupby(zip(keys, zip(*columns)), lambda r: (r[0], r[1][0] >= _END_MS)):  # the end apart
             while part := [row for _, row in islice(group, PART)]:
-                out.append((key, part[0][0], part[-1][0], pickle.dumps(part, pickle.HIGHEST_PROTOCOL)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "first", "last", "part"])
+                out.append((key, part[-1][0], pickle.dumps(part, pickle.HIGHEST_PROTOCOL)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["key", "last", "part"])
 
     some, n = [], 0
     for batch in batches:
@@ -117,13 +117,10 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now, first = timerValues.getCurrentWatermarkInMs(), None
-        for _, _, at, part in rows:
-            if at <= now:  # Spark drops a part only with its last row
-                rest = [r for r in pickle.loads(part) if r[0] > now]
-                if not rest:
-                    continue
-                at, part = rest[0][0], pickle.dumps(rest, pickle.HIGHEST_PROTOCOL)
-            self.waiting.appendValue((part,))
+        new = (r for _, _, part in rows for r in pickle.loads(part) if r[0] > now)  # Spark drops a part only with its last row
+        while part := list(islice(new, PART)):  # a call a key, not a call for each part that came
+            self.waiting.appendValue((pickle.dumps(part, pickle.HIGHEST_PROTOCOL),))
+            at = min(r[0] for r in part)
             first = at if first is None else min(first, at)
         if first is None:
             return iter(())
@@ -162,8 +159,8 @@ class InOrder(StatefulProcessor):
 
 def _folded(stream: DataFrame, key: str, delay: str, columns: dict[str, Column], state: str, step: Step, out: str, until=lambda s: None) -> DataFrame:
     d = stream.where("ts IS NOT NULL").select(F.col(key).cast("long").alias("key"), F.unix_millis("ts").alias("at"), *[c.alias(n) for n, c in columns.items()])
-    parts = d.repartition("key").mapInArrow(_packed, "key long, first long, last long, part binary")
-    timed = _timed(parts.withColumn("ts", F.timestamp_millis("last")), delay).select("ts", "key", "first", "part")
+    parts = d.repartition("key").mapInArrow(_packed, "key long, last long, part binary")
+    timed = _timed(parts.withColumn("ts", F.timestamp_millis("last")), delay).select("ts", "key", "part")
     names = [c.split()[0] for c in out.split(", ")]
     told = ", ".join("{} array<{}>".format(*c.split()) for c in out.split(", "))
     folded = timed.groupBy("key").transformWithState(InOrder(state, step, names, until), f"key long, {told}", "append", "eventTime")
